@@ -28,6 +28,15 @@ from ..session import ensure_checkpoint_dir
 
 # offsets table rows we are willing to broadcast (rows are ~40 bytes + keys)
 MAX_BROADCAST_OFFSETS = 2_000_000
+# largest group a single task may sort for a plain window (spillable sort)
+WINDOW_MAX_GROUP_ROWS = 4_000_000
+
+
+def choose_method(max_group_rows: int | None) -> str:
+    """"window" when the largest group is known to fit one task, else "range"."""
+    if max_group_rows is not None and max_group_rows <= WINDOW_MAX_GROUP_ROWS:
+        return "window"
+    return "range"
 
 
 def _cols(cs) -> list[Column]:

@@ -54,13 +54,15 @@ def ranked_metrics(fused: DataFrame, truth: DataFrame, queries: DataFrame,
                    keys: Sequence[str] = ("scope", "shot", "database", "review_id"),
                    space_col: str = "database", review_col: str = "review_id",
                    truth_id: str = "ground_truth_article_id",
-                   ks: Sequence[int] = RECALL_AT_K) -> DataFrame:
+                   ks: Sequence[int] = RECALL_AT_K, n_docs: DataFrame | None = None) -> DataFrame:
     """The 24 ranked metrics per (strategy keys, truth_kind).
 
     ``truth``: long truth with review_id, database, truth_kind, truth id and
     clean_id (see ``scope_truth`` / ``matching.truth_by_database``).
     ``queries``: the query rows (keys without the space + query_id,
     query_kind) — article queries are excluded from ``rank_new_relevant``.
+    ``n_docs``: optional (keys, _n) ranked documents per strategy; given, the
+    fused ranking is read once (by the match join) instead of twice.
     """
     keys = list(keys)
     qkeys = [k for k in keys if k != space_col]
@@ -78,7 +80,8 @@ def ranked_metrics(fused: DataFrame, truth: DataFrame, queries: DataFrame,
         F.max_by("cosine_similarity", "combined_rank").alias("_sim"),
         *[F.count_if(F.col("combined_rank") <= k).alias(f"_at{k}") for k in ks])
 
-    n_docs = fused.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if n_docs is None:
+        n_docs = fused.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     g = truth.groupBy(review_col, space_col, "truth_kind").agg(F.count(F.lit(1)).alias("_g"))
     grid = n_docs.withColumn("truth_kind", F.explode(F.array(F.lit("raw"), F.lit("adjusted"))))
     t = (grid.join(g, on=[review_col, space_col, "truth_kind"], how="left")

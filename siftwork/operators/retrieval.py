@@ -9,8 +9,10 @@ Scale notes
   batch is one NumPy matrix product per search space.
 * Above the broadcast bound the scorer falls back to an equi-join on the
   search-space key with a JVM dot product (AQE splits skewed spaces).
-* Ranking per query and the fused ranking use the distributed ordinal
-  (``operators.ordinal``), so no ranking group has to fit in one task.
+* Ranking per query and the fused ranking pick their physical form from
+  measured bounds (``rank_and_fuse``): one shuffle per strategy when a
+  strategy fits a task, plain windows when a search space does, else the
+  distributed ordinal (``operators.ordinal``) so no group needs one task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RRF_K
-from .ordinal import ordinal
+from .ordinal import WINDOW_MAX_GROUP_ROWS, choose_method, ordinal
 
 MAX_QUERY_ROWS = 250_000
 MAX_QUERY_BYTES = 256 << 20
@@ -150,7 +152,7 @@ def on_spaces(queries: DataFrame, spaces: Sequence[str], space_col: str = "datab
 # ---------------------------------------------------------------- scoring --
 
 def _unit_rows(vectors, dim: int | None):
-    """Stack vectors, dropping null, wrong-length and zero-norm ones."""
+    """Stack vectors, dropping null, wrong-length, NaN and zero-norm ones."""
     keep, rows = [], []
     for i, v in enumerate(vectors):
         if v is None:
@@ -164,79 +166,117 @@ def _unit_rows(vectors, dim: int | None):
         return np.zeros((0, dim or 0)), np.array([], dtype=np.int64)
     m = np.vstack(rows)
     n = np.linalg.norm(m, axis=1)
-    ok = n > 0
+    ok = n > 0          # NaN norms compare False as well
     return m[ok] / n[ok, None], np.asarray(keep, dtype=np.int64)[ok]
 
 
+def valid_vector(col: str, dim: int):
+    """Spark twin of the scorer's filter: the vectors that get scored."""
+    c = F.col(col)
+    return (c.isNotNull() & (F.size(c) == dim)
+            & F.exists(c, lambda x: x != 0)
+            & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)))
+
+
+class QueryMatrix:
+    """The (few) query vectors, collected once behind a size check and
+    shipped to every task as one broadcast variable."""
+
+    def __init__(self, meta: pd.DataFrame, mat: np.ndarray, dim: int, space_col: str,
+                 query_cols: Sequence[str]):
+        self.meta, self.mat, self.dim = meta, mat, dim
+        self.space_col, self.query_cols = space_col, list(query_cols)
+
+    @classmethod
+    def collect(cls, queries: DataFrame, space_col: str, query_cols: Sequence[str],
+                vec_col: str = "embedding", dim: int | None = None) -> "QueryMatrix | None":
+        """None when the query set is above the broadcast bound."""
+        qsel = queries.select(*query_cols, space_col, "query_id", vec_col).persist()
+        try:
+            stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+            n_q, d = int(stats["n"]), int(dim or stats["d"] or 0)
+            if n_q > MAX_QUERY_ROWS or n_q * max(d, 1) * 8 > MAX_QUERY_BYTES:
+                return None
+            qpdf = qsel.toPandas()      # bounded by the checks above
+        finally:
+            qsel.unpersist()
+        mat, keep = _unit_rows(qpdf[vec_col].tolist(), d)
+        meta = qpdf.drop(columns=[vec_col]).iloc[keep].reset_index(drop=True)
+        return cls(meta, mat, d, space_col, query_cols)
+
+    def max_queries_per_strategy(self) -> int:
+        if not len(self.meta):
+            return 0
+        return int(self.meta.groupby([*self.query_cols, self.space_col]).size().max())
+
+    def score(self, space: DataFrame, doc_cols: Sequence[str] = ("article_id", "original_id"),
+              vec_col: str = "embedding") -> DataFrame:
+        """Documents stream through ``mapInPandas``; each Arrow batch is one
+        matrix product per search space present in it."""
+        spark = space.sparkSession
+        space_col, dim, doc_cols = self.space_col, self.dim, list(doc_cols)
+        qcols = [*self.query_cols, "query_id"]
+        meta_schema = {c: T.StringType() for c in qcols}
+        out_schema = T.StructType(
+            [T.StructField(c, meta_schema[c]) for c in self.query_cols]
+            + [space.schema[space_col], T.StructField("query_id", T.StringType())]
+            + [space.schema[c] for c in doc_cols]
+            + [T.StructField("cosine_similarity", T.DoubleType())])
+        groups = {k: np.asarray(v) for k, v in self.meta.groupby(space_col).indices.items()} \
+            if len(self.meta) else {}
+        bc = spark.sparkContext.broadcast((self.meta, self.mat, groups))
+        names = out_schema.names
+
+        def run(batches):
+            meta, mat, grp = bc.value
+            for pdf in batches:
+                for sp, sub in pdf.groupby(space_col, sort=False):
+                    qi = grp.get(sp)
+                    if qi is None or len(qi) == 0:
+                        continue
+                    dmat, dkeep = _unit_rows(sub[vec_col].tolist(), dim)
+                    if len(dkeep) == 0:
+                        continue
+                    docs, qm, qmeta = sub.iloc[dkeep], mat[qi], meta.iloc[qi]
+                    step = max(1, CELLS_PER_FRAME // len(qi))
+                    for s in range(0, len(dkeep), step):
+                        sim = dmat[s:s + step] @ qm.T            # (docs, queries)
+                        nd = sim.shape[0]
+                        frame = {c: np.tile(qmeta[c].to_numpy(), nd) for c in qcols}
+                        frame[space_col] = np.repeat(np.array([sp], dtype=object), nd * len(qi))
+                        for c in doc_cols:
+                            frame[c] = np.repeat(docs[c].to_numpy()[s:s + step], len(qi))
+                        frame["cosine_similarity"] = np.clip(sim.ravel(), -1.0, 1.0)
+                        yield pd.DataFrame(frame)[names]
+
+        return space.select(space_col, *doc_cols, vec_col).mapInPandas(run, out_schema)
+
+
 def cosine_scores(queries: DataFrame, space: DataFrame, space_col: str = "database",
                   query_cols: Sequence[str] = ("scope", "shot", "review_id"),
                   doc_cols: Sequence[str] = ("article_id", "original_id"),
-                  vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
+                  vec_col: str = "embedding", dim: int | None = None,
+                  matrix: QueryMatrix | None = None) -> DataFrame:
     """Cosine similarity of every query with every document of its space.
 
-    Null, zero and wrong-length vectors are dropped on both sides.  Output:
-    query_cols + space + query_id + doc_cols + cosine_similarity.
+    Null, NaN, zero and wrong-length vectors are dropped on both sides.
+    Output: query_cols + space + query_id + doc_cols + cosine_similarity.
     """
-    spark = space.sparkSession
-    qsel = queries.select(*query_cols, space_col, "query_id", vec_col)
-    n_q = qsel.count()
-    if dim is None:
-        first = qsel.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
-        dim = int(first[0]) if first else 0
-    q_bytes = n_q * max(dim, 1) * 8
-    out_fields = ([queries.schema[c] for c in query_cols] + [space.schema[space_col],
-                  T.StructField("query_id", T.StringType())]
-                  + [space.schema[c] for c in doc_cols]
-                  + [T.StructField("cosine_similarity", T.DoubleType())])
-    out_schema = T.StructType(out_fields)
-    if n_q > MAX_QUERY_ROWS or q_bytes > MAX_QUERY_BYTES:
-        return _cosine_by_join(qsel, space, space_col, query_cols, doc_cols, vec_col, dim)
-
-    qpdf = qsel.toPandas()
-    qmat, qkeep = _unit_rows(qpdf[vec_col].tolist(), dim)
-    qmeta = qpdf.drop(columns=[vec_col]).iloc[qkeep].reset_index(drop=True)
-    by_space = {k: np.asarray(v) for k, v in qmeta.groupby(space_col).indices.items()} \
-        if len(qmeta) else {}
-    bc = spark.sparkContext.broadcast((qmeta, qmat, by_space))
-    doc_cols = list(doc_cols)
-    qcols = [*query_cols, "query_id"]
-
-    def score(batches):
-        meta, mat, groups = bc.value
-        for pdf in batches:
-            for sp, sub in pdf.groupby(space_col, sort=False):
-                qi = groups.get(sp)
-                if qi is None or len(qi) == 0:
-                    continue
-                dmat, dkeep = _unit_rows(sub[vec_col].tolist(), dim)
-                if len(dkeep) == 0:
-                    continue
-                docs = sub.iloc[dkeep]
-                qm = mat[qi]
-                qmeta_s = meta.iloc[qi]
-                step = max(1, CELLS_PER_FRAME // len(qi))
-                for s in range(0, len(dkeep), step):
-                    sim = dmat[s:s + step] @ qm.T            # (docs, queries)
-                    nd = sim.shape[0]
-                    frame = {c: np.tile(qmeta_s[c].to_numpy(), nd) for c in qcols}
-                    frame[space_col] = np.repeat(np.array([sp], dtype=object), nd * len(qi))
-                    for c in doc_cols:
-                        frame[c] = np.repeat(docs[c].to_numpy()[s:s + step], len(qi))
-                    frame["cosine_similarity"] = np.clip(sim.ravel(), -1.0, 1.0)
-                    yield pd.DataFrame(frame)[out_schema.names]
-
-    docs_in = space.select(space_col, *doc_cols, vec_col)
-    return docs_in.mapInPandas(score, out_schema)
+    qm = matrix or QueryMatrix.collect(queries, space_col, query_cols, vec_col, dim)
+    if qm is None:
+        qsel = queries.select(*query_cols, space_col, "query_id", vec_col)
+        d = dim or int(qsel.agg(F.max(F.size(vec_col))).first()[0] or 0)
+        return _cosine_by_join(qsel, space, space_col, query_cols, doc_cols, vec_col, d)
+    return qm.score(space, doc_cols, vec_col)
 
 
 def _cosine_by_join(qsel, space, space_col, query_cols, doc_cols, vec_col, dim):
     """Fallback for very large query sets: equi-join on the space key and a
-    JVM dot product of pre-normalised vectors."""
+    JVM dot product of pre-normalised vectors (AQE splits a skewed space)."""
     def unit(df):
         v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        ok = F.col(vec_col).isNotNull() & (F.size(vec_col) == dim)
-        return df.where(ok).withColumn("_norm", norm).where(F.col("_norm") > 0) \
+        return df.where(valid_vector(vec_col, dim)).withColumn("_norm", norm) \
             .withColumn(vec_col, F.transform(v, lambda x: x / F.col("_norm"))).drop("_norm")
     q = unit(qsel).withColumnRenamed(vec_col, "_q")
     d = unit(space.select(space_col, *doc_cols, vec_col)).withColumnRenamed(vec_col, "_d")
@@ -246,16 +286,10 @@ def _cosine_by_join(qsel, space, space_col, query_cols, doc_cols, vec_col, dim):
                                           .alias("cosine_similarity"))
 
 
-def cosine_rank(queries: DataFrame, space: DataFrame, space_col: str = "database",
-                query_cols: Sequence[str] = ("scope", "shot", "review_id"),
-                decimals: int = 9, method: str = "range", **kw) -> DataFrame:
-    """Score, then rank documents per query: cosine desc (rounded to
-    ``decimals`` so ties are decided the same everywhere), then original_id."""
-    scored = cosine_scores(queries, space, space_col, query_cols, **kw)
-    scored = scored.withColumn("cosine_similarity", F.round("cosine_similarity", decimals))
-    by = [*query_cols, space_col, "query_id"]
-    return ordinal(scored, by, [F.col("cosine_similarity").desc(), F.col("original_id").asc()],
-                   name="rank", method=method)
+def largest_space(space: DataFrame, space_col: str = "database") -> int:
+    """Rows of the biggest search space (a measured bound on ranking groups)."""
+    r = space.groupBy(space_col).count().agg(F.max("count")).first()
+    return int(r[0] or 0)
 
 
 def dedupe_space(space: DataFrame, space_col: str = "database", id_col: str = "original_id",
@@ -268,17 +302,26 @@ def dedupe_space(space: DataFrame, space_col: str = "database", id_col: str = "o
     return agg.select(space_col, id_col, "_r.*")
 
 
-# ----------------------------------------------------------------- fusion --
+def space_sizes(space: DataFrame, queries: DataFrame, dim: int, space_col: str = "database",
+                query_cols: Sequence[str] = ("scope", "shot", "review_id"),
+                vec_col: str = "embedding") -> DataFrame:
+    """Ranked documents per strategy without touching the scored pairs: the
+    scorable documents of its space, for strategies with a scorable query."""
+    docs = space.where(valid_vector(vec_col, dim)).groupBy(space_col) \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    strategies = queries.where(valid_vector(vec_col, dim)).select(*query_cols, space_col).distinct()
+    return strategies.join(docs, space_col, "inner")
 
-def rrf_fuse(ranked: DataFrame, k: int = RRF_K, space_col: str = "database",
-             query_cols: Sequence[str] = ("scope", "shot", "review_id"),
-             decimals: int = 12, method: str = "range") -> DataFrame:
-    """Reciprocal-rank fusion over the queries of a strategy.
 
-    Per document: rrf_score = sum 1/(k + rank), cosine_similarity = mean;
-    combined_rank orders by the rounded score desc, then original_id.
-    """
-    keys = [*query_cols, space_col]
+# ------------------------------------------------------------ rank + fuse --
+
+def _rank_queries(scored, by, method, decimals):
+    scored = scored.withColumn("cosine_similarity", F.round("cosine_similarity", decimals))
+    return ordinal(scored, by, [F.col("cosine_similarity").desc(), F.col("original_id").asc()],
+                   name="rank", method=method)
+
+
+def _fuse(ranked, keys, k, decimals, method):
     fused = ranked.groupBy(*keys, "original_id").agg(
         F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), decimals).alias("rrf_score"),
         F.avg("cosine_similarity").alias("cosine_similarity"),
@@ -286,3 +329,61 @@ def rrf_fuse(ranked: DataFrame, k: int = RRF_K, space_col: str = "database",
         F.count(F.lit(1)).alias("n_queries"))
     return ordinal(fused, keys, [F.col("rrf_score").desc(), F.col("original_id").asc()],
                    name="combined_rank", method=method)
+
+
+def rank_and_fuse(queries: DataFrame, space: DataFrame, space_col: str = "database",
+                  query_cols: Sequence[str] = ("scope", "shot", "review_id"),
+                  k: int = RRF_K, method: str = "auto", cos_decimals: int = 9,
+                  rrf_decimals: int = 12) -> tuple[DataFrame, DataFrame, str]:
+    """Per-query cosine ranking and its reciprocal-rank fusion.
+
+    Physical strategy, chosen from measured bounds (``method="auto"``):
+
+    * ``strategy``: every pair of one strategy fits a task (queries of the
+      strategy x its space size <= bound) -> one hash shuffle on the
+      strategy serves the per-query window, the fusion aggregate and the
+      combined-rank window.
+    * ``window``: one search space fits a task -> plain windows.
+    * ``range``: otherwise -> distributed ordinal, no group in one task.
+
+    Returns (ranked, fused, method used).
+    """
+    keys = [*query_cols, space_col]
+    qm = QueryMatrix.collect(queries, space_col, query_cols)
+    if method == "auto":
+        biggest = largest_space(space, space_col)
+        per_strategy = (qm.max_queries_per_strategy() if qm else None)
+        if per_strategy is not None and per_strategy * biggest <= WINDOW_MAX_GROUP_ROWS:
+            method = "strategy"
+        else:
+            method = choose_method(biggest)
+    scored = cosine_scores(queries, space, space_col, query_cols, matrix=qm)
+    if method == "strategy":
+        n = int(space.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        local = scored.repartition(n, *keys)
+        ranked = _rank_queries(local, [*keys, "query_id"], "window", cos_decimals)
+        fused = _fuse(ranked, keys, k, rrf_decimals, "window")
+    else:
+        ranked = _rank_queries(scored, [*keys, "query_id"], method, cos_decimals)
+        fused = _fuse(ranked, keys, k, rrf_decimals, method)
+    return ranked, fused, method
+
+
+def cosine_rank(queries: DataFrame, space: DataFrame, space_col: str = "database",
+                query_cols: Sequence[str] = ("scope", "shot", "review_id"),
+                decimals: int = 9, method: str = "auto") -> DataFrame:
+    """Rank documents per query: cosine desc (rounded to ``decimals`` so ties
+    are decided the same everywhere), then original_id."""
+    return rank_and_fuse(queries, space, space_col, query_cols, method=method,
+                         cos_decimals=decimals)[0]
+
+
+def rrf_fuse(ranked: DataFrame, k: int = RRF_K, space_col: str = "database",
+             query_cols: Sequence[str] = ("scope", "shot", "review_id"),
+             decimals: int = 12, method: str = "range") -> DataFrame:
+    """Reciprocal-rank fusion over the queries of a strategy.
+
+    Per document: rrf_score = sum 1/(k + rank), cosine_similarity = mean;
+    combined_rank orders by the rounded score desc, then original_id.
+    """
+    return _fuse(ranked, [*query_cols, space_col], k, decimals, method)

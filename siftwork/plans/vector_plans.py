@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import truth_by_database
 from ..operators.ranked import cutoff_prefix, ranked_metrics, scope_truth
-from ..operators.retrieval import (all_scenarios, cosine_rank, dedupe_space, on_spaces, pick_one,
-                                   rrf_fuse, select_queries, topic_vectors)
+from ..operators.retrieval import (all_scenarios, dedupe_space, on_spaces, pick_one,
+                                   rank_and_fuse, select_queries, space_sizes, topic_vectors)
 from ..schemas import RANKED_METRIC_COLUMNS, SCOPES, SHOTS
 from . import driver
 from .common import DATABASES4, SQL_DB_OF_MOD4, SQL_VECTORS, round_doubles, sql_round
@@ -21,27 +21,16 @@ class VectorRun:
     """Every stage of the vector workflow as lazily built DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, scopes=SCOPES, shots=SHOTS,
-                 method: str = "range"):
+                 method: str = "auto"):
         self.vecs = driver.vectors(spark, sf_dir)
         self.gold = driver.vector_gold(self.vecs)
         self.topics = topic_vectors(self.vecs)
-        self.queries = on_spaces(all_scenarios(self.gold, self.topics, scopes, shots), DATABASES4)
+        # the query set is small and bounded (QueryMatrix checks it); it feeds
+        # the scorer, the query-id exclusion and the strategy list, so keep it
+        self.queries = on_spaces(all_scenarios(self.gold, self.topics, scopes, shots),
+                                 DATABASES4).persist()
         self.space = dedupe_space(self.vecs.select("database", "article_id", "original_id", "embedding"))
-        self.method = method
-        self._ranked = None
-        self._fused = None
-
-    @property
-    def ranked(self) -> DataFrame:
-        if self._ranked is None:
-            self._ranked = cosine_rank(self.queries, self.space, method=self.method)
-        return self._ranked
-
-    @property
-    def fused(self) -> DataFrame:
-        if self._fused is None:
-            self._fused = rrf_fuse(self.ranked, method=self.method)
-        return self._fused
+        self.ranked, self.fused, self.method = rank_and_fuse(self.queries, self.space, method=method)
 
     def truth(self) -> DataFrame:
         long = truth_by_database(driver.vector_truth(self.vecs), DATABASES4,
@@ -49,7 +38,9 @@ class VectorRun:
         return scope_truth(long)
 
     def metrics(self) -> DataFrame:
-        return ranked_metrics(self.fused, self.truth(), self.queries, keys=KEYS)
+        dim = self.vecs.select(F.max(F.size("embedding"))).first()[0] or 0
+        n_docs = space_sizes(self.space, self.queries, dim)
+        return ranked_metrics(self.fused, self.truth(), self.queries, keys=KEYS, n_docs=n_docs)
 
 
 # ------------------------------------------------------------------ plans --
