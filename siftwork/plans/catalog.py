@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import vector_plans
+from . import eval_plans, vector_plans
 
-_MODULES = [vector_plans]
+_MODULES = [vector_plans, eval_plans]
 
 
 def queries() -> dict:
