@@ -5,8 +5,10 @@ grammar (no parser):
 
     Or(Term("insulin resist*"), And(Term("metformin"), Not(Term("mice"))))
 
-`Term` matches a word or phrase at a word boundary, case-insensitively; a
-trailing `*` is a prefix wildcard.  `fields` chooses the searched columns
+`Term` matches a word or phrase at a word boundary, case-insensitively
+(text is lower-cased, terms are lower-case); a trailing `*` is a prefix
+wildcard.  Word characters are Unicode letters, digits and `_`, spelled
+out as classes so the pattern means the same in every regex engine.  `fields` chooses the searched columns
 (title + abstract by default, the `[tiab]` tag); `MeshTerm` tests exact
 membership in an array column (the `[mh]` tag).
 """
@@ -21,20 +23,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WORD = r"[\p{L}\p{N}_]"
+NON_WORD = r"[^\p{L}\p{N}_]"
+
+
 @dataclass(frozen=True)
 class Term:
     text: str
     fields: tuple[str, ...] = ("title", "abstract")
 
     def pattern(self) -> str:
-        words = self.text.strip().split()
-        parts = []
-        for w in words:
-            if w.endswith("*"):
-                parts.append(re.escape(w[:-1]) + r"\w*")
-            else:
-                parts.append(re.escape(w) + r"\b")
-        return r"(?i)\b" + r"\s+".join(parts)
+        words = self.text.strip().lower().split()
+        parts = [re.escape(w[:-1]) + WORD + "*" if w.endswith("*") else re.escape(w) for w in words]
+        tail = "" if words[-1].endswith("*") else "(" + NON_WORD + "|$)"
+        return "(^|" + NON_WORD + ")" + r"\s+".join(parts) + tail
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,7 @@ def compile_query(node) -> Column:
     """Expression tree -> boolean Column (null text never matches)."""
     if isinstance(node, Term):
         pat = node.pattern()
-        hits = [F.coalesce(F.col(f).rlike(pat), F.lit(False)) for f in node.fields]
+        hits = [F.coalesce(F.lower(F.col(f)).rlike(pat), F.lit(False)) for f in node.fields]
         return reduce(lambda a, b: a | b, hits)
     if isinstance(node, MeshTerm):
         return F.coalesce(

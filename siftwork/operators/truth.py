@@ -151,3 +151,17 @@ def topic_lookup(ids: DataFrame, topics: DataFrame, retry: DataFrame | None = No
     else:
         out = out.withColumnRenamed("_t1", topic_col)
     return out, out.where(F.col(topic_col).isNull()).select(id_col).distinct()
+
+
+def merge_sources(base: DataFrame, sources: Sequence[tuple[str, DataFrame]], key: str,
+                  cols: Sequence[str]) -> DataFrame:
+    """Fill ``cols`` of ``base`` from lookup sources; the first source (in the
+    given priority order) with a non-null value wins.  Each source is cut to
+    one row per key first, so the left joins never fan out."""
+    out = base
+    for name, src in sources:
+        one = first_per_group(src, [key], [F.col(key).asc()])
+        out = out.join(one.select(key, *[F.col(c).alias(f"_{name}_{c}") for c in cols]), key, "left")
+    for c in cols:
+        out = out.withColumn(c, F.coalesce(*[F.col(f"_{n}_{c}") for n, _ in sources]))
+    return out.drop(*[f"_{n}_{c}" for n, _ in sources for c in cols])
