@@ -97,23 +97,26 @@ def metric_columns(g, m, n) -> list:
 
 
 def search_metrics(truth: DataFrame, results: DataFrame, result_keys: Sequence[str],
-                   kinds: Sequence[str] = KINDS) -> DataFrame:
-    """Recall, precision, NNR, F1-F3, workload per (result group, truth_kind).
-
-    Every group that has raw truth gets a row for every kind, even when its
-    adjusted truth is empty.  Aggregates are partial (map-side) sums; the
-    three small per-group tables are joined at the end.
+                   kinds: Sequence[str] = KINDS, truth_keys: Sequence[str] = ()) -> DataFrame:
+    """Recall, precision, NNR, F1-F3, workload per (result group, extra truth
+    keys, truth_kind).
+
+    ``truth_keys`` split one result set over several truth groups (a broad
+    search evaluated per review).  Every group that has raw truth gets a row
+    for every kind, even when its adjusted truth is empty.  Aggregates are
+    partial (map-side) sums; the small per-group tables are joined last.
     """
+    keys = [*result_keys, *truth_keys]
     flagged = flag_matches(truth, results, result_keys)
-    counts = flagged.groupBy(*result_keys, "truth_kind").agg(
+    counts = flagged.groupBy(*keys, "truth_kind").agg(
         F.count(F.lit(1)).alias("_g"), F.count_if("matched").alias("_m"))
-    grid = (truth.where(F.col("truth_kind") == "raw").select(*result_keys).distinct()
+    grid = (truth.where(F.col("truth_kind") == "raw").select(*keys).distinct()
             .withColumn("truth_kind", F.explode(F.array(*[F.lit(k) for k in kinds]))))
     workload = results.groupBy(*result_keys).agg(F.count(F.lit(1)).alias("_n"))
-    table = (grid.join(counts, on=[*result_keys, "truth_kind"], how="left")
+    table = (grid.join(counts, on=[*keys, "truth_kind"], how="left")
              .join(workload, on=list(result_keys), how="left")
              .fillna(0, subset=["_g", "_m", "_n"]))
-    return table.select(*result_keys, "truth_kind", *metric_columns("_g", "_m", "_n"))
+    return table.select(*keys, "truth_kind", *metric_columns("_g", "_m", "_n"))
 
 
 def overall_metrics(per_group: DataFrame, keys: Sequence[str],
