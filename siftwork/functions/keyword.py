@@ -33,10 +33,12 @@ class Term:
     fields: tuple[str, ...] = ("title", "abstract")
 
     def pattern(self) -> str:
+        """Java regex: boundaries as look-arounds (no alternation to try at
+        every position), same meaning as ``(^|[^w])term([^w]|$)``."""
         words = self.text.strip().lower().split()
         parts = [re.escape(w[:-1]) + WORD + "*" if w.endswith("*") else re.escape(w) for w in words]
-        tail = "" if words[-1].endswith("*") else "(" + NON_WORD + "|$)"
-        return "(^|" + NON_WORD + ")" + r"\s+".join(parts) + tail
+        tail = "" if words[-1].endswith("*") else "(?!" + WORD + ")"
+        return "(?<!" + WORD + ")" + r"\s+".join(parts) + tail
 
 
 @dataclass(frozen=True)

@@ -189,9 +189,10 @@ class QueryMatrix:
 
     @classmethod
     def collect(cls, queries: DataFrame, space_col: str, query_cols: Sequence[str],
-                vec_col: str = "embedding", dim: int | None = None) -> "QueryMatrix | None":
+                vec_col: str = "embedding", dim: int | None = None,
+                extra_cols: Sequence[str] = ()) -> "QueryMatrix | None":
         """None when the query set is above the broadcast bound."""
-        qsel = queries.select(*query_cols, space_col, "query_id", vec_col).persist()
+        qsel = queries.select(*query_cols, space_col, "query_id", *extra_cols, vec_col).persist()
         try:
             stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
             n_q, d = int(stats["n"]), int(dim or stats["d"] or 0)
@@ -204,6 +205,14 @@ class QueryMatrix:
         meta = qpdf.drop(columns=[vec_col]).iloc[keep].reset_index(drop=True)
         return cls(meta, mat, d, space_col, query_cols)
 
+    def as_dataframe(self, spark) -> DataFrame:
+        """The scorable query rows (no vectors) as a small local relation:
+        downstream joins read it instead of re-deriving the query set."""
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in self.meta.columns])
+        rows = [tuple(None if pd.isna(v) else str(v) for v in r)
+                for r in self.meta.itertuples(index=False)]
+        return spark.createDataFrame(rows, schema)
+
     def max_queries_per_strategy(self) -> int:
         if not len(self.meta):
             return 0
@@ -302,14 +311,13 @@ def dedupe_space(space: DataFrame, space_col: str = "database", id_col: str = "o
     return agg.select(space_col, id_col, "_r.*")
 
 
-def space_sizes(space: DataFrame, queries: DataFrame, dim: int, space_col: str = "database",
-                query_cols: Sequence[str] = ("scope", "shot", "review_id"),
+def space_sizes(space: DataFrame, strategies: DataFrame, dim: int, space_col: str = "database",
                 vec_col: str = "embedding") -> DataFrame:
     """Ranked documents per strategy without touching the scored pairs: the
-    scorable documents of its space, for strategies with a scorable query."""
+    scorable documents of its space, for each strategy (strategies that
+    have a scorable query; e.g. ``QueryMatrix.as_dataframe``)."""
     docs = space.where(valid_vector(vec_col, dim)).groupBy(space_col) \
         .agg(F.count(F.lit(1)).alias("_n"))
-    strategies = queries.where(valid_vector(vec_col, dim)).select(*query_cols, space_col).distinct()
     return strategies.join(docs, space_col, "inner")
 
 
@@ -334,7 +342,8 @@ def _fuse(ranked, keys, k, decimals, method):
 def rank_and_fuse(queries: DataFrame, space: DataFrame, space_col: str = "database",
                   query_cols: Sequence[str] = ("scope", "shot", "review_id"),
                   k: int = RRF_K, method: str = "auto", cos_decimals: int = 9,
-                  rrf_decimals: int = 12) -> tuple[DataFrame, DataFrame, str]:
+                  rrf_decimals: int = 12,
+                  matrix: QueryMatrix | None = None) -> tuple[DataFrame, DataFrame, str]:
     """Per-query cosine ranking and its reciprocal-rank fusion.
 
     Physical strategy, chosen from measured bounds (``method="auto"``):
@@ -349,7 +358,7 @@ def rank_and_fuse(queries: DataFrame, space: DataFrame, space_col: str = "databa
     Returns (ranked, fused, method used).
     """
     keys = [*query_cols, space_col]
-    qm = QueryMatrix.collect(queries, space_col, query_cols)
+    qm = matrix or QueryMatrix.collect(queries, space_col, query_cols)
     if method == "auto":
         biggest = largest_space(space, space_col)
         per_strategy = (qm.max_queries_per_strategy() if qm else None)

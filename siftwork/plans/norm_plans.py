@@ -72,7 +72,11 @@ def decode_abstract_q(spark, sf):
     d = driver.table(spark, sf, "documents")
     words = d.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
                      .alias("pos", "word"))
-    inv = (words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
+    # one shuffle by document serves both aggregations (a document's words
+    # are one record's abstract, never more than one task's worth)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inv = (words.repartition(n, "doc_id")
+           .groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
            .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions")))
                                   .alias("abstract_inverted_index")))
     rec = inv.select("doc_id", F.struct(F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("openalex"),

@@ -67,12 +67,15 @@ def wilcoxon_q(spark, sf):
 
 
 def _tests(spark, sf):
-    wm = workflow_metrics(spark, sf)
-    parts = []
-    for metric in ("recall", "precision"):
-        p = paired(wm, ["database", "review_id"], "workflow", "T", "O", metric)
-        parts.append(wilcoxon(p, ["database"]).withColumn("metric", F.lit(metric)))
-    return parts[0].unionByName(parts[1])
+    """One signed-rank test per (database, metric): the metrics are stacked
+    first, so the metric table is built once and ranked in one pass."""
+    wm = workflow_metrics(spark, sf).select(
+        "workflow", "database", "review_id",
+        F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                            for m in ("recall", "precision")])).alias("_m"))
+    wm = wm.select("workflow", "database", "review_id", "_m.metric", "_m.value")
+    p = paired(wm, ["database", "review_id", "metric"], "workflow", "T", "O", "value")
+    return wilcoxon(p, ["database", "metric"])
 
 
 def bh_adjust_q(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import truth_by_database
 from ..operators.ranked import cutoff_prefix, ranked_metrics, scope_truth
-from ..operators.retrieval import (all_scenarios, dedupe_space, on_spaces, pick_one,
+from ..operators.retrieval import (QueryMatrix, all_scenarios, dedupe_space, on_spaces, pick_one,
                                    rank_and_fuse, select_queries, space_sizes, topic_vectors)
 from ..schemas import RANKED_METRIC_COLUMNS, SCOPES, SHOTS
 from . import driver
@@ -30,7 +30,16 @@ class VectorRun:
         self.queries = on_spaces(all_scenarios(self.gold, self.topics, scopes, shots),
                                  DATABASES4).persist()
         self.space = dedupe_space(self.vecs.select("database", "article_id", "original_id", "embedding"))
-        self.ranked, self.fused, self.method = rank_and_fuse(self.queries, self.space, method=method)
+        self.matrix = QueryMatrix.collect(self.queries, "database", ["scope", "shot", "review_id"],
+                                          extra_cols=["query_kind"])
+        if self.matrix is not None:
+            # downstream steps read the collected (bounded) query rows
+            self.query_rows = self.matrix.as_dataframe(spark)
+            self.queries.unpersist()
+        else:
+            self.query_rows = self.queries.drop("embedding")
+        self.ranked, self.fused, self.method = rank_and_fuse(self.queries, self.space, method=method,
+                                                             matrix=self.matrix)
 
     def truth(self) -> DataFrame:
         long = truth_by_database(driver.vector_truth(self.vecs), DATABASES4,
@@ -38,9 +47,12 @@ class VectorRun:
         return scope_truth(long)
 
     def metrics(self) -> DataFrame:
-        dim = self.vecs.select(F.max(F.size("embedding"))).first()[0] or 0
-        n_docs = space_sizes(self.space, self.queries, dim)
-        return ranked_metrics(self.fused, self.truth(), self.queries, keys=KEYS, n_docs=n_docs)
+        if self.matrix is not None:
+            strategies = self.query_rows.select(*KEYS).distinct()
+            n_docs = space_sizes(self.space, strategies, self.matrix.dim)
+        else:
+            n_docs = None
+        return ranked_metrics(self.fused, self.truth(), self.query_rows, keys=KEYS, n_docs=n_docs)
 
 
 # ------------------------------------------------------------------ plans --
