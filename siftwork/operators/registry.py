@@ -72,3 +72,28 @@ def fan_out(strategies: DataFrame, reviews: DataFrame, shots: Sequence[str],
     values = sorted(r[0] for r in ids.collect() if r[0] is not None)
     out = strategies.withColumn(review_col, F.explode(F.array(*[F.lit(v) for v in values])))
     return out.withColumn("vector_search", F.explode(F.array(*[F.lit(s) for s in shots])))
+
+
+def load_results(results: DataFrame, strategies: DataFrame, existing: DataFrame | None,
+                 strategy_keys: Sequence[str], key: Sequence[str] = ("search_strategy_id", "original_id"),
+                 order: Sequence[Column | str] = ("original_id",),
+                 id_col: str = "search_result_article_id") -> DataFrame:
+    """Search results ready to append: each result gets its strategy id (join
+    on the strategy descriptor), rows already stored are skipped, new rows
+    get surrogate ids after the stored maximum."""
+    r = results.join(strategies.select(*strategy_keys, "search_strategy_id"), list(strategy_keys), "inner")
+    start = 0
+    if existing is not None:
+        r = new_rows(r, existing, key)
+        start = max_id(existing, id_col)
+    return assign_ids(r, ["search_strategy_id", *order], start, name=id_col)
+
+
+def with_overall_row(dim: DataFrame, key: str, values: dict | None = None) -> DataFrame:
+    """Dimension plus one constant ``overall`` row (other columns from
+    ``values`` or null)."""
+    values = values or {}
+    row = dim.sparkSession.range(1).select(*[
+        (F.lit("overall") if f.name == key else F.lit(values.get(f.name))).cast(f.dataType).alias(f.name)
+        for f in dim.schema.fields])
+    return dim.unionByName(row)

@@ -105,3 +105,41 @@ def label_workflow(df: DataFrame, workflow_col: str = "workflow", scenario_col:
     if scenario_col:
         out = out.withColumn("workflow_group", F.concat_ws(" + ", F.col(workflow_col), F.col(scenario_col)))
     return out
+
+
+def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Report layer only: undefined metrics (null) shown as 0."""
+    return df.fillna(0, subset=list(cols))
+
+
+def order_key(col: str, values: Sequence[str], name: str | None = None):
+    """Explicit category order as a sortable column (unknown values last)."""
+    expr = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col))
+    return F.when(expr > 0, expr).otherwise(F.lit(len(values) + 1)).alias(name or f"{col}_order")
+
+
+def percent_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select("*", *[(F.col(c) * 100.0).alias(f"{c}_pct") for c in cols])
+
+
+def null_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Null count per column and rows with any null, in one aggregate."""
+    cols = list(cols or df.columns)
+    any_null = F.lit(False)
+    for c in cols:
+        any_null = any_null | F.col(c).isNull()
+    aggs = [F.count_if(F.col(c).isNull()).alias(c) for c in cols]
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(any_null).alias("_any"), *aggs)
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in cols]))
+    return wide.select(F.col("_rows").alias("n_rows"), F.col("_any").alias("rows_with_null"), stack.alias("s")) \
+        .select("s.column", "s.n_null", "n_rows", "rows_with_null")
+
+
+def combined_table(summary: DataFrame, contrasts: DataFrame, keys: Sequence[str],
+                   reference_label: str, group_col: str = "group") -> DataFrame:
+    """Summary rows left-joined to contrasts; the reference group is
+    labelled and has no contrast."""
+    j = summary.join(contrasts, list(keys), "left")
+    return j.withColumn("is_reference", F.col(group_col) == reference_label) \
+        .withColumn("contrast", F.when(F.col("is_reference"), F.lit("reference"))
+                    .otherwise(F.concat(F.col(group_col), F.lit(" vs "), F.lit(reference_label))))

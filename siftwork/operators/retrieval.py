@@ -38,12 +38,13 @@ CELLS_PER_FRAME = 2_000_000
 
 # ---------------------------------------------------------------- encoding --
 
-def hashing_encoder(dim: int = 64, max_tokens: int = 512) -> Callable[[pd.Series], list]:
+def hashing_encoder(dim: int = 64, max_tokens: int | None = None) -> Callable[[pd.Series], list]:
     """Deterministic signed feature-hashing encoder (the default plug-in).
 
-    Lower-cased word tokens, truncated at ``max_tokens``, hashed with md5
-    into ``dim`` buckets with a sign bit, L2-normalised.  A transformer
-    encoder can be plugged in with the same signature.
+    Lower-cased word tokens of the whole text, hashed with md5 into ``dim``
+    buckets with a sign bit, L2-normalised.  A transformer encoder can be
+    plugged in with the same signature; ``max_tokens`` is only for a model
+    with a fixed input window.
     """
     token = re.compile(r"\w+", re.UNICODE)
 
@@ -54,7 +55,7 @@ def hashing_encoder(dim: int = 64, max_tokens: int = 512) -> Callable[[pd.Series
                 out.append(None)
                 continue
             v = np.zeros(dim, dtype=np.float64)
-            for w in token.findall(t.lower())[:max_tokens]:
+            for w in token.findall(t.lower())[:max_tokens]:  # None = all tokens
                 h = int.from_bytes(hashlib.md5(w.encode("utf-8")).digest()[:8], "little")
                 v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
             n = np.linalg.norm(v)

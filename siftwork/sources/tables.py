@@ -58,3 +58,15 @@ def project_source(df: DataFrame, database: str) -> DataFrame:
     for target, src in m.items():
         out.append((F.col(src) if src in df.columns else F.lit(None).cast("string")).alias(target))
     return df.select(*out, *[c for c in df.columns if c not in m.values()])
+
+
+def for_review(df: DataFrame, review: str, col: str = "evidence_review_id") -> DataFrame:
+    """Rows of one review; ``overall`` means every review (no filter)."""
+    return df if review == "overall" else df.where(F.col(col) == review)
+
+
+def review_ids(strategies: DataFrame, search_types: DataFrame, type_name: str) -> DataFrame:
+    """Distinct review ids that have a strategy of the given search type."""
+    t = search_types.where(F.col("name") == type_name).select("search_type_id")
+    return strategies.join(F.broadcast(t), "search_type_id", "left_semi") \
+        .select("evidence_review_id").distinct()
