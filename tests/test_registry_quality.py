@@ -67,3 +67,36 @@ def test_streaming_ingest_new_keys(spark, tmp_dir):
     q.awaitTermination(120)
     rows = sorted((r["id"], r["title"]) for r in spark.read.parquet(target).collect())
     assert rows == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_build_ground_truth_priority_and_cleaning(spark):
+    from siftwork.operators.truth import build_ground_truth, topic_lookup
+    articles = spark.createDataFrame(
+        [(1, "1.4.1, 1.4.2", "2019//"), (2, "1.4.1, 1.4.2", "2020"), (3, "9.9", "2018")],
+        "included_article_id long, question_id string, year_pub_extract string")
+    reviews = spark.createDataFrame([("1.4.1/1.4.2", "SR", 6), ("9.9", "SR", 2)],
+                                    "question_id string, evidence_review_type string, included_num int")
+    pm = spark.createDataFrame([(1, None, None, "pm second title", "pm &lt;b&gt;abs&lt;/b&gt;", " PMID1 ")],
+                               "included_article_id long, title string, abstract string, title_2ndsearch string, "
+                               "abstract_2ndsearch string, api_id_retrieved string")
+    em = spark.createDataFrame([(1, "em title", "em abs", None), (2, "em title 2", None, "E2")],
+                               "included_article_id long, title string, abstract string, api_id_retrieved string")
+    oa = spark.createDataFrame([(2, "oa title 2", "oa   abs 2", "https://openalex.org/W2")],
+                               "included_article_id long, title string, abstract string, api_id_retrieved string")
+    gt = {r["included_article_id"]: r for r in
+          build_ground_truth(articles, reviews, {"pubmed": pm, "embase": em, "openalex": oa}).collect()}
+    assert set(gt) == {1, 2}                       # review 9.9 is not eligible (2 < 5)
+    assert gt[1]["question_id"] == "1.4.1/1.4.2"
+    assert gt[1]["title"] == "pm second title"      # pubmed > embase > openalex
+    assert gt[1]["abstract"] == "pm abs"            # entities decoded, tags stripped
+    assert gt[2]["title"] == "em title 2" and gt[2]["abstract"] == "oa abs 2"
+    assert gt[1]["retrieved_pubmed_id"] == "pmid1" and gt[2]["retrieved_oa_id"] == "w2"
+    assert gt[1]["year_pub_extract"] == 2019
+
+    ids = spark.createDataFrame([("w1",), ("w2",), ("w3",)], "clean_id string")
+    first = spark.createDataFrame([("w1", "T1")], "clean_id string, topic_id string")
+    retry = spark.createDataFrame([("w1", None), ("w2", "T2")], "clean_id string, topic_id string")
+    got, missing = topic_lookup(ids, first, retry)
+    m = {r["clean_id"]: r["topic_id"] for r in got.collect()}
+    assert m == {"w1": "T1", "w2": "T2", "w3": None}           # a retry never erases a hit
+    assert [r["clean_id"] for r in missing.collect()] == ["w3"]
