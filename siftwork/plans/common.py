@@ -74,20 +74,24 @@ truth AS (
   WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
 )"""
 
-# truth in long form: one row per (article, database, kind)
-SQL_TRUTH_LONG = f"""
-truth_long AS (
+def sql_truth_long(src: str = "truth", name: str = "truth_long") -> str:
+    """Truth in long form: one row per (article, database, kind)."""
+    return f"""
+{name} AS (
   SELECT ground_truth_article_id, review_id, database, clean_id, kind.truth_kind
   FROM (
-    SELECT ground_truth_article_id, review_id, 'pubmed' AS database, {sql_clean_id('retrieved_pubmed_id')} AS clean_id FROM truth
-    UNION ALL SELECT ground_truth_article_id, review_id, 'medline', {sql_clean_id('retrieved_pubmed_id')} FROM truth
-    UNION ALL SELECT ground_truth_article_id, review_id, 'embase', {sql_clean_id('retrieved_embase_id')} FROM truth
-    UNION ALL SELECT ground_truth_article_id, review_id, 'openalex', {sql_clean_id('retrieved_oa_id')} FROM truth
+    SELECT ground_truth_article_id, review_id, 'pubmed' AS database, {sql_clean_id('retrieved_pubmed_id')} AS clean_id FROM {src}
+    UNION ALL SELECT ground_truth_article_id, review_id, 'medline', {sql_clean_id('retrieved_pubmed_id')} FROM {src}
+    UNION ALL SELECT ground_truth_article_id, review_id, 'embase', {sql_clean_id('retrieved_embase_id')} FROM {src}
+    UNION ALL SELECT ground_truth_article_id, review_id, 'openalex', {sql_clean_id('retrieved_oa_id')} FROM {src}
   ) t
   JOIN (VALUES ('raw'), ('adjusted')) kind(truth_kind)
     ON kind.truth_kind = 'raw' OR t.clean_id IS NOT NULL
 )"""
 
+
+SQL_TRUTH_LONG = sql_truth_long()
+
 # embeddings as four search spaces
 SQL_VECTORS = f"""
 v AS (

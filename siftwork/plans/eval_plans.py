@@ -243,7 +243,7 @@ ev AS (
     AND review_id NOT IN ('5.7.5', '5.7.1')
 )"""
 
-_SQL_GOLD = f"""{_BASE},{_SQL_EVAL_SET},
+_SQL_GOLD_CTES = """
 pool AS (SELECT * FROM truth WHERE review_id IN (SELECT review_id FROM ev)),
 prev AS (SELECT * FROM pool WHERE sr_update = 'Y' AND publication_year <= searchstrat_year_start),
 newp AS (SELECT * FROM pool WHERE review_id NOT IN (SELECT review_id FROM prev)),
@@ -256,12 +256,16 @@ s1 AS (
   QUALIFY row_number() OVER (PARTITION BY review_id
      ORDER BY md5('42:' || CAST(ground_truth_article_id AS VARCHAR)), ground_truth_article_id) <= 3
 ),
-rest AS (SELECT * FROM pool WHERE review_id NOT IN (SELECT review_id FROM s1))
-SELECT * FROM s1
-UNION ALL
-SELECT review_id, ground_truth_article_id FROM rest
-QUALIFY row_number() OVER (PARTITION BY review_id
-   ORDER BY md5('42:' || CAST(ground_truth_article_id AS VARCHAR)), ground_truth_article_id) <= 3"""
+rest AS (SELECT * FROM pool WHERE review_id NOT IN (SELECT review_id FROM s1)),
+gold_ids AS (
+  SELECT * FROM s1
+  UNION ALL
+  SELECT review_id, ground_truth_article_id FROM rest
+  QUALIFY row_number() OVER (PARTITION BY review_id
+     ORDER BY md5('42:' || CAST(ground_truth_article_id AS VARCHAR)), ground_truth_article_id) <= 3
+)"""
+
+_SQL_GOLD = f"{_BASE},{_SQL_EVAL_SET},{_SQL_GOLD_CTES}\nSELECT * FROM gold_ids"
 
 ORACLES = {
     "topic_metrics": _SQL_TOPIC_COUNTS + "\nSELECT * FROM per",

@@ -12,7 +12,7 @@ from ..operators.retrieval import (QueryMatrix, all_scenarios, dedupe_space, on_
                                    rank_and_fuse, select_queries, space_sizes, topic_vectors)
 from ..schemas import RANKED_METRIC_COLUMNS, SCOPES, SHOTS
 from . import driver
-from .common import DATABASES4, SQL_DB_OF_MOD4, SQL_VECTORS, round_doubles, sql_round
+from .common import DATABASES4, SQL_VECTORS, round_doubles, sql_clean_id, sql_round
 
 KEYS = ["scope", "shot", "database", "review_id"]
 
@@ -165,21 +165,7 @@ q0 AS (
 )"""
 
 
-def _sql_pipeline(scenario_filter: str = "TRUE") -> str:
-    return f"""
-WITH {SQL_VECTORS},
-{_SQL_GOLD},
-{_SQL_TOPICS},
-{_SQL_ONE},
-{_SQL_SCENARIOS},
-dbs AS (SELECT unnest(['pubmed', 'medline', 'embase', 'openalex']) AS database),
-q AS (SELECT q0.*, dbs.database FROM q0, dbs WHERE {scenario_filter}),
-space AS (
-  SELECT * FROM v
-  WHERE embedding IS NOT NULL AND list_dot_product(embedding, embedding) > 0
-  QUALIFY row_number() OVER (PARTITION BY database, original_id ORDER BY article_id) = 1
-),
-scored AS (
+_SQL_RANK_FUSE = """scored AS (
   SELECT q.scope, q.shot, q.review_id, q.database, q.query_id, s.article_id, s.original_id,
          round(list_cosine_similarity(q.embedding, s.embedding), 9) AS cosine_similarity
   FROM q JOIN space s ON q.database = s.database
@@ -203,8 +189,24 @@ fused AS (
 )"""
 
 
-_SQL_METRICS_TAIL = """,
-vt AS (
+def _sql_pipeline(scenario_filter: str = "TRUE") -> str:
+    return f"""
+WITH {SQL_VECTORS},
+{_SQL_GOLD},
+{_SQL_TOPICS},
+{_SQL_ONE},
+{_SQL_SCENARIOS},
+dbs AS (SELECT unnest(['pubmed', 'medline', 'embase', 'openalex']) AS database),
+q AS (SELECT q0.*, dbs.database FROM q0, dbs WHERE {scenario_filter}),
+space AS (
+  SELECT * FROM v
+  WHERE embedding IS NOT NULL AND list_dot_product(embedding, embedding) > 0
+  QUALIFY row_number() OVER (PARTITION BY database, original_id ORDER BY article_id) = 1
+),
+{_SQL_RANK_FUSE}"""
+
+
+_SQL_VEC_TRUTH = """vt AS (
   SELECT article_id AS ground_truth_article_id, review_id,
          CASE WHEN database IN ('pubmed', 'medline') THEN 'v' || CAST(article_id AS VARCHAR) END AS pm,
          CASE WHEN database = 'embase' THEN 'v' || CAST(article_id AS VARCHAR) END AS em,
@@ -221,13 +223,15 @@ tl1 AS (
   SELECT tl0.*, k.truth_kind FROM tl0 JOIN (VALUES ('raw'), ('adjusted')) k(truth_kind)
     ON k.truth_kind = 'raw' OR tl0.clean_id IS NOT NULL
 ),
-tl AS (SELECT * FROM tl1 UNION ALL SELECT ground_truth_article_id, 'overall', database, clean_id, truth_kind FROM tl1),
-m AS (
+tl AS (SELECT * FROM tl1 UNION ALL SELECT ground_truth_article_id, 'overall', database, clean_id, truth_kind FROM tl1)"""
+
+_SQL_METRICS_CORE = """m AS (
   SELECT f.scope, f.shot, f.database, f.review_id, t.truth_kind, t.ground_truth_article_id,
          min(f.combined_rank) AS combined_rank,
          arg_min(f.cosine_similarity, f.combined_rank) AS cos
   FROM tl t JOIN fused f
-    ON t.review_id = f.review_id AND t.database = f.database AND t.clean_id = lower(f.original_id)
+    ON t.review_id = f.review_id AND t.database = f.database
+   AND t.clean_id = {clean_f}
   GROUP BY ALL
 ),
 qid AS (SELECT DISTINCT scope, shot, review_id, query_id FROM q0 WHERE query_kind = 'article'),
@@ -309,9 +313,15 @@ _DOUBLE_METRICS = [c for c in RANKED_METRIC_COLUMNS if c not in (
     "n_retrieved", "n_missed", "overall_screening_workload", "overall_screening_workload_cutoff")]
 
 
+def metrics_core_sql() -> str:
+    """CTEs m .. z: ranked metrics from ``fused``, truth ``tl`` and queries ``q0``."""
+    return (_SQL_METRICS_CORE.replace("{metric_list}", _metrics_select(RANKED_METRIC_COLUMNS))
+            .replace("{clean_f}", sql_clean_id("f.original_id")))
+
+
 def _metrics_sql(scenario_filter="TRUE", select="*"):
-    tail = _SQL_METRICS_TAIL.replace("{metric_list}", _metrics_select(RANKED_METRIC_COLUMNS))
-    return _sql_pipeline(scenario_filter) + tail + f"\nSELECT {select} FROM z"
+    return (_sql_pipeline(scenario_filter) + ",\n" + _SQL_VEC_TRUTH + ",\n" + metrics_core_sql()
+            + f"\nSELECT {select} FROM z")
 
 
 _RANKED_SELECT = ("scope, shot, database, review_id, truth_kind, n_retrieved, n_missed, "
