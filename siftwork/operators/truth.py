@@ -78,22 +78,23 @@ def build_gold_set(truth: DataFrame, eval_reviews: DataFrame, review_col: str =
                    require_text: bool = True) -> DataFrame:
     """Query (gold) articles: per evaluation review, up to ``n`` articles of
     the previous edition (sr_update = Y, published up to the search start);
-    reviews without those draw from their other articles; reviews still
-    missing draw from any of their articles.  Every review in
-    ``eval_reviews`` is covered when it has any article."""
+    reviews without those draw from their articles with title and abstract;
+    reviews still without any draw from all their articles.  Every review in
+    ``eval_reviews`` is covered when it has any article.
+
+    One pass: each candidate gets a tier (1 previous edition, 2 with text,
+    3 other); a review keeps its best tier (a partial min aggregate joined
+    back on the review) and a seeded top-``n`` (WindowGroupLimit) is drawn.
+    """
     pool = truth.join(eval_reviews.select(review_col).distinct(), review_col, "left_semi")
     has_text = (F.col("title").isNotNull() & F.col("abstract").isNotNull()) if require_text \
         else F.lit(True)
-    prev = pool.where((F.col("sr_update") == "Y") & has_text
-                      & (F.col(year_col) <= F.col("searchstrat_year_start")))
-    prev_reviews = prev.select(review_col).distinct()
-    new_pool = pool.join(prev_reviews, review_col, "left_anti").where(has_text)
-    first = stable_sample(prev, [review_col], id_col, n, seed).unionByName(
-        stable_sample(new_pool, [review_col], id_col, n, seed))
-    covered = first.select(review_col).distinct()
-    rest = truth.join(eval_reviews.select(review_col).distinct(), review_col, "left_semi") \
-        .join(covered, review_col, "left_anti")
-    return first.unionByName(stable_sample(rest, [review_col], id_col, n, seed))
+    prev = (F.col("sr_update") == "Y") & (F.col(year_col) <= F.col("searchstrat_year_start"))
+    tier = F.when(prev & has_text, 1).when(has_text, 2).otherwise(3)
+    tiered = pool.withColumn("_tier", tier)
+    best = tiered.groupBy(review_col).agg(F.min("_tier").alias("_best"))
+    chosen = tiered.join(best, review_col).where(F.col("_tier") == F.col("_best")).drop("_tier", "_best")
+    return stable_sample(chosen, [review_col], id_col, n, seed)
 
 
 def build_ground_truth(articles: DataFrame, reviews: DataFrame, sources: dict[str, DataFrame],

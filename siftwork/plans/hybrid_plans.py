@@ -30,11 +30,13 @@ class SearchThenRank:
         emb = driver.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
         results = broad_results(spark, sf_dir).select("database", "article_id", "original_id")
         self.space = dedupe_space(results.join(emb, "article_id", "left"))
-        truth = driver.truth(spark, sf_dir)
-        self.eval_set = build_evaluation_set(truth)
+        # the included-article tables are small and feed the gold set, the
+        # queries and the evaluation: build each once per run
+        truth = driver.truth(spark, sf_dir).persist()
+        self.eval_set = build_evaluation_set(truth).persist()
         gold = build_gold_set(truth, self.eval_set, require_text=False)
         gold_vecs = gold.select("review_id", "ground_truth_article_id").join(
-            emb.withColumnRenamed("article_id", "ground_truth_article_id"), "ground_truth_article_id")
+            emb.withColumnRenamed("article_id", "ground_truth_article_id"), "ground_truth_article_id").persist()
         queries = on_spaces(all_scenarios(gold_vecs, None, scopes, shots), DATABASES4).persist()
         self.matrix = QueryMatrix.collect(queries, "database", ["scope", "shot", "review_id"],
                                           extra_cols=["query_kind"])

@@ -23,7 +23,8 @@ class VectorRun:
     def __init__(self, spark: SparkSession, sf_dir: str, scopes=SCOPES, shots=SHOTS,
                  method: str = "auto"):
         self.vecs = driver.vectors(spark, sf_dir)
-        self.gold = driver.vector_gold(self.vecs)
+        # gold vectors: at most a few per review; four query scenarios read them
+        self.gold = driver.vector_gold(self.vecs).persist()
         self.topics = topic_vectors(self.vecs)
         # the query set is small and bounded (QueryMatrix checks it); it feeds
         # the scorer, the query-id exclusion and the strategy list, so keep it
