@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.truth import stable_sample
+from ..sources.tables import spread_input
 from ..schemas import GOLD_SAMPLE_SEED, GOLD_SAMPLE_SIZE
 
 LANG_DB = {"en": "pubmed", "fr": "medline", "de": "embase", "es": "openalex"}
@@ -27,7 +28,8 @@ DB_BY_MOD4 = ["pubmed", "medline", "embase", "openalex"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; one large row group is spread over the cores."""
+    return spread_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _db_of_lang(col):
