@@ -369,8 +369,8 @@ def rank_and_fuse(queries: DataFrame, space: DataFrame, space_col: str = "databa
             method = choose_method(biggest)
     scored = cosine_scores(queries, space, space_col, query_cols, matrix=qm)
     if method == "strategy":
-        n = int(space.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        local = scored.repartition(n, *keys)
+        # key-only repartition: AQE may coalesce it to fit the data
+        local = scored.repartition(*keys)
         ranked = _rank_queries(local, [*keys, "query_id"], "window", cos_decimals)
         fused = _fuse(ranked, keys, k, rrf_decimals, "window")
     else:

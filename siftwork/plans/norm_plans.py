@@ -74,8 +74,7 @@ def decode_abstract_q(spark, sf):
                      .alias("pos", "word"))
     # one shuffle by document serves both aggregations (a document's words
     # are one record's abstract, never more than one task's worth)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inv = (words.repartition(n, "doc_id")
+    inv = (words.repartition("doc_id")
            .groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
            .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions")))
                                   .alias("abstract_inverted_index")))

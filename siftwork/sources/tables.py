@@ -80,9 +80,12 @@ def spread_input(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
     inputs already split over many files/row groups are returned as they
     are, so at scale this never adds a shuffle.
     """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    try:
+        spark = df.sparkSession
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= par:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): leave as is
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(par) if size >= min_bytes else df
