@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +62,30 @@ def embedding_text(title, abstract, sep: str = " ", fill_nulls: bool = True) ->
     if fill_nulls:
         t, a = F.coalesce(t, F.lit("")), F.coalesce(a, F.lit(""))
     return F.concat(t, F.lit(sep), a)
+
+
+def with_inverted_index(df: DataFrame, text_col: str, out_col: str = "abstract_inverted_index") -> DataFrame:
+    """Add ``map<word, array<position>>`` of a text (whitespace tokens,
+    positions from 0), built inside the row: (word, position) pairs sorted,
+    runs of equal words cut at their start offsets and sliced into position
+    lists.  No shuffle; O(n log n) per text.
+
+    The sorted words and positions are real columns before the lambdas read
+    them: an expression referenced inside a lambda would be re-evaluated
+    for every element.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")), " ")
+    pairs = F.array_sort(F.arrays_zip(words.alias("w"),
+                                      F.sequence(F.lit(0), F.size(words) - 1).alias("p")))
+    t = df.withColumn("_pairs", pairs)
+    t = t.withColumn("_sw", F.col("_pairs.w")).withColumn("_sp", F.col("_pairs.p")) \
+        .withColumn("_n", F.size("_sw"))
+    sw, n = F.col("_sw"), F.col("_n")
+    t = t.withColumn("_starts", F.filter(F.sequence(F.lit(0), n - 1),
+                                         lambda i: (i == 0) | (F.element_at(sw, i + 1) != F.element_at(sw, i))))
+    starts = F.col("_starts")
+    keys = F.transform(starts, lambda i: F.element_at(sw, i + 1))
+    vals = F.transform(starts, lambda s, k: F.slice(
+        F.col("_sp"), s + 1, F.coalesce(F.try_element_at(starts, k + 2), n) - s))
+    return t.withColumn(out_col, F.map_from_arrays(keys, vals)) \
+        .drop("_pairs", "_sw", "_sp", "_n", "_starts")

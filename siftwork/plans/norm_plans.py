@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import clean_id, clean_year, fix_question_id, std_question_id
 from ..functions.keyword import And, Not, Or, Term, compile_query
 from ..functions.metrics import signif
-from ..functions.text import decode_inverted_index, strip_tags
+from ..functions.text import decode_inverted_index, strip_tags, with_inverted_index
 from ..operators.registry import (assign_ids, fan_out, max_id, new_rows, new_rows_null_safe,
                                   upsert)
 from ..operators.truth import first_per_group, merge_sources, recode_review_type
@@ -68,19 +68,12 @@ def strip_html_q(spark, sf):
 
 def decode_abstract_q(spark, sf):
     """Whole texts -> inverted index {word: positions} -> decoded abstract,
-    plus the flattened id struct of an OpenAlex-shaped record."""
-    d = driver.table(spark, sf, "documents")
-    words = d.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
-                     .alias("pos", "word"))
-    # one shuffle by document serves both aggregations (a document's words
-    # are one record's abstract, never more than one task's worth)
-    inv = (words.repartition("doc_id")
-           .groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
-           .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions")))
-                                  .alias("abstract_inverted_index")))
-    rec = inv.select("doc_id", F.struct(F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("openalex"),
-                                        F.col("doc_id").cast("string").alias("pmid")).alias("ids"),
-                     "abstract_inverted_index")
+    plus the flattened id struct of an OpenAlex-shaped record.  Both the
+    index and the decoding are per-row array expressions (no shuffle)."""
+    d = with_inverted_index(driver.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    rec = d.select("doc_id", F.struct(F.concat(F.lit("W"), F.col("doc_id").cast("string")).alias("openalex"),
+                                      F.col("doc_id").cast("string").alias("pmid")).alias("ids"),
+                   "abstract_inverted_index")
     return rec.select("doc_id", "ids.*", decode_inverted_index("abstract_inverted_index").alias("abstract"))
 
 

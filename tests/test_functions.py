@@ -74,3 +74,14 @@ def test_keyword_query(spark):
     q = Or(Term("insulin resist*"), And(Term("metformin"), Not(Term("mice"))))
     got = {r["id"] for r in df.where(compile_query(q)).collect()}
     assert got == {1, 3}
+
+
+def test_inverted_index_round_trip(spark):
+    from siftwork.functions import with_inverted_index
+    rows = [(1, "the cat sat the mat"), (2, ""), (3, "  a\\n b   a ")]
+    df = with_inverted_index(spark.createDataFrame(rows, "id int, text string"), "text", "m")
+    got = {r["id"]: (r["m"], r["t"]) for r in df.select("id", "m", decode_inverted_index("m").alias("t")).collect()}
+    assert got[1][0] == {"the": [0, 3], "cat": [1], "sat": [2], "mat": [4]}
+    assert got[1][1] == "the cat sat the mat"
+    assert got[2][1] == ""
+    assert got[3][1] == "a b a"
