@@ -78,7 +78,7 @@ def test_keyword_query(spark):
 
 def test_inverted_index_round_trip(spark):
     from siftwork.functions import with_inverted_index
-    rows = [(1, "the cat sat the mat"), (2, ""), (3, "  a\\n b   a ")]
+    rows = [(1, "the cat sat the mat"), (2, ""), (3, "  a\n b   a ")]
     df = with_inverted_index(spark.createDataFrame(rows, "id int, text string"), "text", "m")
     got = {r["id"]: (r["m"], r["t"]) for r in df.select("id", "m", decode_inverted_index("m").alias("t")).collect()}
     assert got[1][0] == {"the": [0, 3], "cat": [1], "sat": [2], "mat": [4]}
