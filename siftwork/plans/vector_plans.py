@@ -79,6 +79,16 @@ def rrf_fuse_q(spark, sf_dir):
     return round_doubles(f, 12, {"cosine_similarity": 6})
 
 
+def distributed_rank_q(spark, sf_dir):
+    """The overall few-shot fused ranking forced through the distributed
+    ordinal (range shuffle + checkpoint + prefix sums): the plan used when
+    one search space does not fit a task; it must equal ``rrf_fuse``."""
+    run = VectorRun(spark, sf_dir, scopes=("overall",), shots=("few-shot",), method="range")
+    f = run.fused.select("database", "original_id", "rrf_score", "cosine_similarity",
+                         "combined_rank", "n_queries")
+    return round_doubles(f, 12, {"cosine_similarity": 6})
+
+
 def combined_rank_q(spark, sf_dir):
     """Combined rank of every document, topic scope, one-shot."""
     run = VectorRun(spark, sf_dir, scopes=("topic",), shots=("one-shot",))
@@ -123,6 +133,7 @@ QUERIES = {
     "cosine_rank": cosine_rank_q,
     "rrf_fuse": rrf_fuse_q,
     "combined_rank": combined_rank_q,
+    "distributed_rank": distributed_rank_q,
     "cutoff_prefix": cutoff_prefix_q,
     "recall_at_k": recall_at_k_q,
     "few_shot_queries": few_shot_queries_q,
@@ -331,6 +342,9 @@ _RANKED_SELECT = ("scope, shot, database, review_id, truth_kind, n_retrieved, n_
 
 ORACLES = {
     "ranked_metrics": _metrics_sql(select=_RANKED_SELECT),
+    "distributed_rank": _sql_pipeline("q0.scope = 'overall' AND q0.shot = 'few-shot'")
+    + "\nSELECT database, original_id, round(rrf_score, 12) AS rrf_score, "
+      "round(cosine_similarity, 6) AS cosine_similarity, combined_rank, n_queries FROM fused",
     "cosine_rank": _sql_pipeline("q0.scope = 'topic' AND q0.shot = 'few-shot'")
     + "\nSELECT review_id, database, query_id, original_id, cosine_similarity, rank FROM ranked",
     "rrf_fuse": _sql_pipeline("q0.scope = 'overall' AND q0.shot = 'few-shot'")

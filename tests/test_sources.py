@@ -84,3 +84,24 @@ def test_sinks(spark, tmp_dir):
     stage(spark, f"{tmp_dir}/stage", build)
     stage(spark, f"{tmp_dir}/stage", build, refresh=True)
     assert len(calls) == 2
+
+
+def test_folder_and_review_helpers(spark, tmp_dir):
+    from siftwork.operators.quality import check_min_rows
+    from siftwork.sources.tables import for_review, read_folder, review_ids
+    import pandas as pd
+    os.makedirs(f"{tmp_dir}/res", exist_ok=True)
+    pd.DataFrame({"id": ["x"], "v": [1]}).to_parquet(f"{tmp_dir}/res/oa_consolidated_a.parquet")
+    pd.DataFrame({"id": ["y"], "w": [2.0], "z": ["extra"]}).to_parquet(f"{tmp_dir}/res/oa_consolidated_b.parquet")
+    with open(f"{tmp_dir}/res/notes.txt", "w") as f:
+        f.write("not a table")
+    got = read_folder(spark, f"{tmp_dir}/res")
+    assert set(got.columns) == {"id", "v", "w", "z"} and got.count() == 2
+    strategies = spark.createDataFrame([("1.1", 2), ("1.2", 2), ("overall", 1), ("1.1", 2)],
+                                       "evidence_review_id string, search_type_id int")
+    types = spark.createDataFrame([(1, "overarching"), (2, "topic-specific")], "search_type_id int, name string")
+    assert {r[0] for r in review_ids(strategies, types, "topic-specific").collect()} == {"1.1", "1.2"}
+    assert for_review(strategies, "overall").count() == 4
+    assert for_review(strategies, "1.1").count() == 2
+    assert check_min_rows(strategies, 5, "search_strategies").count() == 1
+    assert check_min_rows(strategies, 4).count() == 0
