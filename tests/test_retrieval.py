@@ -152,3 +152,16 @@ def test_embed_hashing_encoder(spark):
     assert rows[2] is None and len(rows[1]) == 64
     assert rows[1] == rows[3]                                # case-insensitive tokens
     assert np.linalg.norm(rows[1]) == pytest.approx(1.0)
+
+
+def test_join_fallback_equals_matrix_path(spark, monkeypatch):
+    import siftwork.operators.retrieval as R
+    want = {(r["query_id"], r["original_id"]): r["cosine_similarity"]
+            for r in cosine_scores(_queries(spark), _space(spark)).collect()}
+    monkeypatch.setattr(R, "MAX_QUERY_ROWS", 0)          # query set "above the bound"
+    assert R.QueryMatrix.collect(_queries(spark), "database", ["scope", "shot", "review_id"]) is None
+    got = {(r["query_id"], r["original_id"]): r["cosine_similarity"]
+           for r in R.cosine_scores(_queries(spark), _space(spark)).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-12)
