@@ -25,7 +25,8 @@ class VectorRun:
         self.vecs = driver.vectors(spark, sf_dir)
         # gold vectors: at most a few per review; four query scenarios read them
         self.gold = driver.vector_gold(self.vecs).persist()
-        self.topics = topic_vectors(self.vecs)
+        # one vector per review, read by both zero-shot scenarios
+        self.topics = topic_vectors(self.vecs).persist()
         # the query set is small and bounded (QueryMatrix checks it); it feeds
         # the scorer, the query-id exclusion and the strategy list, so keep it
         self.queries = on_spaces(all_scenarios(self.gold, self.topics, scopes, shots),
