@@ -202,7 +202,7 @@ fused AS (
 )"""
 
 
-def _sql_pipeline(scenario_filter: str = "TRUE") -> str:
+def _sql_rank_stages(scenario_filter: str = "TRUE") -> str:
     return f"""
 WITH {SQL_VECTORS},
 {_SQL_GOLD},
@@ -333,7 +333,7 @@ def metrics_core_sql() -> str:
 
 
 def _metrics_sql(scenario_filter="TRUE", select="*"):
-    return (_sql_pipeline(scenario_filter) + ",\n" + _SQL_VEC_TRUTH + ",\n" + metrics_core_sql()
+    return (_sql_rank_stages(scenario_filter) + ",\n" + _SQL_VEC_TRUTH + ",\n" + metrics_core_sql()
             + f"\nSELECT {select} FROM z")
 
 
@@ -343,15 +343,15 @@ _RANKED_SELECT = ("scope, shot, database, review_id, truth_kind, n_retrieved, n_
 
 ORACLES = {
     "ranked_metrics": _metrics_sql(select=_RANKED_SELECT),
-    "distributed_rank": _sql_pipeline("q0.scope = 'overall' AND q0.shot = 'few-shot'")
+    "distributed_rank": _sql_rank_stages("q0.scope = 'overall' AND q0.shot = 'few-shot'")
     + "\nSELECT database, original_id, round(rrf_score, 12) AS rrf_score, "
       "round(cosine_similarity, 6) AS cosine_similarity, combined_rank, n_queries FROM fused",
-    "cosine_rank": _sql_pipeline("q0.scope = 'topic' AND q0.shot = 'few-shot'")
+    "cosine_rank": _sql_rank_stages("q0.scope = 'topic' AND q0.shot = 'few-shot'")
     + "\nSELECT review_id, database, query_id, original_id, cosine_similarity, rank FROM ranked",
-    "rrf_fuse": _sql_pipeline("q0.scope = 'overall' AND q0.shot = 'few-shot'")
+    "rrf_fuse": _sql_rank_stages("q0.scope = 'overall' AND q0.shot = 'few-shot'")
     + "\nSELECT database, original_id, round(rrf_score, 12) AS rrf_score, "
       "round(cosine_similarity, 6) AS cosine_similarity, combined_rank, n_queries FROM fused",
-    "combined_rank": _sql_pipeline("q0.scope = 'topic' AND q0.shot = 'one-shot'")
+    "combined_rank": _sql_rank_stages("q0.scope = 'topic' AND q0.shot = 'one-shot'")
     + "\nSELECT review_id, database, original_id, combined_rank FROM fused",
     "cutoff_prefix": _metrics_sql("q0.scope = 'topic' AND q0.shot = 'few-shot'",
                                   select="scope, shot, database, review_id, overall_screening_workload_cutoff AS c")

@@ -1,4 +1,4 @@
-"""Incremental ingestion of landed result files (a living guideline gets
+"""Incremental ingestion of landed result files (an evidence base that gets
 new search exports over time).
 
 A Structured Streaming file source picks up new files; each micro-batch is
