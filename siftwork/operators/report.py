@@ -115,7 +115,7 @@ def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def order_key(col: str, values: Sequence[str], name: str | None = None):
     """Explicit category order as a sortable column (unknown values last)."""
     expr = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col))
-    return F.when(expr > 0, expr).otherwise(F.lit(len(values) + 1)).alias(name or f"{col}_order")
+    return F.when(expr > 0, expr).otherwise(F.lit(len(values) + 1)).cast("int").alias(name or f"{col}_order")
 
 
 def percent_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

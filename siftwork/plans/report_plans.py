@@ -229,7 +229,8 @@ s AS (SELECT workflow, database, sum(n_retrieved) AS n_retrieved, sum(n_missed)
 r AS (SELECT *, CAST(n_retrieved AS DOUBLE) / nullif(CAST(n_retrieved + n_missed AS DOUBLE), 0) AS rr,
              CAST(n_retrieved AS DOUBLE) / nullif(CAST(overall_screening_workload AS DOUBLE), 0) AS pr FROM s),
 g AS (SELECT *, """ + _SIG.format(x="rr") + " AS recall, " + _SIG.format(x="pr") + """ AS precision FROM r)
-SELECT workflow, database, n_retrieved, n_missed, overall_screening_workload,
+SELECT workflow, database, CAST(n_retrieved AS BIGINT) AS n_retrieved, CAST(n_missed AS BIGINT) AS n_missed,
+  CAST(overall_screening_workload AS BIGINT) AS overall_screening_workload,
   round(recall, 9) AS recall, round(precision, 9) AS precision,
   round(""" + _SIG.format(x="(1.0 / nullif(precision, 0))") + """, 9) AS nnr
 FROM g""",
