@@ -6,11 +6,9 @@ combined contrast table, null and distinct reports, encoder."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ids import clean_id, fix_question_id, year_strict
 from ..functions.text import embedding_text
-from ..operators.matching import search_metrics
 from ..operators.registry import assign_ids, fan_out, load_results, with_overall_row
 from ..operators.report import (combined_table, fill_nnr, label_workflow, median_iqr, null_report,
                                 order_key, percent_columns, prefer_cutoff, zero_fill)

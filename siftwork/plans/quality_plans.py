@@ -9,7 +9,7 @@ from ..operators.quality import (check_conservation, check_expected_counts, chec
                                  check_metric_bounds, check_subset, check_unique, duplicate_rows,
                                  embedding_coverage, last_non_null)
 from . import driver
-from .common import SQL_ARTICLES, SQL_TRUTH, SQL_TRUTH_LONG, SQL_VECTORS, sql_clean_id
+from .common import SQL_ARTICLES, SQL_TRUTH, SQL_VECTORS, sql_clean_id
 from .eval_plans import _SQL_TOPIC_COUNTS, broad_results, long_truth, topic_metrics_df
 
 
