@@ -103,16 +103,24 @@ def search_metrics(truth: DataFrame, results: DataFrame, result_keys: Sequence[s
 
     ``truth_keys`` split one result set over several truth groups (a broad
     search evaluated per review).  Every group that has raw truth gets a row
-    for every kind, even when its adjusted truth is empty.  Aggregates are
-    partial (map-side) sums; the small per-group tables are joined last.
+    for every kind, even when its adjusted truth is empty.
+
+    Each input is read once: one partial aggregate of the results per
+    (group, id) gives both the distinct ids for matching and the workload
+    (sum of the per-id counts); the grid of groups comes from the truth
+    counts.  Reused subtrees plan as reused exchanges.
     """
     keys = [*result_keys, *truth_keys]
-    flagged = flag_matches(truth, results, result_keys)
+    per_id = results.groupBy(*result_keys, "clean_id").agg(F.count(F.lit(1)).alias("_c"))
+    workload = per_id.groupBy(*result_keys).agg(F.sum("_c").alias("_n"))
+    hits = per_id.where(F.col("clean_id").isNotNull()).select(*result_keys, "clean_id") \
+        .withColumn("matched", F.lit(True))
+    flagged = (truth.join(hits, on=[*result_keys, "clean_id"], how="left")
+               .withColumn("matched", F.coalesce(F.col("matched"), F.lit(False))))
     counts = flagged.groupBy(*keys, "truth_kind").agg(
         F.count(F.lit(1)).alias("_g"), F.count_if("matched").alias("_m"))
-    grid = (truth.where(F.col("truth_kind") == "raw").select(*keys).distinct()
+    grid = (counts.where(F.col("truth_kind") == "raw").select(*keys)
             .withColumn("truth_kind", F.explode(F.array(*[F.lit(k) for k in kinds]))))
-    workload = results.groupBy(*result_keys).agg(F.count(F.lit(1)).alias("_n"))
     table = (grid.join(counts, on=[*keys, "truth_kind"], how="left")
              .join(workload, on=list(result_keys), how="left")
              .fillna(0, subset=["_g", "_m", "_n"]))
