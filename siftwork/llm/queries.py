@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, secrets, simhash
-from .common import fresh, table
+from . import bpe, decontam, html, quality, records, secrets, sharding, simhash, substring, urls
+from .common import fresh, shared_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), keep=["doc_id"], ids=False)
 
 
+def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = shared_path(spark, "records")
+    records.write(docs, folder, tokenizer_path("byte_bpe_50k.json"))
+    records.write_index(spark, folder)
+    return records.read(spark, folder, ids=False)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
@@ -35,11 +43,31 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        decontam.contaminated(h).alias("contaminated"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).drop("removed")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.shard(docs, keep=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, keep=["doc_id"])
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, keep=["doc_id"])
@@ -81,9 +109,14 @@ def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_records": op2_records,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_html": op5_html,
+    "op6_substring": op6_substring,
+    "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
+    "op9_urls": op9_urls,
     "op10_secrets": op10_secrets,
     "pipeline": pipeline,
 }
