@@ -74,7 +74,8 @@ def any_of(*phrases: str, fields=("title", "abstract")) -> Or:
 
 
 def compile_query(node) -> Column:
-    """Expression tree -> boolean Column (null text never matches)."""
+    """Expression tree -> boolean Column, never null: null text matches no term,
+    so ``Not`` of a term is true for it."""
     if isinstance(node, Term):
         pat = node.pattern()
         hits = [F.coalesce(F.lower(F.col(f)).rlike(pat), F.lit(False)) for f in node.fields]

@@ -2,37 +2,57 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+# every named character reference of HTML 5, from the standard library
+_NAMED = {k: v for k, v in html5.items()}
+_REFERENCE = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+_COMMENT = r"(?s)<!--.*?-->"
+_TAG = r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>"
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.pandas_udf(T.StringType())
-def unescape_entities(s: pd.Series) -> pd.Series:
-    """Arrow-batched HTML entity decoding (stdlib table, every named entity)."""
-    return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
+def _decode(ref: Column) -> Column:
+    """One reference with its ``&``: the character, or the text as it stands."""
+    names = F.map_from_arrays(F.array(*map(F.lit, _NAMED)), F.array(*map(F.lit, _NAMED.values())))
+    hexed = F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]+)", 1)
+    point = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(ref, r"^&#([0-9]+)", 1)).try_cast("long")
+    valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return F.when(valid, char).otherwise(F.coalesce(F.try_element_at(names, F.substring(ref, 2, 40)), ref))
+
+
+def unescape_entities(col) -> Column:
+    """HTML character references decoded, named (with or, where HTML allows it,
+    without a semicolon) and numeric, in one pass over the text: parts and
+    references are taken apart, decoded and laid together again.  A text
+    without ``&`` is left alone."""
+    c = _c(col)
+    refs = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
+    parts = F.split(c, _REFERENCE, -1)
+    pairs = F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(_decode(r), F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(pairs, "")).otherwise(c)
 
 
 def strip_tags(col) -> Column:
-    """Replace tags by a space, collapse whitespace, trim (JVM-side)."""
-    out = F.regexp_replace(_c(col), r"<[^>]*>", " ")
+    """Replace comments and tags by a space, collapse whitespace, trim.  A tag
+    begins with a letter, a slash and a letter, ``!`` or ``?``, so a "less than"
+    in the text stays with what follows it."""
+    out = F.regexp_replace(_c(col), _COMMENT, " ")
+    out = F.regexp_replace(out, _TAG, " ")
     out = F.regexp_replace(out, r"\s+", " ")
     return F.regexp_replace(out, r"^ | $", "")
 
 
 def clean_html(col, unescape: bool = True) -> Column:
-    """Title/abstract clean-up: entities decoded first, then tags stripped.
-
-    Decoding first means an escaped tag (`&lt;b&gt;`) is removed as a tag.
-    The only Python step is the entity table; tag stripping is a regex.
-    """
+    """Title/abstract clean-up: character references decoded first, then tags
+    stripped, so an escaped tag (`&lt;b&gt;`) is removed as a tag."""
     c = _c(col)
     if unescape:
         c = unescape_entities(c)

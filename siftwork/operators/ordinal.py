@@ -11,10 +11,10 @@ ranks with a range shuffle instead:
    (reliable, to ``spark.checkpoint.dir``) so sampled range bounds and
    positions can never change under recomputation after executor loss.
 3. A small table of (task, group) -> first position, row count is prefix-
-   summed per group; its size is at most tasks + groups.  It is broadcast
-   when a counted bound allows, otherwise joined by shuffle.
+   summed per group; its size is at most tasks + groups, and the join is left
+   to the optimiser.  Null group keys are groups like any other.
 
-``method="window"`` keeps the plain window for groups known to be small.
+``method="window"`` is the plain window: the twin that tests compare with.
 """
 
 from __future__ import annotations
@@ -26,19 +26,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# offsets table rows we are willing to broadcast (rows are ~40 bytes + keys)
-MAX_BROADCAST_OFFSETS = 2_000_000
-# largest group a single task may sort for a plain window (spillable sort)
-WINDOW_MAX_GROUP_ROWS = 4_000_000
-
-
-def choose_method(max_group_rows: int | None) -> str:
-    """"window" when the largest group is known to fit one task, else "range"."""
-    if max_group_rows is not None and max_group_rows <= WINDOW_MAX_GROUP_ROWS:
-        return "window"
-    return "range"
-
-
 def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
@@ -77,12 +64,14 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     offsets = spans.select(
         "_pid", *by, "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    if offsets.count() <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
-    # group keys must be non-null (they are, for every caller in this package)
-    joined = placed.join(offsets, on=["_pid", *by], how="inner")
+    keyed = offsets.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
+                           "_first", "_before")
+    same = placed["_pid"] == keyed["_p"]
+    for i, c in enumerate(by):
+        same = same & placed[c].eqNullSafe(keyed[f"_k{i}"])
+    joined = placed.join(keyed, on=same, how="inner")
     rank = (F.col("_pos") - F.col("_first") + F.col("_before") + 1).cast("long")
-    return joined.select(*cols, rank.alias(name))
+    return joined.select(*[placed[c] for c in cols], rank.alias(name))
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int,

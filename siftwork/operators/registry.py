@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from .ordinal import ordinal, top_k
 
-# dimension lists we are willing to inline into a plan
-MAX_INLINE_DIMENSION = 100_000
-
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``existing`` (``NOT EXISTS``)."""
@@ -61,16 +58,11 @@ def fan_out(strategies: DataFrame, reviews: DataFrame, shots: Sequence[str],
             review_col: str = "review_id") -> DataFrame:
     """Broad strategies become one strategy per (review, shot).
 
-    The review list is a dimension: it is counted, checked against
-    ``MAX_INLINE_DIMENSION`` and inlined as a literal array, so the fan-out
-    is a narrow ``explode`` of each strategy row, not a join.
-    """
+    The product of two dimensions is what is asked for: every strategy with
+    every distinct review (a null review is one, too).  Neither side goes
+    through the driver."""
     ids = reviews.select(review_col).distinct()
-    n = ids.count()
-    if n > MAX_INLINE_DIMENSION:
-        raise ValueError(f"{n} reviews is above the dimension bound {MAX_INLINE_DIMENSION}")
-    values = sorted(r[0] for r in ids.collect() if r[0] is not None)
-    out = strategies.withColumn(review_col, F.explode(F.array(*[F.lit(v) for v in values])))
+    out = strategies.crossJoin(ids)
     return out.withColumn("vector_search", F.explode(F.array(*[F.lit(s) for s in shots])))
 
 

@@ -2,17 +2,15 @@
 
 Scale notes
 -----------
-* Scoring is exact (no index), like the evaluated workflow.  Query vectors
-  are few (at most a handful per review), so they are the broadcast side:
-  their count and byte size are checked before they are collected; the
-  document side streams through ``mapInPandas`` in Arrow batches and each
-  batch is one NumPy matrix product per search space.
-* Above the broadcast bound the scorer falls back to an equi-join on the
-  search-space key with a JVM dot product (AQE splits skewed spaces).
-* Ranking per query and the fused ranking pick their physical form from
-  measured bounds (``rank_and_fuse``): one shuffle per strategy when a
-  strategy fits a task, plain windows when a search space does, else the
-  distributed ordinal (``operators.ordinal``) so no group needs one task.
+* Scoring is exact (no index), like the evaluated workflow.  The documents
+  stream through ``mapInPandas`` in Arrow batches, one NumPy matrix product per
+  batch and search space.  The query vectors are written once and sent in
+  blocks of at most ``BLOCK_BYTES``: more queries mean more blocks, never
+  another algorithm.
+* The length of a vector is declared (``EMBEDDING_DIM``), not inferred.  Vectors
+  of another length are not scored; ``quality.embedding_coverage`` reports them.
+* Ranking per query and the fused ranking use the distributed ordinal
+  (``operators.ordinal``), so no group needs one task.
 """
 
 from __future__ import annotations
@@ -28,23 +26,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RRF_K
-from .ordinal import WINDOW_MAX_GROUP_ROWS, choose_method, ordinal
+from ..session import stored_once
+from .ordinal import ordinal
 
-MAX_QUERY_ROWS = 250_000
-MAX_QUERY_BYTES = 256 << 20
+# declared length of a vector, and bytes of query vectors sent in one block
+EMBEDDING_DIM = 64
+BLOCK_BYTES = 64 << 20
 # output cells (docs x queries) produced per pandas frame inside a task
 CELLS_PER_FRAME = 2_000_000
 
 
 # ---------------------------------------------------------------- encoding --
 
-def hashing_encoder(dim: int = 64, max_tokens: int | None = None) -> Callable[[pd.Series], list]:
+def hashing_encoder(dim: int = EMBEDDING_DIM) -> Callable[[pd.Series], list]:
     """Deterministic signed feature-hashing encoder (the default plug-in).
 
     Lower-cased word tokens of the whole text, hashed with md5 into ``dim``
     buckets with a sign bit, L2-normalised.  A transformer encoder can be
-    plugged in with the same signature; ``max_tokens`` is only for a model
-    with a fixed input window.
+    plugged in with the same signature.
     """
     token = re.compile(r"\w+", re.UNICODE)
 
@@ -55,7 +54,7 @@ def hashing_encoder(dim: int = 64, max_tokens: int | None = None) -> Callable[[p
                 out.append(None)
                 continue
             v = np.zeros(dim, dtype=np.float64)
-            for w in token.findall(t.lower())[:max_tokens]:  # None = all tokens
+            for w in token.findall(t.lower()):
                 h = int.from_bytes(hashlib.md5(w.encode("utf-8")).digest()[:8], "little")
                 v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
             n = np.linalg.norm(v)
@@ -180,44 +179,26 @@ def valid_vector(col: str, dim: int):
 
 
 class QueryMatrix:
-    """The (few) query vectors, collected once behind a size check and
-    shipped to every task as one broadcast variable."""
+    """The query vectors, written once and sent to the tasks block by block."""
 
-    def __init__(self, meta: pd.DataFrame, mat: np.ndarray, dim: int, space_col: str,
-                 query_cols: Sequence[str]):
-        self.meta, self.mat, self.dim = meta, mat, dim
+    def __init__(self, queries: DataFrame, blocks: int, dim: int, space_col: str, query_cols: Sequence[str],
+                 vec_col: str):
+        self.queries, self.blocks, self.dim, self.vec_col = queries, blocks, dim, vec_col
         self.space_col, self.query_cols = space_col, list(query_cols)
 
     @classmethod
     def collect(cls, queries: DataFrame, space_col: str, query_cols: Sequence[str],
-                vec_col: str = "embedding", dim: int | None = None,
-                extra_cols: Sequence[str] = ()) -> "QueryMatrix | None":
-        """None when the query set is above the broadcast bound."""
-        qsel = queries.select(*query_cols, space_col, "query_id", *extra_cols, vec_col).persist()
-        try:
-            stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-            n_q, d = int(stats["n"]), int(dim or stats["d"] or 0)
-            if n_q > MAX_QUERY_ROWS or n_q * max(d, 1) * 8 > MAX_QUERY_BYTES:
-                return None
-            qpdf = qsel.toPandas()      # bounded by the checks above
-        finally:
-            qsel.unpersist()
-        mat, keep = _unit_rows(qpdf[vec_col].tolist(), d)
-        meta = qpdf.drop(columns=[vec_col]).iloc[keep].reset_index(drop=True)
-        return cls(meta, mat, d, space_col, query_cols)
-
-    def as_dataframe(self, spark) -> DataFrame:
-        """The scorable query rows (no vectors) as a small local relation:
-        downstream joins read it instead of re-deriving the query set."""
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in self.meta.columns])
-        rows = [tuple(None if pd.isna(v) else str(v) for v in r)
-                for r in self.meta.itertuples(index=False)]
-        return spark.createDataFrame(rows, schema)
-
-    def max_queries_per_strategy(self) -> int:
-        if not len(self.meta):
-            return 0
-        return int(self.meta.groupby([*self.query_cols, self.space_col]).size().max())
+                vec_col: str = "embedding", dim: int = EMBEDDING_DIM,
+                extra_cols: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> "QueryMatrix":
+        q = queries.select(*query_cols, space_col, "query_id", *extra_cols, vec_col)
+        q = stored_once(q.where(valid_vector(vec_col, dim)))
+        text = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in (*query_cols, space_col, "query_id")]))
+        size = q.agg(F.sum(text + dim * 8 + 64)).first()[0] or 0
+        return cls(q, max(1, -(-size // block_bytes)), dim, space_col, query_cols, vec_col)
+
+    def rows(self) -> DataFrame:
+        """The scorable query rows, without their vectors."""
+        return self.queries.drop(self.vec_col)
 
     def score(self, space: DataFrame, doc_cols: Sequence[str] = ("article_id", "original_id"),
               vec_col: str = "embedding") -> DataFrame:
@@ -226,16 +207,27 @@ class QueryMatrix:
         spark = space.sparkSession
         space_col, dim, doc_cols = self.space_col, self.dim, list(doc_cols)
         qcols = [*self.query_cols, "query_id"]
-        meta_schema = {c: T.StringType() for c in qcols}
         out_schema = T.StructType(
-            [T.StructField(c, meta_schema[c]) for c in self.query_cols]
+            [T.StructField(c, T.StringType()) for c in self.query_cols]
             + [space.schema[space_col], T.StructField("query_id", T.StringType())]
             + [space.schema[c] for c in doc_cols]
             + [T.StructField("cosine_similarity", T.DoubleType())])
-        groups = {k: np.asarray(v) for k, v in self.meta.groupby(space_col).indices.items()} \
-            if len(self.meta) else {}
-        bc = spark.sparkContext.broadcast((self.meta, self.mat, groups))
         names = out_schema.names
+        docs_in = space.select(space_col, *doc_cols, vec_col)
+        out = None
+        for k in range(self.blocks):
+            block = F.pmod(F.xxhash64(space_col, *qcols), F.lit(self.blocks)) == k
+            meta = self.queries.where(block).select(space_col, *qcols, self.vec_col).toPandas()   # at most a block
+            mat, keep = _unit_rows(meta[self.vec_col].tolist(), dim)
+            meta = meta.drop(columns=[self.vec_col]).iloc[keep].reset_index(drop=True)
+            groups = {g: np.asarray(v) for g, v in meta.groupby(space_col).indices.items()} if len(meta) else {}
+            part = docs_in.mapInPandas(self._scorer(spark.sparkContext.broadcast((meta, mat, groups)), qcols, doc_cols,
+                                                    vec_col, names), out_schema)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _scorer(self, bc, qcols, doc_cols, vec_col, names):
+        space_col, dim = self.space_col, self.dim
 
         def run(batches):
             meta, mat, grp = bc.value
@@ -259,13 +251,13 @@ class QueryMatrix:
                         frame["cosine_similarity"] = np.clip(sim.ravel(), -1.0, 1.0)
                         yield pd.DataFrame(frame)[names]
 
-        return space.select(space_col, *doc_cols, vec_col).mapInPandas(run, out_schema)
+        return run
 
 
 def cosine_scores(queries: DataFrame, space: DataFrame, space_col: str = "database",
                   query_cols: Sequence[str] = ("scope", "shot", "review_id"),
                   doc_cols: Sequence[str] = ("article_id", "original_id"),
-                  vec_col: str = "embedding", dim: int | None = None,
+                  vec_col: str = "embedding", dim: int = EMBEDDING_DIM,
                   matrix: QueryMatrix | None = None) -> DataFrame:
     """Cosine similarity of every query with every document of its space.
 
@@ -273,35 +265,9 @@ def cosine_scores(queries: DataFrame, space: DataFrame, space_col: str = "databa
     Output: query_cols + space + query_id + doc_cols + cosine_similarity.
     """
     qm = matrix or QueryMatrix.collect(queries, space_col, query_cols, vec_col, dim)
-    if qm is None:
-        qsel = queries.select(*query_cols, space_col, "query_id", vec_col)
-        d = dim or int(qsel.agg(F.max(F.size(vec_col))).first()[0] or 0)
-        return _cosine_by_join(qsel, space, space_col, query_cols, doc_cols, vec_col, d)
     return qm.score(space, doc_cols, vec_col)
 
 
-def _cosine_by_join(qsel, space, space_col, query_cols, doc_cols, vec_col, dim):
-    """Fallback for very large query sets: equi-join on the space key and a
-    JVM dot product of pre-normalised vectors (AQE splits a skewed space)."""
-    def unit(df):
-        v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.where(valid_vector(vec_col, dim)).withColumn("_norm", norm) \
-            .withColumn(vec_col, F.transform(v, lambda x: x / F.col("_norm"))).drop("_norm")
-    q = unit(qsel).withColumnRenamed(vec_col, "_q")
-    d = unit(space.select(space_col, *doc_cols, vec_col)).withColumnRenamed(vec_col, "_d")
-    dot = F.aggregate(F.zip_with("_q", "_d", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return q.join(d, on=space_col).select(*query_cols, space_col, "query_id", *doc_cols,
-                                          F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0))
-                                          .alias("cosine_similarity"))
-
-
-def largest_space(space: DataFrame, space_col: str = "database") -> int:
-    """Rows of the biggest search space (a measured bound on ranking groups)."""
-    r = space.groupBy(space_col).count().agg(F.max("count")).first()
-    return int(r[0] or 0)
-
-
 def dedupe_space(space: DataFrame, space_col: str = "database", id_col: str = "original_id",
                  order_col: str = "article_id") -> DataFrame:
     """Search space: one row per (space, original id), lowest article id.
@@ -316,7 +282,7 @@ def space_sizes(space: DataFrame, strategies: DataFrame, dim: int, space_col: st
                 vec_col: str = "embedding") -> DataFrame:
     """Ranked documents per strategy without touching the scored pairs: the
     scorable documents of its space, for each strategy (strategies that
-    have a scorable query; e.g. ``QueryMatrix.as_dataframe``)."""
+    have a scorable query; e.g. ``QueryMatrix.rows``)."""
     docs = space.where(valid_vector(vec_col, dim)).groupBy(space_col) \
         .agg(F.count(F.lit(1)).alias("_n"))
     return strategies.join(docs, space_col, "inner")
@@ -342,50 +308,27 @@ def _fuse(ranked, keys, k, decimals, method):
 
 def rank_and_fuse(queries: DataFrame, space: DataFrame, space_col: str = "database",
                   query_cols: Sequence[str] = ("scope", "shot", "review_id"),
-                  k: int = RRF_K, method: str = "auto", cos_decimals: int = 9,
-                  rrf_decimals: int = 12,
+                  k: int = RRF_K, method: str = "range", cos_decimals: int = 9,
+                  rrf_decimals: int = 12, dim: int = EMBEDDING_DIM,
                   matrix: QueryMatrix | None = None) -> tuple[DataFrame, DataFrame, str]:
     """Per-query cosine ranking and its reciprocal-rank fusion.
 
-    Physical strategy, chosen from measured bounds (``method="auto"``):
-
-    * ``strategy``: every pair of one strategy fits a task (queries of the
-      strategy x its space size <= bound) -> one hash shuffle on the
-      strategy serves the per-query window, the fusion aggregate and the
-      combined-rank window.
-    * ``window``: one search space fits a task -> plain windows.
-    * ``range``: otherwise -> distributed ordinal, no group in one task.
-
-    Returns (ranked, fused, method used).
-    """
+    One physical form at every size, the distributed ordinal (``range``);
+    ``window`` is its twin for tests.  Returns (ranked, fused, method)."""
     keys = [*query_cols, space_col]
-    qm = matrix or QueryMatrix.collect(queries, space_col, query_cols)
-    if method == "auto":
-        biggest = largest_space(space, space_col)
-        per_strategy = (qm.max_queries_per_strategy() if qm else None)
-        if per_strategy is not None and per_strategy * biggest <= WINDOW_MAX_GROUP_ROWS:
-            method = "strategy"
-        else:
-            method = choose_method(biggest)
+    qm = matrix or QueryMatrix.collect(queries, space_col, query_cols, dim=dim)
     scored = cosine_scores(queries, space, space_col, query_cols, matrix=qm)
-    if method == "strategy":
-        # key-only repartition: AQE may coalesce it to fit the data
-        local = scored.repartition(*keys)
-        ranked = _rank_queries(local, [*keys, "query_id"], "window", cos_decimals)
-        fused = _fuse(ranked, keys, k, rrf_decimals, "window")
-    else:
-        ranked = _rank_queries(scored, [*keys, "query_id"], method, cos_decimals)
-        fused = _fuse(ranked, keys, k, rrf_decimals, method)
-    return ranked, fused, method
+    ranked = _rank_queries(scored, [*keys, "query_id"], method, cos_decimals)
+    return ranked, _fuse(ranked, keys, k, rrf_decimals, method), method
 
 
 def cosine_rank(queries: DataFrame, space: DataFrame, space_col: str = "database",
                 query_cols: Sequence[str] = ("scope", "shot", "review_id"),
-                decimals: int = 9, method: str = "auto") -> DataFrame:
+                decimals: int = 9, method: str = "range", dim: int = EMBEDDING_DIM) -> DataFrame:
     """Rank documents per query: cosine desc (rounded to ``decimals`` so ties
     are decided the same everywhere), then original_id."""
     return rank_and_fuse(queries, space, space_col, query_cols, method=method,
-                         cos_decimals=decimals)[0]
+                         cos_decimals=decimals, dim=dim)[0]
 
 
 def rrf_fuse(ranked: DataFrame, k: int = RRF_K, space_col: str = "database",

@@ -90,8 +90,9 @@ def significance_code(p: str | Column) -> Column:
 
 
 def p_text(p: str | Column) -> Column:
+    """``<0.01`` up to and including 0.01, else six decimals."""
     c = F.col(p) if isinstance(p, str) else p
-    return F.when(c < 0.01, F.lit("<0.01")).otherwise(F.format_number(c, 2))
+    return F.when(c <= 0.01, F.lit("<0.01")).otherwise(F.format_string("%.6f", c))
 
 
 def ratio_effects(df: DataFrame, est: str = "estimate", lo: str = "lower", hi: str = "upper") -> DataFrame:

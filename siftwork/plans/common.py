@@ -52,7 +52,7 @@ articles AS (
   SELECT doc_id AS article_id,
          {SQL_DB_OF_LANG.format(c='lang')} AS database,
          source AS review_id,
-         {sql_messy_id('doc_id', 'substr(md5(text), 1, 12)')} AS original_id,
+         {sql_messy_id('doc_id', 'md5(text)')} AS original_id,
          CAST(1985 + doc_id % 45 AS INTEGER) AS publication_year,
          text
   FROM documents
@@ -63,10 +63,10 @@ SQL_TRUTH = f"""
 truth AS (
   SELECT doc_id AS ground_truth_article_id,
          source AS review_id,
-         substr(md5(text), 1, 12) AS included_reference,
-         CASE WHEN doc_id % 7 <> 0 THEN {sql_messy_id('doc_id', 'substr(md5(text), 1, 12)')} END AS retrieved_pubmed_id,
-         CASE WHEN doc_id % 7 <> 1 THEN {sql_messy_id('doc_id', 'substr(md5(text), 1, 12)')} END AS retrieved_embase_id,
-         CASE WHEN doc_id % 7 <> 2 THEN {sql_messy_id('doc_id', 'substr(md5(text), 1, 12)')} END AS retrieved_oa_id,
+         md5(text) AS included_reference,
+         CASE WHEN doc_id % 7 <> 0 THEN {sql_messy_id('doc_id', 'md5(text)')} END AS retrieved_pubmed_id,
+         CASE WHEN doc_id % 7 <> 1 THEN {sql_messy_id('doc_id', 'md5(text)')} END AS retrieved_embase_id,
+         CASE WHEN doc_id % 7 <> 2 THEN {sql_messy_id('doc_id', 'md5(text)')} END AS retrieved_oa_id,
          CAST(1985 + doc_id % 45 AS INTEGER) AS publication_year,
          CASE WHEN doc_id % 11 <> 0 THEN CAST(2000 + doc_id % 10 AS INTEGER) END AS searchstrat_year_start,
          CASE WHEN doc_id % 3 = 0 THEN 'Y' WHEN doc_id % 3 = 1 THEN 'N' END AS sr_update

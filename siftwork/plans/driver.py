@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.truth import stable_sample
-from ..sources.tables import spread_input
 from ..schemas import GOLD_SAMPLE_SEED, GOLD_SAMPLE_SIZE
 
 LANG_DB = {"en": "pubmed", "fr": "medline", "de": "embase", "es": "openalex"}
@@ -28,8 +27,8 @@ DB_BY_MOD4 = ["pubmed", "medline", "embase", "openalex"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; one large row group is spread over the cores."""
-    return spread_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table, as Spark splits it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _db_of_lang(col):
@@ -40,7 +39,7 @@ def _db_of_lang(col):
 
 
 def _text_key(text_col="text"):
-    return F.substring(F.md5(F.col(text_col)), 1, 12)
+    return F.md5(F.col(text_col))
 
 
 def _messy_id(n_col, key):

@@ -94,8 +94,8 @@ def strategy_catalog_q(spark, sf):
 
 
 def vs_report_q(spark, sf):
-    run = VectorRun(spark, sf)
-    m = run.metrics().where((F.col("truth_kind") == "raw") & (F.col("shot") == "few-shot"))
+    run = VectorRun(spark, sf, shots=("few-shot",))
+    m = run.metrics().where(F.col("truth_kind") == "raw")
     m = prefer_cutoff(m.drop("nnr_raw").withColumnRenamed("nnr_cutoff", "nnr"),
                       ["recall", "precision", "f1_score", "f2_score", "f3_score", "overall_screening_workload"])
     m = fill_nnr(m)

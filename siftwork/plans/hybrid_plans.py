@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators.matching import truth_by_database
 from ..operators.ranked import ranked_metrics, scope_truth
-from ..operators.retrieval import (QueryMatrix, all_scenarios, dedupe_space, on_spaces,
+from ..operators.retrieval import (QueryMatrix, all_scenarios, on_spaces,
                                    rank_and_fuse, space_sizes)
 from ..operators.truth import build_evaluation_set, build_gold_set
 from ..schemas import SCOPES
+from ..session import stored_once
 from . import driver
 from .common import DATABASES4, SQL_ARTICLES, SQL_TRUTH, round_doubles, sql_round, sql_truth_long
 from .eval_plans import _SQL_BROAD_RES, _SQL_EVAL_SET, _SQL_GOLD_CTES, broad_results
@@ -26,32 +27,29 @@ SHOTS_WITH_ARTICLES = ("one-shot", "few-shot")
 
 class SearchThenRank:
     def __init__(self, spark: SparkSession, sf_dir: str, scopes=SCOPES, shots=SHOTS_WITH_ARTICLES,
-                 method: str = "auto"):
+                 method: str = "range"):
         emb = driver.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), "embedding")
         results = broad_results(spark, sf_dir).select("database", "article_id", "original_id")
-        self.space = dedupe_space(results.join(emb, "article_id", "left"))
+        # broad results hold an id once per database, so one join is all
+        self.space = results.join(emb, "article_id", "left")
         # the included-article tables are small and feed the gold set, the
         # queries and the evaluation: build each once per run
-        truth = driver.truth(spark, sf_dir).persist()
-        self.eval_set = build_evaluation_set(truth).persist()
+        truth = stored_once(driver.truth(spark, sf_dir))
+        self.eval_set = stored_once(build_evaluation_set(truth))
         gold = build_gold_set(truth, self.eval_set, require_text=False)
         gold_vecs = gold.select("review_id", "ground_truth_article_id").join(
-            emb.withColumnRenamed("article_id", "ground_truth_article_id"), "ground_truth_article_id").persist()
-        queries = on_spaces(all_scenarios(gold_vecs, None, scopes, shots), DATABASES4).persist()
+            emb.withColumnRenamed("article_id", "ground_truth_article_id"), "ground_truth_article_id")
+        queries = on_spaces(all_scenarios(gold_vecs, None, scopes, shots), DATABASES4)
         self.matrix = QueryMatrix.collect(queries, "database", ["scope", "shot", "review_id"],
                                           extra_cols=["query_kind"])
-        self.query_rows = self.matrix.as_dataframe(spark) if self.matrix else queries.drop("embedding")
+        self.query_rows = self.matrix.rows()
         self.ranked, self.fused, self.method = rank_and_fuse(queries, self.space, method=method,
                                                              matrix=self.matrix)
-        if self.matrix is not None:
-            queries.unpersist()
 
     def metrics(self) -> DataFrame:
         truth = scope_truth(truth_by_database(self.eval_set, DATABASES4,
                                               keep=["ground_truth_article_id", "review_id"]))
-        n_docs = None
-        if self.matrix is not None:
-            n_docs = space_sizes(self.space, self.query_rows.select(*KEYS).distinct(), self.matrix.dim)
+        n_docs = space_sizes(self.space, self.query_rows.select(*KEYS).distinct(), self.matrix.dim)
         return ranked_metrics(self.fused, truth, self.query_rows, keys=KEYS, n_docs=n_docs)
 
 

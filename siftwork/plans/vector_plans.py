@@ -10,6 +10,7 @@ from ..operators.matching import truth_by_database
 from ..operators.ranked import cutoff_prefix, ranked_metrics, scope_truth
 from ..operators.retrieval import (QueryMatrix, all_scenarios, dedupe_space, on_spaces, pick_one,
                                    rank_and_fuse, select_queries, space_sizes, topic_vectors)
+from ..session import stored_once
 from ..schemas import RANKED_METRIC_COLUMNS, SCOPES, SHOTS
 from . import driver
 from .common import DATABASES4, SQL_VECTORS, round_doubles, sql_clean_id, sql_round
@@ -21,25 +22,16 @@ class VectorRun:
     """Every stage of the vector workflow as lazily built DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, scopes=SCOPES, shots=SHOTS,
-                 method: str = "auto"):
+                 method: str = "range"):
         self.vecs = driver.vectors(spark, sf_dir)
-        # gold vectors: at most a few per review; four query scenarios read them
-        self.gold = driver.vector_gold(self.vecs).persist()
-        # one vector per review, read by both zero-shot scenarios
-        self.topics = topic_vectors(self.vecs).persist()
-        # the query set is small and bounded (QueryMatrix checks it); it feeds
-        # the scorer, the query-id exclusion and the strategy list, so keep it
-        self.queries = on_spaces(all_scenarios(self.gold, self.topics, scopes, shots),
-                                 DATABASES4).persist()
+        # gold vectors, at most a few per review, and one vector per review
+        self.gold = stored_once(driver.vector_gold(self.vecs))
+        self.topics = topic_vectors(self.vecs)
+        self.queries = on_spaces(all_scenarios(self.gold, self.topics, scopes, shots), DATABASES4)
         self.space = dedupe_space(self.vecs.select("database", "article_id", "original_id", "embedding"))
         self.matrix = QueryMatrix.collect(self.queries, "database", ["scope", "shot", "review_id"],
                                           extra_cols=["query_kind"])
-        if self.matrix is not None:
-            # downstream steps read the collected (bounded) query rows
-            self.query_rows = self.matrix.as_dataframe(spark)
-            self.queries.unpersist()
-        else:
-            self.query_rows = self.queries.drop("embedding")
+        self.query_rows = self.matrix.rows()
         self.ranked, self.fused, self.method = rank_and_fuse(self.queries, self.space, method=method,
                                                              matrix=self.matrix)
 
@@ -49,11 +41,7 @@ class VectorRun:
         return scope_truth(long)
 
     def metrics(self) -> DataFrame:
-        if self.matrix is not None:
-            strategies = self.query_rows.select(*KEYS).distinct()
-            n_docs = space_sizes(self.space, strategies, self.matrix.dim)
-        else:
-            n_docs = None
+        n_docs = space_sizes(self.space, self.query_rows.select(*KEYS).distinct(), self.matrix.dim)
         return ranked_metrics(self.fused, self.truth(), self.query_rows, keys=KEYS, n_docs=n_docs)
 
 

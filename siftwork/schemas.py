@@ -115,6 +115,7 @@ OPENALEX_PAGE = T.StructType([
         ])),
         T.StructField("title", T.StringType()),
         T.StructField("publication_year", T.IntegerType()),
+        T.StructField("publication_date", T.DateType()),
         T.StructField("type", T.StringType()),
         T.StructField("abstract_inverted_index",
                       T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))),

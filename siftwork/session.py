@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -57,3 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="siftwork-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
+
+
+def stored_once(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there: for small
+    tables that several parts of a plan read.  Nothing stays in executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -26,6 +26,7 @@ def read_landed_pages(spark: SparkSession, path: str, multiline: bool = True) ->
         F.col("w.ids.*"),
         F.col("w.title").alias("title"),
         F.col("w.publication_year").alias("publication_year"),
+        F.col("w.publication_date").alias("publication_date"),
         F.col("w.type").alias("type"),
         decode_inverted_index(F.col("w.abstract_inverted_index")).alias("abstract"),
         F.col("w.primary_topic.id").alias("topic_id"),

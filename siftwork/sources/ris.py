@@ -89,7 +89,7 @@ def read_tagged_records(spark: SparkSession, path: str,
                         question_from_name: bool = True) -> DataFrame:
     """Read every export of a folder (top level) into typed columns plus
     ``origin_file`` and, from the file name, ``question_id``."""
-    raw = (spark.read.option("lineSep", RECORD_SEP).text(path)
+    raw = (spark.read.option("lineSep", RECORD_SEP).option("pathGlobFilter", "*.ris").text(path)
            .select("value", F.col("_metadata.file_name").alias("origin_file")))
     out = project_fields(parse_records(raw), tag_map)
     if question_from_name:

@@ -5,9 +5,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordinal import top_k
+
+# what a read of a table that was never written fails with
+_ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``; None if there is none.  Any other failure
+    is raised, so that an unreadable table is never taken for an absent one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in _ABSENT:
+            return None
+        raise
+
 
 def path_safe(col: str | Column) -> Column:
     """Question id usable as a folder name ('.', '/', '\\' -> '_')."""
@@ -39,25 +56,29 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     """Reuse a stored stage unless ``refresh``; otherwise build, write, and
     read back (the written table also cuts the lineage)."""
     if not refresh:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - absent stage: build it
-            pass
+        found = stored(spark, path)
+        if found is not None:
+            return found
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def first_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the first by the hash of the whole row."""
+    whole = F.xxhash64(*[F.to_json(F.struct(*df.columns))])
+    return top_k(df, keys, [whole.asc()], 1, name="_rn").drop("_rn")
+
+
 def append_new(df: DataFrame, path: str, keys: Sequence[str], spark: SparkSession) -> int:
-    """Append only rows whose key is not stored yet (idempotent re-runs).
-    Returns the number of appended rows."""
-    try:
-        existing = spark.read.parquet(path).select(*keys)
-        new = df.join(existing, list(keys), "left_anti")
-    except Exception:  # noqa: BLE001 - first write
-        new = df
-    new = new.persist()
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    new.unpersist()
-    return n
+    """Append one row per key that is not stored yet (idempotent re-runs; null
+    keys are equal to each other).  Returns the number of appended rows."""
+    new, existing = first_per_key(df, keys), stored(spark, path)
+    if existing is not None:
+        e = existing.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & new[k].eqNullSafe(e[f"_e{i}"])
+        new = new.join(e, same, "left_anti")
+    before = existing.count() if existing is not None else 0
+    new.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before

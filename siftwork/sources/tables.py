@@ -68,24 +68,5 @@ def for_review(df: DataFrame, review: str, col: str = "evidence_review_id") -> D
 def review_ids(strategies: DataFrame, search_types: DataFrame, type_name: str) -> DataFrame:
     """Distinct review ids that have a strategy of the given search type."""
     t = search_types.where(F.col("name") == type_name).select("search_type_id")
-    return strategies.join(F.broadcast(t), "search_type_id", "left_semi") \
+    return strategies.join(t, "search_type_id", "left_semi") \
         .select("evidence_review_id").distinct()
-
-
-def spread_input(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
-    """Spread a scan that landed in fewer partitions than the cluster has
-    cores (a single large row group) so per-row text work runs in parallel.
-
-    Decided from Catalyst's size estimate and the scan's partition count;
-    inputs already split over many files/row groups are returned as they
-    are, so at scale this never adds a shuffle.
-    """
-    try:
-        spark = df.sparkSession
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= par:
-            return df
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): leave as is
-        return df
-    return df.repartition(par) if size >= min_bytes else df

@@ -10,6 +10,7 @@ is given.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Sequence
 
@@ -20,23 +21,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ordinal import top_k
 from ..session import ensure_checkpoint_dir
+from ..sources.sinks import stored
 
 
 def ingest_new_keys(spark: SparkSession, source_dir: str, schema: T.StructType, target: str,
                     keys: Sequence[str], fmt: str = "parquet", order_col: str | None = None,
                     checkpoint: str | None = None, once: bool = True) -> StreamingQuery:
     """Stream ``source_dir`` into the Parquet table ``target``, new keys only."""
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "ingest-" + os.path.basename(target))
+    # one checkpoint for each full target path
+    name = "ingest-" + hashlib.sha256(target.rstrip("/").encode()).hexdigest()
+    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), name)
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         order = [F.col(order_col).asc()] if order_col else [F.col(k).asc() for k in keys]
         first = top_k(batch, keys, order, 1, name="_rn").drop("_rn")
-        try:
-            existing = batch.sparkSession.read.parquet(target).select(*keys)
-            first = first.join(existing, list(keys), "left_anti")
-        except Exception:  # noqa: BLE001 - target not written yet
-            pass
+        existing = stored(batch.sparkSession, target)
+        if existing is not None:
+            first = first.join(existing.select(*keys), list(keys), "left_anti")
         first.write.mode("append").parquet(target)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)

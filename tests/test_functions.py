@@ -85,3 +85,21 @@ def test_inverted_index_round_trip(spark):
     assert got[1][1] == "the cat sat the mat"
     assert got[2][1] == ""
     assert got[3][1] == "a b a"
+
+
+def test_clean_html_keeps_comparisons(spark):
+    for text, want in [
+        ("HbA1c &lt; 7% in women and BMI &gt; 30 kg", "HbA1c < 7% in women and BMI > 30 kg"),
+        ("p < 0.05 in 40 arms, n > 100", "p < 0.05 in 40 arms, n > 100"),
+        ("a<!-- a > b -->c", "a c"),
+        ("x &amp; y &#233; &#x1F600; &copy &nosuch; &", "x & y é \U0001F600 © &nosuch; &"),
+        ("&lt;b&gt;bold&lt;/b&gt;<br/>end<?xml v?>", "bold end"),
+    ]:
+        assert one(spark, clean_html(F.col("x")), text) == want
+
+
+def test_p_text(spark):
+    from siftwork.operators.stats import p_text
+
+    assert one(spark, p_text(F.col("x").cast("double")), "0.01") == "<0.01"
+    assert one(spark, p_text(F.col("x").cast("double")), "0.014") == "0.014000"

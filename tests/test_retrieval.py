@@ -97,7 +97,7 @@ def _queries(spark):
 
 def test_cosine_matches_numpy(spark):
     got = {(r["query_id"], r["original_id"]): r["cosine_similarity"]
-           for r in cosine_scores(_queries(spark), _space(spark)).collect()}
+           for r in cosine_scores(_queries(spark), _space(spark), dim=3).collect()}
     docs = {"d1": [1, 0, 0], "d2": [0.6, 0.8, 0], "d6": [0, 1, 1]}
     qs = {"q1": [1, 1, 0], "q2": [0, 0, 2]}
     want = {}
@@ -110,12 +110,12 @@ def test_cosine_matches_numpy(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-12)
 
 
-@pytest.mark.parametrize("method", ["strategy", "window", "range"])
+@pytest.mark.parametrize("method", ["window", "range"])
 def test_rank_and_fuse_methods_agree(spark, method):
-    ranked, fused, used = rank_and_fuse(_queries(spark), _space(spark), method=method)
+    ranked, fused, used = rank_and_fuse(_queries(spark), _space(spark), dim=3, method=method)
     assert used == method
     got = sorted((r["original_id"], r["combined_rank"], r["rrf_score"]) for r in fused.collect())
-    _, ref, _ = rank_and_fuse(_queries(spark), _space(spark), method="window")
+    _, ref, _ = rank_and_fuse(_queries(spark), _space(spark), dim=3, method="window")
     want = sorted((r["original_id"], r["combined_rank"], r["rrf_score"]) for r in ref.collect())
     assert got == want
     ranks = sorted(r["combined_rank"] for r in fused.collect())
@@ -154,14 +154,26 @@ def test_embed_hashing_encoder(spark):
     assert np.linalg.norm(rows[1]) == pytest.approx(1.0)
 
 
-def test_join_fallback_equals_matrix_path(spark, monkeypatch):
+def test_blocks_of_queries_score_alike(spark):
     import siftwork.operators.retrieval as R
-    want = {(r["query_id"], r["original_id"]): r["cosine_similarity"]
-            for r in cosine_scores(_queries(spark), _space(spark)).collect()}
-    monkeypatch.setattr(R, "MAX_QUERY_ROWS", 0)          # query set "above the bound"
-    assert R.QueryMatrix.collect(_queries(spark), "database", ["scope", "shot", "review_id"]) is None
-    got = {(r["query_id"], r["original_id"]): r["cosine_similarity"]
-           for r in R.cosine_scores(_queries(spark), _space(spark)).collect()}
-    assert set(got) == set(want)
-    for k in want:
-        assert got[k] == pytest.approx(want[k], abs=1e-12)
+    cols = ["scope", "shot", "review_id"]
+    one = R.QueryMatrix.collect(_queries(spark), "database", cols, dim=3)
+    many = R.QueryMatrix.collect(_queries(spark), "database", cols, dim=3, block_bytes=1)
+    assert one.blocks == 1 and many.blocks > 1
+    got = [sorted((r["query_id"], r["original_id"], r["cosine_similarity"]) for r in m.score(_space(spark)).collect())
+           for m in (one, many)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_an_over_long_query_vector_changes_nothing_else(spark):
+    q = _queries(spark)
+    odd = q.limit(1).withColumn("query_id", F.lit("odd")).withColumn("embedding", F.expr("array(1d, 2d, 3d, 4d)"))
+    want = cosine_scores(q, _space(spark), dim=3).count()
+    assert want and cosine_scores(q.unionByName(odd), _space(spark), dim=3).count() == want
+
+
+def test_range_ordinal_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (7, 3)], "g long, v long")
+    got = {m: sorted((r["v"], r["rank"]) for r in ordinal(df, ["g"], ["v"], method=m).collect())
+           for m in ("range", "window")}
+    assert got["range"] == got["window"] == [(1, 1), (2, 2), (3, 1)]

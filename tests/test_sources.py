@@ -105,3 +105,38 @@ def test_folder_and_review_helpers(spark, tmp_dir):
     assert for_review(strategies, "1.1").count() == 2
     assert check_min_rows(strategies, 5, "search_strategies").count() == 1
     assert check_min_rows(strategies, 4).count() == 0
+
+
+def test_append_new_is_idempotent_per_key(spark, tmp_dir):
+    from siftwork.sources.sinks import append_new, stage, stored
+
+    path = f"{tmp_dir}/t"
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "k int, v string")
+    assert stored(spark, path) is None
+    assert append_new(rows, path, ["k"], spark) == 3
+    assert append_new(rows, path, ["k"], spark) == 0
+    assert stored(spark, path).count() == 3
+    built = []
+    for _ in range(2):
+        assert stage(spark, f"{tmp_dir}/s", lambda: built.append(1) or rows).count() == 4
+    assert built == [1]
+
+
+def test_write_table_run_append_and_csv(spark, tmp_dir):
+    from siftwork.sources.sinks import write_table
+    from siftwork.sources.tables import read_table
+
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    for run in ("r1", "r2"):
+        write_table(rows, f"{tmp_dir}/p", mode="append", run_id=run)
+    assert sorted(r["run_id"] for r in spark.read.parquet(f"{tmp_dir}/p").collect()) == ["r1", "r2"]
+    write_table(rows, f"{tmp_dir}/c", fmt="csv")
+    assert spark.read.option("header", True).csv(f"{tmp_dir}/c").collect()[0]["v"] == "a"
+
+
+def test_topic_window_filter_on_landed_columns(spark):
+    from siftwork.sources.pages import topic_window_filter
+
+    rows = spark.sql("""SELECT * FROM VALUES ('T1', 'article', DATE'2020-05-01'), ('T1', 'book', DATE'2020-05-01'),
+        ('T2', 'article', DATE'2020-05-01'), ('T1', 'article', DATE'2019-01-01') AS t(topic_id, type, publication_date)""")
+    assert topic_window_filter(rows, ["T1"], start="2020-01-01", end="2020-12-31").count() == 1
