@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from siftwork.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -49,10 +50,11 @@ NO_ORACLE = {"embed_documents"}
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) - NO_ORACLE == set(entry.oracle_sql())
+    assert set(catalog.queries()) - NO_ORACLE == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     if name in NO_ORACLE:
