@@ -10,11 +10,28 @@ folder.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (Arrow batches pickle
+    functions by module), like ``--py-files``: zipped and added once per
+    application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    out = tempfile.mkdtemp(prefix="siftwork-pyfiles-")
+    sc.addPyFile(shutil.make_archive(os.path.join(out, "siftwork"), "zip", root_dir=ROOT, base_dir="siftwork"))
+    _SHIPPED.add(sc.applicationId)
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "siftwork") -> SparkSession:
     """Session with the settings every plan in this package assumes."""
