@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..session import ensure_checkpoint_dir, ship_package
 
 # The word patterns of the contracts.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -21,17 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        out = tempfile.mkdtemp(prefix="siftwork-pyfiles-")
-        sc.addPyFile(shutil.make_archive(os.path.join(out, "siftwork"), "zip",
-                                         root_dir=ROOT, base_dir="siftwork"))
-        _SHIPPED.add(sc.applicationId)
+# gives the Python workers this package
+ship = ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
