@@ -33,6 +33,7 @@ MAX_BITS = 2
 SEED = 42
 LEAF_ROWS = 16_384        # rows of a node pair that one task walks
 CHUNK = 1 << 16           # hashes counted at once
+SALTS = 32
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -117,7 +118,7 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, errors: int, max_bits:
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links' nodes, each with one node of its component (another, or none)."""
+    """A spanning forest of the links."""
     nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
     u, v = at[: len(x)], at[len(x):]
     root = np.arange(len(nodes))
@@ -134,8 +135,12 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if (low == root).all():
             break
         root = low
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
+    # a heap-shaped tree over each component: no node has more than three links
+    order = np.lexsort((nodes, root))
+    first = np.searchsorted(root[order], root[order])
+    place = np.arange(len(nodes)) - first
+    child = place > 0
+    return nodes[order[child]], nodes[order[first[child] + (place[child] - 1) // 2]]
 
 
 def _masks(bits: int, errors: int) -> list[int]:
@@ -208,21 +213,22 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_ROWS)
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a link; root is the smallest node.
 
-    Each round: a node takes the least root among its neighbours', hands it to
-    its own root, and then takes its root's root."""
+    Each round: a root takes the least root that a neighbour of its nodes has,
+    then that one's own root, and its nodes follow.  Edges join by nodes of few
+    links; the nodes of one root, maybe a third of all, join in ``SALTS`` parts."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     roots = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     while True:
         near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        seen = roots.join(near, roots["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("best"))
-        hooks = seen.groupBy("root").agg(F.min("best").alias("hook"))
-        hooked = seen.join(hooks, "root").select("node", F.col("root").alias("was"), F.least("best", "hook").alias("root"))
-        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        after = cut(hooked.join(up, "root").select("node", "was", F.least("root", "up").alias("root")))
-        changed = after.where(F.col("was") != F.col("root")).limit(1).count()
-        roots = after.select("node", "root")
-        if not changed:
+        hooks = cut(roots.join(near, roots["node"] == near["a"]).groupBy("root").agg(
+            F.least(F.min("near"), F.col("root")).alias("next")))
+        if hooks.where("next <> root").isEmpty():
             return roots
+        label = roots.select("node", F.col("root").alias("label"))
+        jumps = hooks.join(label, hooks["next"] == label["node"]).select("root", F.least("next", "label").alias("to"))
+        own = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        roots = cut(own.join(jumps.withColumn("salt", salts), ["root", "salt"]).select("node", F.col("to").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text",
