@@ -118,9 +118,18 @@ def embedding_coverage(vectors: DataFrame, expected: DataFrame, by: Sequence[str
     return j.withColumn("needs_rebuild", rebuild)
 
 
+def check_table_equality(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that two tables do not hold equally often, with both counts (null
+    keys are equal to each other)."""
+    both = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    n = both.groupBy(*keys).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+    return n.where(F.col("n_left") != F.col("n_right"))
+
+
 def check_fan_out(fanned: DataFrame, strategies: DataFrame, reviews: DataFrame, shots: int) -> DataFrame:
-    """Fan-out size must be strategies x reviews x shots (three counts)."""
-    spark = fanned.sparkSession
-    got, s, r = fanned.count(), strategies.count(), reviews.count()
-    rows = [] if got == s * r * shots else [(got, s * r * shots)]
-    return spark.createDataFrame(rows, "n_rows long, expected long")
+    """Fan-out size must be strategies x reviews x shots (three one-row counts
+    side by side; nothing is counted on the driver)."""
+    n = [df.agg(F.count(F.lit(1)).alias(c)) for df, c in ((fanned, "n_rows"), (strategies, "_s"), (reviews, "_r"))]
+    j = n[0].crossJoin(n[1]).crossJoin(n[2])
+    return j.select("n_rows", (F.col("_s") * F.col("_r") * shots).alias("expected")).where("n_rows <> expected")

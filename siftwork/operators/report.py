@@ -143,3 +143,46 @@ def combined_table(summary: DataFrame, contrasts: DataFrame, keys: Sequence[str]
     return j.withColumn("is_reference", F.col(group_col) == reference_label) \
         .withColumn("contrast", F.when(F.col("is_reference"), F.lit("reference"))
                     .otherwise(F.concat(F.col(group_col), F.lit(" vs "), F.lit(reference_label))))
+
+
+def published_totals(metrics: DataFrame, by: Sequence[str], digits: int = 4) -> DataFrame:
+    """Whole-guideline totals of ranked results, raw and adjusted side by side.
+
+    Sums over the reviews first; then recall, precision against the cut-off
+    workload, NNR and F1-F3, each rounded to ``digits`` significant figures and
+    computed from the rounded ones before it.  A precision of zero gives an
+    infinite NNR, a zero denominator an F of zero."""
+    def total(col: str, kind: str):
+        return F.sum(F.when(F.col("truth_kind") == kind, F.col(col))).cast("double")
+
+    t = metrics.groupBy(*by).agg(
+        total("overall_screening_workload_cutoff", "raw").alias("_workload"),
+        *[total(c, kind).alias(f"_{c}_{kind}") for c in ("n_retrieved", "n_missed") for kind in ("raw", "adjusted")])
+    out = list(by)
+    for kind, suffix in (("raw", ""), ("adjusted", "_adjusted")):
+        found, missed = F.col(f"_n_retrieved_{kind}"), F.col(f"_n_missed_{kind}")
+        t = t.withColumn(f"recall{suffix}", signif(ratio(found, found + missed), digits))
+        t = t.withColumn(f"precision{suffix}", signif(ratio(found, "_workload"), digits))
+        r, p = F.col(f"recall{suffix}"), F.col(f"precision{suffix}")
+        t = t.withColumn(f"nnr{suffix}", F.when(p == 0, F.lit(float("inf"))).otherwise(signif(ratio(F.lit(1.0), p), digits)))
+        out += [f"recall{suffix}", f"precision{suffix}", f"nnr{suffix}"]
+        for beta in (1, 2, 3):
+            b2 = float(beta * beta)
+            t = t.withColumn(f"f{beta}_score{suffix}", F.when(
+                b2 * p + r > 0, signif((1 + b2) * p * r / (b2 * p + r), digits)).otherwise(0.0))
+            out.append(f"f{beta}_score{suffix}")
+    return t.select(*out)
+
+
+def ranking_change(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """NNR at the cut-off minus NNR of the whole ranking, and in per cent of it."""
+    change = F.col("nnr_cutoff") - F.col("nnr_raw")
+    return metrics.select(*keys, change.alias("nnr_change"), (ratio(change, "nnr_raw") * 100.0).alias("nnr_change_pct"))
+
+
+def pre_ranking_change(ranked: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """NNR before ranking (``nnr_before``) minus that after (``nnr``), by key;
+    rows whose baseline is zero are left out, undefined ones stay."""
+    j = ranked.join(before, list(keys)).where(F.coalesce(F.col("nnr_before") != 0, F.lit(True)))
+    change = F.col("nnr_before") - F.col("nnr")
+    return j.select(*keys, change.alias("nnr_change"), (ratio(change, "nnr_before") * 100.0).alias("nnr_change_pct"))

@@ -82,14 +82,12 @@ def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Callable]
 
 # ---------------------------------------------------------- query vectors --
 
-def topic_vectors(vectors: DataFrame, by: str = "review_id", vec_col: str = "embedding") -> DataFrame:
-    """Mean vector per review (element-wise), computed as a distributed
-    aggregation over (review, position)."""
-    exploded = vectors.select(by, F.posexplode(vec_col).alias("_p", "_v"))
-    means = exploded.groupBy(by, "_p").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
-    return means.groupBy(by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda s: s["_v"])
-        .alias(vec_col))
+def topic_vectors(vectors: DataFrame, by: str = "review_id", vec_col: str = "embedding",
+                  dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Mean vector per review: one aggregate with a mean per element; vectors of
+    another length take no part."""
+    means = [F.avg(F.get(vec_col, F.lit(i)).cast("double")) for i in range(dim)]
+    return vectors.where(F.size(vec_col) == dim).groupBy(by).agg(F.array(*means).alias(vec_col))
 
 
 def pick_one(df: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
