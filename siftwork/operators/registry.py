@@ -66,6 +66,15 @@ def fan_out(strategies: DataFrame, reviews: DataFrame, shots: Sequence[str],
     return out.withColumn("vector_search", F.explode(F.array(*[F.lit(s) for s in shots])))
 
 
+def register(strategies: DataFrame, reviews: DataFrame, shots: Sequence[str], existing: DataFrame,
+             keys: Sequence[str], id_col: str = "search_strategy_id") -> DataFrame:
+    """Strategies to add to ``existing``: one per (strategy, review, shot) that is
+    not there yet (null equals null), with the ids after the largest stored one.
+    Registering the same strategies again adds nothing."""
+    wanted = fan_out(strategies, reviews, shots).select(*keys).distinct()
+    return assign_ids(new_rows_null_safe(wanted, existing, keys), keys, max_id(existing, id_col), name=id_col)
+
+
 def load_results(results: DataFrame, strategies: DataFrame, existing: DataFrame | None,
                  strategy_keys: Sequence[str], key: Sequence[str] = ("search_strategy_id", "original_id"),
                  order: Sequence[Column | str] = ("original_id",),

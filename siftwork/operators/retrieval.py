@@ -80,6 +80,22 @@ def embed(df: DataFrame, text_col: str, encoder_factory: Callable[[], Callable]
     return df.mapInPandas(run, schema)
 
 
+def hash_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, counts): the default encoder's signed bucket counts of each text,
+    before they are scaled to length one, in JVM expressions.
+
+    A word goes to the bucket of the first byte of its md5, and counts up or
+    down by the top bit of the eighth.  Words are summed map-side, so one row a
+    text is shuffled."""
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    each = df.select(key, F.explode_outer(words).alias("_w")).withColumn("_h", F.md5("_w"))
+    bucket = F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % EMBEDDING_DIM
+    sign = F.when(F.substring("_h", 15, 1) >= "8", 1).otherwise(-1)
+    each = each.select(key, bucket.alias("_b"), sign.alias("_s"))
+    sums = [F.sum(F.when(F.col("_b") == i, F.col("_s")).otherwise(0)) for i in range(EMBEDDING_DIM)]
+    return each.groupBy(key).agg(F.array(*sums).alias("counts"))
+
+
 # ---------------------------------------------------------- query vectors --
 
 def topic_vectors(vectors: DataFrame, by: str = "review_id", vec_col: str = "embedding",

@@ -13,8 +13,9 @@ from ..functions.ids import question_from_file_name
 from ..functions.text import clean_html
 from ..operators.quality import (check_conservation, check_fan_out, check_foreign_key, check_metric_bounds,
                                  check_min_rows, check_schema, check_subset, check_table_equality)
-from ..operators.registry import fan_out
+from ..operators.registry import assign_ids, fan_out, register
 from ..operators.report import pre_ranking_change, published_totals, ranking_change
+from ..operators.retrieval import hash_counts
 from ..operators.windows import check_windows, date_windows
 from ..schemas import QUESTION_ID_REMAP, SHOTS
 from ..sources.ris import parse_records, project_fields, remap_question
@@ -157,10 +158,32 @@ def pre_ranking_change_q(spark, sf):
                                             ["review_id", "database"]), 6)
 
 
+_STRATEGY = ["database", "review_id", "vector_search"]
+
+
+def _registered(spark, sf):
+    strategies = driver.articles(spark, sf).select("database").distinct()
+    reviews = driver.truth(spark, sf).select("review_id").distinct()
+    early = fan_out(strategies, reviews.where("review_id < 'src3'"), SHOTS).select(*_STRATEGY)
+    return strategies, reviews, assign_ids(early, _STRATEGY, 0, name="search_strategy_id")
+
+
+def register_strategies_q(spark, sf):
+    """Registration (VEC-6): later reviews join those that are stored."""
+    strategies, reviews, stored = _registered(spark, sf)
+    return register(strategies, reviews, SHOTS, stored, _STRATEGY)
+
+
+def hash_counts_q(spark, sf):
+    """The default encoder's bucket counts (VEC-1) of every document."""
+    v = hash_counts(driver.table(spark, sf, "documents"), "doc_id", "text")
+    return v.select("doc_id", F.array_join(F.transform("counts", lambda x: x.cast("string")), " ").alias("counts"))
+
+
 QUERIES = {f.__name__[:-2]: f for f in (
     dq_orphans_q, dq_subset_sides_q, dq_conservation_lost_q, dq_metrics_bounds_q, dq_windows_gaps_q, dq_schema_q,
     dq_min_rows_q, dq_table_equality_q, dq_fan_out_q, tagged_records_q, file_questions_q, clean_html_q,
-    published_totals_q, ranking_change_q, pre_ranking_change_q)}
+    published_totals_q, ranking_change_q, pre_ranking_change_q, register_strategies_q, hash_counts_q)}
 
 # ------------------------------------------------------------- oracle SQL --
 
@@ -228,6 +251,17 @@ m AS (SELECT doc_id, CASE q {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in QUEST
 SELECT doc_id, question_id, replace(replace(question_id, '.', '_'), '/', '_') AS question_key FROM m""",
     "clean_html": """SELECT doc_id, 'p < 0.' || doc_id || ' in 40 arms, n > ' || doc_id || ' ' || source ||
   ' a < b & c > d café α &nosuch; end' AS clean FROM documents""",
+    "register_strategies": f"""WITH {SQL_ARTICLES}, {SQL_TRUTH},
+s AS (SELECT DISTINCT database FROM articles), r AS (SELECT DISTINCT review_id FROM truth),
+f AS (SELECT database, review_id, shot AS vector_search FROM s, r, (SELECT unnest([{', '.join(f"'{x}'" for x in SHOTS)}]) AS shot)),
+n AS (SELECT count(*) AS n FROM f WHERE review_id < 'src3')
+SELECT database, review_id, vector_search, n + row_number() OVER (ORDER BY database, review_id, vector_search) AS search_strategy_id
+FROM f, n WHERE NOT review_id < 'src3'""",
+    "hash_counts": """WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS h FROM documents),
+b AS (SELECT doc_id, CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64 AS b, sum(CASE WHEN substr(h, 15, 1) >= '8' THEN 1 ELSE -1 END) AS s FROM w GROUP BY ALL),
+g AS (SELECT doc_id, i FROM documents, (SELECT unnest(generate_series(0, 63)) AS i))
+SELECT g.doc_id, string_agg(CAST(coalesce(s, 0) AS VARCHAR), ' ' ORDER BY i) AS counts
+FROM g LEFT JOIN b ON g.doc_id = b.doc_id AND g.i = b.b GROUP BY g.doc_id""",
     "published_totals": f"""WITH rm AS ({_VECTOR['ranked_metrics']}), {_published('', 'raw')}, {_published('_adjusted', 'adjusted')}
 SELECT database, shot, {', '.join(f'round({c}, 9) AS {c}' for c in _COLS)} FROM raw_m JOIN adjusted_m USING (database, shot)""",
     "ranking_change": f"""WITH rm AS ({_VECTOR['ranked_metrics']})

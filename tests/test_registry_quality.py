@@ -1,5 +1,6 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwork.operators.quality import (check_foreign_key, check_metric_bounds, check_schema,
@@ -100,3 +101,24 @@ def test_build_ground_truth_priority_and_cleaning(spark):
     m = {r["clean_id"]: r["topic_id"] for r in got.collect()}
     assert m == {"w1": "T1", "w2": "T2", "w3": None}           # a retry never erases a hit
     assert [r["clean_id"] for r in missing.collect()] == ["w3"]
+
+
+def test_register_is_idempotent(spark):
+    from siftwork.operators.registry import register
+
+    keys = ["database", "review_id", "vector_search"]
+    strategies = spark.createDataFrame([("a",), (None,)], "database string")
+    reviews = spark.createDataFrame([("r1",), (None,)], "review_id string")
+    none = spark.createDataFrame([], "database string, review_id string, vector_search string, search_strategy_id long")
+    first = register(strategies, reviews, ["x", "y"], none, keys)
+    assert sorted(r["search_strategy_id"] for r in first.collect()) == list(range(1, 9))
+    assert register(strategies, reviews, ["x", "y"], first, keys).count() == 0
+
+
+def test_enforce_and_table_equality(spark):
+    from siftwork.operators.quality import check_table_equality, enforce
+
+    a = spark.createDataFrame([(1,), (None,)], "k int")
+    enforce(check_table_equality(a, a, ["k"]), "same")
+    with pytest.raises(AssertionError):
+        enforce(check_table_equality(a, a.where("k = 1"), ["k"]), "one row lost")
