@@ -193,73 +193,77 @@ def valid_vector(col: str, dim: int):
 
 
 class QueryMatrix:
-    """The query vectors, written once and sent to the tasks block by block."""
+    """The query vectors, written once and sent to the tasks block by block.
 
-    def __init__(self, queries: DataFrame, blocks: int, dim: int, space_col: str, query_cols: Sequence[str],
-                 vec_col: str):
-        self.queries, self.blocks, self.dim, self.vec_col = queries, blocks, dim, vec_col
+    Scored pairs are narrow: a query row's number ``_q`` and its strategy's
+    number ``_s`` (the least query number of its keys) stand for the strings,
+    which are joined back when pairs have been ranked or fused."""
+
+    def __init__(self, queries: DataFrame, strategies: DataFrame, blocks: int, dim: int, space_col: str,
+                 query_cols: Sequence[str], vec_col: str):
+        self.queries, self.strategies, self.blocks, self.dim, self.vec_col = queries, strategies, blocks, dim, vec_col
         self.space_col, self.query_cols = space_col, list(query_cols)
 
     @classmethod
     def collect(cls, queries: DataFrame, space_col: str, query_cols: Sequence[str],
                 vec_col: str = "embedding", dim: int = EMBEDDING_DIM,
                 extra_cols: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> "QueryMatrix":
-        q = queries.select(*query_cols, space_col, "query_id", *extra_cols, vec_col)
-        q = stored_once(q.where(valid_vector(vec_col, dim)))
-        text = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in (*query_cols, space_col, "query_id")]))
-        size = q.agg(F.sum(text + dim * 8 + 64)).first()[0] or 0
-        return cls(q, max(1, -(-size // block_bytes)), dim, space_col, query_cols, vec_col)
+        keys = [*query_cols, space_col]
+        q = queries.select(*keys, "query_id", *extra_cols, vec_col).where(valid_vector(vec_col, dim))
+        q = stored_once(q.withColumn("_q", F.monotonically_increasing_id()))
+        strategies = q.groupBy(*keys).agg(F.min("_q").alias("_s")).select(
+            "_s", *[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+        q = stored_once(q.join(strategies, same).select(*q.columns, "_s"))
+        size = q.agg(F.sum(F.octet_length(F.coalesce(F.col(space_col).cast("string"), F.lit(""))) + dim * 8 + 64)).first()[0] or 0
+        return cls(q, q.select(*keys, "_s").distinct(), max(1, -(-size // block_bytes)), dim, space_col, query_cols, vec_col)
 
     def rows(self) -> DataFrame:
         """The scorable query rows, without their vectors."""
-        return self.queries.drop(self.vec_col)
+        return self.queries.drop(self.vec_col, "_q", "_s")
 
-    def score(self, space: DataFrame, doc_cols: Sequence[str] = ("article_id", "original_id"),
+    def pairs(self, space: DataFrame, doc_cols: Sequence[str] = ("article_id", "original_id"),
               vec_col: str = "embedding") -> DataFrame:
-        """Documents stream through ``mapInPandas``; each Arrow batch is one
-        matrix product per search space present in it."""
-        spark = space.sparkSession
-        space_col, dim, doc_cols = self.space_col, self.dim, list(doc_cols)
-        qcols = [*self.query_cols, "query_id"]
-        out_schema = T.StructType(
-            [T.StructField(c, T.StringType()) for c in self.query_cols]
-            + [space.schema[space_col], T.StructField("query_id", T.StringType())]
-            + [space.schema[c] for c in doc_cols]
+        """(_s, _q, doc_cols, cosine_similarity): documents stream through
+        ``mapInPandas``; each Arrow batch is one matrix product per search
+        space present in it."""
+        spark, space_col, doc_cols = space.sparkSession, self.space_col, list(doc_cols)
+        schema = T.StructType(
+            [T.StructField("_s", T.LongType()), T.StructField("_q", T.LongType())] + [space.schema[c] for c in doc_cols]
             + [T.StructField("cosine_similarity", T.DoubleType())])
-        names = out_schema.names
         docs_in = space.select(space_col, *doc_cols, vec_col)
         out = None
         for k in range(self.blocks):
-            block = F.pmod(F.xxhash64(space_col, *qcols), F.lit(self.blocks)) == k
-            meta = self.queries.where(block).select(space_col, *qcols, self.vec_col).toPandas()   # at most a block
-            mat, keep = _unit_rows(meta[self.vec_col].tolist(), dim)
+            block = F.pmod(F.xxhash64("_q"), F.lit(self.blocks)) == k
+            meta = self.queries.where(block).select(space_col, "_s", "_q", self.vec_col).toPandas()   # at most a block
+            mat, keep = _unit_rows(meta[self.vec_col].tolist(), self.dim)
             meta = meta.drop(columns=[self.vec_col]).iloc[keep].reset_index(drop=True)
             groups = {g: np.asarray(v) for g, v in meta.groupby(space_col).indices.items()} if len(meta) else {}
-            part = docs_in.mapInPandas(self._scorer(spark.sparkContext.broadcast((meta, mat, groups)), qcols, doc_cols,
-                                                    vec_col, names), out_schema)
+            sent = spark.sparkContext.broadcast((meta["_s"].to_numpy(np.int64), meta["_q"].to_numpy(np.int64), mat, groups))
+            part = docs_in.mapInPandas(self._scorer(sent, doc_cols, vec_col, schema.names), schema)
             out = part if out is None else out.unionByName(part)
         return out
 
-    def _scorer(self, bc, qcols, doc_cols, vec_col, names):
+    def _scorer(self, sent, doc_cols, vec_col, names):
         space_col, dim = self.space_col, self.dim
 
         def run(batches):
-            meta, mat, grp = bc.value
+            strategy, query, mat, groups = sent.value
             for pdf in batches:
                 for sp, sub in pdf.groupby(space_col, sort=False):
-                    qi = grp.get(sp)
+                    qi = groups.get(sp)
                     if qi is None or len(qi) == 0:
                         continue
                     dmat, dkeep = _unit_rows(sub[vec_col].tolist(), dim)
                     if len(dkeep) == 0:
                         continue
-                    docs, qm, qmeta = sub.iloc[dkeep], mat[qi], meta.iloc[qi]
+                    docs, qm = sub.iloc[dkeep], mat[qi]
                     step = max(1, CELLS_PER_FRAME // len(qi))
                     for s in range(0, len(dkeep), step):
                         sim = dmat[s:s + step] @ qm.T            # (docs, queries)
-                        nd = sim.shape[0]
-                        frame = {c: np.tile(qmeta[c].to_numpy(), nd) for c in qcols}
-                        frame[space_col] = np.repeat(np.array([sp], dtype=object), nd * len(qi))
+                        frame = {"_s": np.tile(strategy[qi], sim.shape[0]), "_q": np.tile(query[qi], sim.shape[0])}
                         for c in doc_cols:
                             frame[c] = np.repeat(docs[c].to_numpy()[s:s + step], len(qi))
                         frame["cosine_similarity"] = np.clip(sim.ravel(), -1.0, 1.0)
@@ -267,6 +271,21 @@ class QueryMatrix:
 
         return run
 
+    def with_query(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with their query's strings instead of its numbers."""
+        names = self.queries.select("_q", *self.query_cols, self.space_col, "query_id")
+        rest = [c for c in pairs.columns if c not in ("_s", "_q")]
+        return pairs.join(names, "_q").select(*self.query_cols, self.space_col, "query_id", *rest)
+
+    def with_strategy(self, fused: DataFrame) -> DataFrame:
+        """Fused rows with their strategy's keys instead of its number."""
+        rest = [c for c in fused.columns if c != "_s"]
+        return fused.join(self.strategies, "_s").select(*self.query_cols, self.space_col, *rest)
+
+    def score(self, space: DataFrame, doc_cols: Sequence[str] = ("article_id", "original_id"),
+              vec_col: str = "embedding") -> DataFrame:
+        return self.with_query(self.pairs(space, doc_cols, vec_col))
+
 
 def cosine_scores(queries: DataFrame, space: DataFrame, space_col: str = "database",
                   query_cols: Sequence[str] = ("scope", "shot", "review_id"),
@@ -329,11 +348,10 @@ def rank_and_fuse(queries: DataFrame, space: DataFrame, space_col: str = "databa
 
     One physical form at every size, the distributed ordinal (``range``);
     ``window`` is its twin for tests.  Returns (ranked, fused, method)."""
-    keys = [*query_cols, space_col]
     qm = matrix or QueryMatrix.collect(queries, space_col, query_cols, dim=dim)
-    scored = cosine_scores(queries, space, space_col, query_cols, matrix=qm)
-    ranked = _rank_queries(scored, [*keys, "query_id"], method, cos_decimals)
-    return ranked, _fuse(ranked, keys, k, rrf_decimals, method), method
+    ranked = _rank_queries(qm.pairs(space), ["_q"], method, cos_decimals)
+    fused = _fuse(ranked, ["_s"], k, rrf_decimals, method)
+    return qm.with_query(ranked), qm.with_strategy(fused), method
 
 
 def cosine_rank(queries: DataFrame, space: DataFrame, space_col: str = "database",
