@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import fresh, ship, shuffle_parts
 
 WINDOW = 13
-BATCH_TEXT = 12 << 20     # characters of text a batch
+BATCH_TEXT = 6 << 20      # characters of text a batch
 MOST_OWNERS = 1 << 18
 MEMORY = 400_000
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
