@@ -1,4 +1,5 @@
 """Operators 1 and 2: against the tokenizers library, and round trips."""
+import functools
 import hashlib
 import struct
 import zlib
@@ -17,6 +18,7 @@ TEXTS = ["", None, "  ", "Hello, World's  tests don't 123 ½", "ŁÓDŹ straße
          "日本語 テキスト 😀 é ẞ", "x" * 3000, "aaaa" * 200, "tab\tline\n\nend ", "nbsp  x\x1c\x85y", "ab cd\nef.\nGh"]
 
 
+@functools.cache
 def _library(path):
     t = Tokenizer.from_file(path)
     t.no_padding()
@@ -24,14 +26,14 @@ def _library(path):
     return t
 
 
-@pytest.fixture(scope="module")
-def encoder():
-    with open(WORD, encoding="utf-8") as f:
-        return bpe.WordEncoder(f.read())
+@functools.cache
+def _encoder(kind, path):
+    with open(path, encoding="utf-8") as f:
+        return kind(f.read())
 
 
-def test_automaton_equals_library(encoder):
-    lib = _library(WORD)
+def test_automaton_equals_library():
+    lib, encoder = _library(WORD), _encoder(bpe.WordEncoder, WORD)
     for t in TEXTS:
         want = lib.encode(t or "", add_special_tokens=False).ids
         assert encoder.encode(t) == want
@@ -41,13 +43,7 @@ def test_automaton_equals_library(encoder):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_automaton_equals_library_on_any_text(text):
-    test_any.encoder = getattr(test_any, "encoder", None) or bpe.WordEncoder(open(WORD, encoding="utf-8").read())
-    test_any.lib = getattr(test_any, "lib", None) or _library(WORD)
-    assert test_any.encoder.encode(text) == test_any.lib.encode(text, add_special_tokens=False).ids
-
-
-def test_any():
-    """Holds the encoder of the property test."""
+    assert _encoder(bpe.WordEncoder, WORD).encode(text) == _library(WORD).encode(text, add_special_tokens=False).ids
 
 
 def test_arcs_are_exactly_the_greedy_pairs():
@@ -88,9 +84,7 @@ def test_encode_decode_rows(spark, docs):
 
 
 def test_pieces_equal_library():
-    with open(BYTE, encoding="utf-8") as f:
-        enc = records.PieceEncoder(f.read())
-    lib = _library(BYTE)
+    enc, lib = _encoder(records.PieceEncoder, BYTE), _library(BYTE)
     for t in TEXTS:
         want = lib.encode(t or "", add_special_tokens=False).ids + [0]
         assert np.frombuffer(enc.encode(t, 0), enc.width).tolist() == want
@@ -99,9 +93,8 @@ def test_pieces_equal_library():
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'sé \n\t \x1c1.<|endoftext|>"), max_size=40))
 def test_pieces_equal_library_on_any_text(text):
-    if not hasattr(test_any, "pieces"):
-        test_any.pieces, test_any.byte = records.PieceEncoder(open(BYTE, encoding="utf-8").read()), _library(BYTE)
-    assert np.frombuffer(test_any.pieces.encode(text, None), "<u2").tolist() == test_any.byte.encode(text, add_special_tokens=False).ids
+    got = _encoder(records.PieceEncoder, BYTE).encode(text, None)
+    assert np.frombuffer(got, "<u2").tolist() == _library(BYTE).encode(text, add_special_tokens=False).ids
 
 
 def test_files_round_trip(spark, docs, tmp_dir):
