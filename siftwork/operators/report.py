@@ -118,6 +118,11 @@ def order_key(col: str, values: Sequence[str], name: str | None = None):
     return F.when(expr > 0, expr).otherwise(F.lit(len(values) + 1)).cast("int").alias(name or f"{col}_order")
 
 
+def reference_first(group_col: str, reference: str) -> list:
+    """Order keys of a contrast table: the reference group, then the others by name."""
+    return [(F.col(group_col) == reference).desc(), F.col(group_col).asc()]
+
+
 def percent_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select("*", *[(F.col(c) * 100.0).alias(f"{c}_pct") for c in cols])
 

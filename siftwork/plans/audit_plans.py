@@ -14,10 +14,10 @@ from ..functions.text import clean_html
 from ..operators.quality import (check_conservation, check_fan_out, check_foreign_key, check_metric_bounds,
                                  check_min_rows, check_schema, check_subset, check_table_equality)
 from ..operators.registry import assign_ids, fan_out, register
-from ..operators.report import pre_ranking_change, published_totals, ranking_change
+from ..operators.report import order_key, pre_ranking_change, published_totals, ranking_change, reference_first
 from ..operators.retrieval import hash_counts
 from ..operators.windows import check_windows, date_windows
-from ..schemas import QUESTION_ID_REMAP, SHOTS
+from ..schemas import DATABASE_ORDER, QUESTION_ID_REMAP, SHOTS
 from ..sources.ris import parse_records, project_fields, remap_question
 from ..sources.sinks import path_safe
 from . import driver
@@ -180,10 +180,18 @@ def hash_counts_q(spark, sf):
     return v.select("doc_id", F.array_join(F.transform("counts", lambda x: x.cast("string")), " ").alias("counts"))
 
 
+def ordered_report_q(spark, sf):
+    """Ordered output (SRT-1, SRT-3, SRT-4) as positions: databases in report
+    order, the broad workflow first as reference, then by review."""
+    w = workflow_metrics(spark, sf).select("database", "workflow", "review_id")
+    order = [order_key("database", DATABASE_ORDER, "_o"), *reference_first("workflow", "O"), F.col("review_id").asc_nulls_first()]
+    return assign_ids(w, order, 0, name="position")
+
+
 QUERIES = {f.__name__[:-2]: f for f in (
     dq_orphans_q, dq_subset_sides_q, dq_conservation_lost_q, dq_metrics_bounds_q, dq_windows_gaps_q, dq_schema_q,
     dq_min_rows_q, dq_table_equality_q, dq_fan_out_q, tagged_records_q, file_questions_q, clean_html_q,
-    published_totals_q, ranking_change_q, pre_ranking_change_q, register_strategies_q, hash_counts_q)}
+    published_totals_q, ranking_change_q, pre_ranking_change_q, register_strategies_q, hash_counts_q, ordered_report_q)}
 
 # ------------------------------------------------------------- oracle SQL --
 
@@ -262,6 +270,9 @@ b AS (SELECT doc_id, CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64 AS b, sum(CAS
 g AS (SELECT doc_id, i FROM documents, (SELECT unnest(generate_series(0, 63)) AS i))
 SELECT g.doc_id, string_agg(CAST(coalesce(s, 0) AS VARCHAR), ' ' ORDER BY i) AS counts
 FROM g LEFT JOIN b ON g.doc_id = b.doc_id AND g.i = b.b GROUP BY g.doc_id""",
+    "ordered_report": f"""{_WM} SELECT database, workflow, review_id, row_number() OVER (
+  ORDER BY coalesce(list_position([{', '.join(f"'{x}'" for x in DATABASE_ORDER)}], database), {len(DATABASE_ORDER) + 1}),
+           (workflow = 'O') DESC, workflow, review_id NULLS FIRST) AS position FROM wm""",
     "published_totals": f"""WITH rm AS ({_VECTOR['ranked_metrics']}), {_published('', 'raw')}, {_published('_adjusted', 'adjusted')}
 SELECT database, shot, {', '.join(f'round({c}, 9) AS {c}' for c in _COLS)} FROM raw_m JOIN adjusted_m USING (database, shot)""",
     "ranking_change": f"""WITH rm AS ({_VECTOR['ranked_metrics']})

@@ -44,6 +44,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     w.save(path)
 
 
+def write_sorted(df: DataFrame, path: str, order: Sequence[str | Column], mode: str = "overwrite") -> None:
+    """Ordered output: the part files in name order hold the rows in ``order``
+    (one range exchange, each file sorted)."""
+    df.orderBy(*order).write.mode(mode).parquet(path)
+
+
 def write_per_question(df: DataFrame, path: str, question_col: str = "question_id",
                        kind_col: str = "truth_kind") -> None:
     """Matched/missed rows in one folder per (question, raw|adjusted)."""

@@ -140,3 +140,15 @@ def test_topic_window_filter_on_landed_columns(spark):
     rows = spark.sql("""SELECT * FROM VALUES ('T1', 'article', DATE'2020-05-01'), ('T1', 'book', DATE'2020-05-01'),
         ('T2', 'article', DATE'2020-05-01'), ('T1', 'article', DATE'2019-01-01') AS t(topic_id, type, publication_date)""")
     assert topic_window_filter(rows, ["T1"], start="2020-01-01", end="2020-12-31").count() == 1
+
+
+def test_write_sorted_orders_the_files(spark, tmp_dir):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from siftwork.sources.sinks import write_sorted
+
+    write_sorted(spark.range(1000).select((F.col("id") * 37 % 1000).alias("v")).repartition(4), f"{tmp_dir}/o", ["v"])
+    got = [v for f in sorted(glob.glob(f"{tmp_dir}/o/part-*")) for v in pq.read_table(f).column("v").to_pylist()]
+    assert got == list(range(1000))
