@@ -45,13 +45,13 @@ LONG_WORD = 80
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _latin(kind: str) -> str:
+def letters(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
 # Latin text, all of it in composed form: the pattern over these letters
 LATIN = re.compile("[\\t\\n\\r\x20-\x7e\xa1-\u024f]*")
-LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[^\\s{_latin('L')}{_latin('N')}]+")
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters('L')}]+|[{letters('N')}]|[^\\s{letters('L')}{letters('N')}]+")
 
 
 def _byte_letters() -> list[str]:

@@ -19,6 +19,9 @@ numbers are each a record.  A row without number stands first, as number
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import LATIN, letters
 from .common import ship
 
 # Fixed values of the frame.
@@ -35,9 +39,15 @@ CLOSE = b"\n"
 HEAD, TAIL = 12, 4        # bytes before and after the payload
 NO_ID = -(1 << 63)
 
-FILE_TEXT = 24 << 20      # characters of text a file, so that a file fits a task
-MEMORY = 300_000          # pieces remembered by a worker
+FILE_TEXT = 12 << 20      # characters of text a file, so that a file fits a task
+MEMORY = 100_000          # pieces remembered by a worker, and as many older ones
 LONG_PIECE = 80
+TEXTS = 64                # texts cut before their pieces are looked up
+CALL = 500                # pieces, or whole texts, encoded by one call: their results are large
+
+
+# The byte-level splitter's pattern over Latin letters.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters('L')}]+| ?[{letters('N')}]+| ?[^\\s{letters('L')}{letters('N')}]+|\\s+(?!\\S)|\\s+")
 
 
 def masked_crc(data: bytes) -> int:
@@ -72,49 +82,69 @@ def frames(data: bytes, name: str = "file"):
 class PieceEncoder:
     """The tokenizers library over whole texts, with pieces remembered.
 
-    Where white space comes one at a time and does not end the text, no token
-    reaches from before a space or line end to behind it; such a text is cut
-    there, and the library encodes each distinct piece once."""
+    A Latin text without special tokens is cut as the file's own splitter cuts
+    it, and the library encodes each distinct piece once; any other text, and
+    any text for another splitter, it encodes whole."""
 
     def __init__(self, spec: str):
-        import re
-
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # the task has one core
         from tokenizers import Tokenizer
 
+        conf = json.loads(spec)
         self.lib = Tokenizer.from_str(spec)
         self.lib.no_padding()
         self.lib.no_truncation()
         self.width = "<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.runs = re.compile(r"\s\s|\s$|\A\s|[\x1c-\x1f\x85]")
-        self.pieces = re.compile(r"\n| ?[^ \n]+")
+        before = conf.get("pre_tokenizer") or {}
+        self.cut = (conf.get("normalizer") is None and before.get("type") == "ByteLevel"
+                    and before.get("use_regex", True) and not before.get("add_prefix_space"))
+        self.special = [t["content"] for t in conf.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _library(self, text: str) -> bytes:
-        ids = self.lib.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.width).tobytes()
-
-    def _unseen(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self._library(piece)
-        if len(piece) <= LONG_PIECE:
-            if len(self.known) >= MEMORY:
-                self.older, self.known = self.known, {}
-            self.known[piece] = ids
-        return ids
-
-    def encode(self, text: str | None, end: int | None) -> bytes:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
-        if text:
-            if self.runs.search(text):
-                out = [self._library(text)]
+        for k in range(0, len(texts), CALL):
+            found = self.lib.encode_batch_fast(texts[k:k + CALL], add_special_tokens=False)
+            out += [np.array(f.ids, self.width).tobytes() for f in found]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Afterwards ``known`` holds all of ``pieces``."""
+        if len(self.known) >= MEMORY:
+            self.older, self.known = self.known, {}
+        new = []
+        for p in pieces.difference(self.known):
+            if p in self.older:
+                self.known[p] = self.older[p]
             else:
-                known = self.known
-                out = [known.get(p) or self._unseen(p) for p in self.pieces.findall(text)]
-        if end is not None:
-            out.append(np.array([end], self.width).tobytes())
-        return b"".join(out)
+                new.append(p)
+        self.known.update(zip(new, self._ids(new), strict=True))
+
+    def encode_some(self, texts: list[str | None], end: int | None) -> list[bytes]:
+        """The ids of each text, packed, with ``end`` behind them."""
+        pieces, whole, all_pieces = [], [], set()
+        for t in texts:
+            own = None
+            if t and self.cut and LATIN.fullmatch(t) and not any(s in t for s in self.special):
+                own = PIECES.findall(t)
+                all_pieces.update(own)
+            elif t:
+                whole.append(t)
+            pieces.append(own)
+        self._learn(all_pieces)
+        rest, known = iter(self._ids(whole)), self.known.__getitem__
+        last = b"" if end is None else np.array([end], self.width).tobytes()
+        out = []
+        for t, own in zip(texts, pieces, strict=True):
+            out.append((b"".join(map(known, own)) if own is not None else next(rest) if t else b"") + last)
+        for p in all_pieces:
+            if len(p) > LONG_PIECE:
+                del self.known[p]
+        return out
+
+    def encode(self, text: str | None, end: int | None) -> bytes:
+        return self.encode_some([text], end)[0]
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
@@ -138,17 +168,18 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_
     def encode(batches):
         enc = _encoder(spec.value)
         for batch in batches:
-            rows = []
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                rows.append(frame(struct.pack("<q", i) + enc.encode(t.as_py(), end)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "record"])
+            ids = batch.column("id").to_pylist()
+            for k in range(0, len(ids), TEXTS):
+                some = enc.encode_some(batch.column("text").slice(k, TEXTS).to_pylist(), end)
+                # the writer closes each row with a line end, so the record goes without its own
+                rows = [frame(struct.pack("<q", i) + x)[:-len(CLOSE)] for i, x in zip(ids[k:k + TEXTS], some, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])
 
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     size = d.agg(F.sum(F.length("text"))).first()[0] or 0
-    # the writer closes each row with a line end, so the record goes without its own
-    (d.mapInArrow(encode, "id long, record binary")
-     .repartitionByRange(max(1, -(-size // file_text)), "id").sortWithinPartitions("id")
-     .select(F.expr("substring(record, 1, length(record) - 1)").cast("string").alias("value"))
+    # texts are dealt before they are encoded: a range exchange reads its input twice
+    (d.repartitionByRange(max(1, -(-size // file_text)), "id").sortWithinPartitions("id")
+     .mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", CLOSE.decode()).text(f"{folder}/records"))
 
 
