@@ -24,6 +24,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ HEAD, TAIL = 12, 4        # bytes before and after the payload
 NO_ID = -(1 << 63)
 
 FILE_TEXT = 12 << 20      # characters of text a file, so that a file fits a task
-MEMORY = 100_000          # pieces remembered by a worker, and as many older ones
+MEMORY = 350_000          # pieces remembered by a worker, and as many older ones
 LONG_PIECE = 80
 TEXTS = 64                # texts cut before their pieces are looked up
 CALL = 500                # pieces, or whole texts, encoded by one call: their results are large
@@ -95,6 +96,7 @@ class PieceEncoder:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.width = "<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.kind = "H" if self.width == "<u2" else "I"
         before = conf.get("pre_tokenizer") or {}
         self.cut = (conf.get("normalizer") is None and before.get("type") == "ByteLevel"
                     and before.get("use_regex", True) and not before.get("add_prefix_space"))
@@ -106,7 +108,7 @@ class PieceEncoder:
         out = []
         for k in range(0, len(texts), CALL):
             found = self.lib.encode_batch_fast(texts[k:k + CALL], add_special_tokens=False)
-            out += [np.array(f.ids, self.width).tobytes() for f in found]
+            out += [array(self.kind, f.ids).tobytes() for f in found]
         return out
 
     def _learn(self, pieces: set[str]) -> None:
