@@ -12,7 +12,7 @@ exact repeat, and its words go.
 Documents are dealt to batches by their id.  A batch sends each distinct hash
 once to the hash's owner, with two flags instead of its documents, and gets back
 the live ones: a passage in a third of all documents costs one entry a batch,
-and no pairs of documents are made.  Entries travel packed, six bytes each.
+and no pairs of documents are made.  Entries travel packed, five bytes each.
 
 Null text has no words.  A row without id removes nothing and loses nothing;
 rows with one id are one document's and do not remove each other.  Texts
@@ -99,14 +99,28 @@ def _owner(h: np.ndarray, owners: int) -> np.ndarray:
     return ((h & np.uint64(MOST_OWNERS - 1)) * np.uint64(owners)) >> np.uint64(18)
 
 
-def _pack6(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Ascending 48-bit numbers: how many have each first byte, then the other
+    five bytes of each."""
+    first = np.bincount((x >> np.uint64(40)).astype(np.int64), minlength=256).astype("<u4")
+    return first.tobytes() + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _unpack6(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _unpack(data: bytes) -> np.ndarray:
+    first = np.frombuffer(data, "<u4", 256)
+    out = np.zeros((int(first.sum()), 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, 5)
+    return out.view("<u8").ravel() | np.repeat(np.arange(256, dtype=np.uint64) << np.uint64(40), first)
+
+
+def _planes(rows: np.ndarray) -> bytes:
+    """Records byte by byte: all first bytes, all second ones...; the bytes that
+    ids hardly use lie together and compress to nothing."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes()
+
+
+def _rows(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 def _dealt(owner: np.ndarray, pack, **columns) -> pa.Table:
@@ -166,11 +180,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         many = np.maximum.reduceat(doc, run) != np.minimum.reduceat(doc, run)
         flags = np.maximum.reduceat(ref.astype(np.uint64), run) * np.uint64(2) + many.astype(np.uint64)
         h = h[run]
-        owner, data = _dealt(_owner(h, owners), lambda i: _pack6((h[i] >> np.uint64(18)) << np.uint64(2) | flags[i]))
+        owner, data = _dealt(_owner(h, owners), lambda i: _pack((h[i] >> np.uint64(18)) << np.uint64(2) | flags[i]))
         return _table(owner, pa.array([one(table, "batch")] * len(owner), pa.int64()), data)
 
     def live_blocks(table: pa.Table) -> pa.Table:
-        parts = [_unpack6(d.as_py()) for d in table.column("data")]
+        parts = [_unpack(d.as_py()) for d in table.column("data")]
         of_batch = np.repeat(table.column("batch").to_numpy(), [len(p) for p in parts])
         x = np.concatenate(parts)
         order = np.argsort(x >> np.uint64(2), kind="stable")
@@ -182,13 +196,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         x, of_batch = x[live] >> np.uint64(2), of_batch[live]
         if not len(x):
             return _table([], [], [])
-        batch, data = _dealt(of_batch, lambda i: _pack6(x[i]))
+        batch, data = _dealt(of_batch, lambda i: _pack(x[i]))
         return _table(pa.array([one(table, "owner")] * len(batch), pa.int64()), batch, data)
 
     def candidates(b: Batch, live: pa.Table) -> np.ndarray:
         """Places of whole windows that hold a live block."""
         at = b.whole(block)
-        found = [_unpack6(d) << np.uint64(18) | np.uint64(o) for o, d in
+        found = [_unpack(d) << np.uint64(18) | np.uint64(o) for o, d in
                  zip(live.column("owner").to_pylist(), live.column("data").to_pylist(), strict=True)]
         if not found or not len(at):
             return at[:0]
@@ -223,11 +237,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         entry["h"], entry["g"] = h[run], g[run]
         entry["least"] = np.minimum.reduceat(ids, run)
         entry["many"] = np.maximum.reduceat(ids, run) != entry["least"]
-        owner, data = _dealt(_owner(entry["h"], owners), lambda i: entry[i].tobytes())
+        owner, data = _dealt(_owner(entry["h"], owners), lambda i: _planes(entry[i]))
         return _table(owner, pa.array([one(table, "batch")] * len(owner), pa.int64()), data)
 
     def least_documents(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(d.as_py(), ENTRY) for d in table.column("data")]
+        parts = [_rows(d.as_py(), ENTRY) for d in table.column("data")]
         of_batch = np.repeat(table.column("batch").to_numpy(), [len(p) for p in parts])
         x = np.concatenate(parts)
         order = np.lexsort((x["g"], x["h"]))
@@ -239,7 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         out["h"], out["g"], out["least"], of_batch = x["h"][need], x["g"][need], least[need], of_batch[need]
         if not len(out):
             return _table([], [], [])
-        batch, data = _dealt(of_batch, lambda i: out[i].tobytes())
+        batch, data = _dealt(of_batch, lambda i: _planes(out[i]))
         return _table(pa.array([one(table, "owner")] * len(batch), pa.int64()), batch, data)
 
     kept_type = [f for f in dealt.schema.fields if f.name == "kept"][0]
@@ -252,7 +266,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
         b = of(table)
         gone = np.zeros(len(b.words) + 1, np.int64)
-        parts = [np.frombuffer(d, ANSWER) for d in answers.column("data").to_pylist()]
+        parts = [_rows(d, ANSWER) for d in answers.column("data").to_pylist()]
         known = np.concatenate(parts) if parts else np.zeros(0, ANSWER)
         if len(known):
             known = known[np.lexsort((known["g"], known["h"]))]
