@@ -49,8 +49,13 @@ def letters(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-# Latin text, all of it in composed form: the pattern over these letters
-LATIN = re.compile("[\\t\\n\\r\x20-\x7e\xa1-\u024f]*")
+def stays(c: str) -> bool:
+    """Whether the lower case of ``c`` has no letter beyond those of LATIN_WORDS."""
+    return not any(x.isalpha() and ord(x) >= 0x250 for x in c.lower())
+
+
+# Latin text, all of it in composed form and in lower case too: the pattern over these letters
+LATIN = re.compile("[" + "".join(re.escape(c) for c in map(chr, [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)]) if stays(c)) + "]*")
 LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters('L')}]+|[{letters('N')}]|[^\\s{letters('L')}{letters('N')}]+")
 
 
