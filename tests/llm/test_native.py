@@ -163,6 +163,23 @@ def test_main_text():
     assert html.main_text('<aside>a<article>teaser</article></aside><main><p>Real<form>f</form></main>', None) == "Real"
 
 
+def test_marks_leave_articles_whole():
+    art = "<article><div class='article-header'><h1>Head</h1></div><p id='related-work'>One<p class='search-results'>Two</article>"
+    for page in (f"<div class='layout has-sidebar'>{art}</div>", f"<body class='comments-open'><div class='search-page'><p>x</p>{art}</div>",
+                 art.replace("<article>", "<article class='has-comments' data-id='menu'>")):
+        assert html.main_text(page, None) == "Head\n\nOne\n\nTwo"
+    assert html.main_text("<div class='page with-sidebar'><p>Text</p></div><div class='cookie-bar'>We</div>", None) == "Text"
+    assert html.main_text("<article>A<div class='share'>s</div></article><article class='comment'>c</article>", None) == "A"
+
+
+@pytest.mark.parametrize("name", ["svg", "iframe", "object", "select"])
+def test_elements_without_end_keep_the_text(name):
+    for tag in (f"<{name}/>", f'<{name} a="x"/>', f"<{name} />", f"<{name}>"):
+        assert html.main_text(f"<article><p>One{tag}</p><p>Two</p></article>", None) == "One\n\nTwo"
+        assert html.main_text(f"<article><p>One{tag}</p><p>Two<{name}>no<b>no</b></{name}></article>", None) == "One\n\nTwo"
+    assert html.main_text(f"<p>a<{name}>no<{name}>no</{name}>no</{name}>b", None) == "ab"
+
+
 def test_alignment_is_longest():
     rng = random.Random(2)
     for _ in range(300):
