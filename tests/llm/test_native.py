@@ -214,3 +214,25 @@ def test_shared_lines_go(spark, block):
         if r["page_id"] == 21:
             assert "Site name" in t
     assert html.extract(df.limit(0)).count() == 0
+
+
+def _texts(spark, rows):
+    """Texts of pages by number, from the whole operator."""
+    df = spark.createDataFrame([(k, f"http://h.net/{u}", p) for k, (u, p) in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in html.extract(df).orderBy("page_id").collect()]
+
+
+MENU = "<div><p>Site name and what it stands for</p></div>"
+END = "<div><p>All about this site, its makers and its rules</p></div>"
+
+
+def test_pages_are_compared_with_article_pages(spark):
+    """Neighbours with an article, and empty pages and copies between them."""
+    art = [f"{MENU}<article><p>Report {k} about thing {k}.</p></article>{END}" for k in range(4)]
+    plain = [f"{MENU}<p>Tale {k} with words of its own, told at some length to fill the page up.</p><p>More of tale {k}, which ends here after all of it.</p>{END}" for k in range(2)]
+    got = _texts(spark, [("a0", art[0]), ("a1", ""), ("a2", plain[0]), ("a3", plain[0]), ("a4", "<nav>x</nav>"), ("a5", None), ("a6", art[1]),
+                         ("b0", art[2]), ("b1", plain[1]), ("b2", art[3])])
+    for k in (2, 3):
+        assert got[k].startswith("Tale 0") and got[k].endswith("after all of it.")
+    assert got[8].startswith("Tale 1") and got[8].endswith("after all of it.")
+    assert got[0] == "Report 0 about thing 0." and got[1] == "" and got[5] == ""
