@@ -236,3 +236,28 @@ def test_pages_are_compared_with_article_pages(spark):
         assert got[k].startswith("Tale 0") and got[k].endswith("after all of it.")
     assert got[8].startswith("Tale 1") and got[8].endswith("after all of it.")
     assert got[0] == "Report 0 about thing 0." and got[1] == "" and got[5] == ""
+
+
+def test_frames_that_outweigh_the_body_go(spark):
+    stubs = [(f"s{k:02d}", f"{MENU}<p>Note {k}.</p>{END}") for k in range(5)]
+    assert _texts(spark, stubs) == [f"Note {k}." for k in range(5)]
+    assert _texts(spark, stubs[:2]) == ["Note 0.", "Note 1."]
+    long = "".join(f"<p>Line {k} of a long page, with words enough.</p>" for k in range(30))
+    got = _texts(spark, [("a", f"{MENU}{long}{END}"), ("b", stubs[0][1])])
+    assert got[0].startswith("Line 0") and got[0].endswith("enough.") and got[1] == "Note 0."
+
+
+def test_runs_of_copies_lose_their_frame(spark):
+    """More copies than a block and its reach; repeated rows; the two neighbours share different lines."""
+    copies = [(f"m{k:03d}", f"{MENU}<p>The same news on many addresses.</p>{END}") for k in range(90)]
+    rows = [("a", f"{MENU}<p>First page.</p>"), *copies, copies[40], ("z", f"<p>Last page, which says more.</p>{END}"), ("zz", f"{MENU}<p>Very last.</p>{END}")]
+    assert set(_texts(spark, rows)[1:-2]) == {"The same news on many addresses."}
+
+
+def test_edited_copies_keep_their_text(spark):
+    body = "".join(f"<p>Line {k} of the news, the same in both of them.</p>" for k in range(9))
+    rows = [(f"p{k}", f"{MENU}<p>Page {k} says this.</p><p>And that of {k}.</p>{END}") for k in range(3)]
+    rows += [("q1", f"{MENU}<p>Seen 1 times.</p>{body}{END}"), ("q2", f"{MENU}<p>Seen 2 times.</p>{body}{END}")]
+    got = _texts(spark, rows)
+    for k in (3, 4):
+        assert "Line 0" in got[k] and "Line 8" in got[k] and "Site name" not in got[k] and "All about" not in got[k]
