@@ -48,7 +48,7 @@ def _words(col: Column) -> Column:
     return F.filter(F.split(col, f"[{SPACE_CLASS}]+"), lambda w: w != "")
 
 
-# one word of each phrase, with which a text has to be searched for phrases
+# one word of each phrase: the SQL twin searches only texts with one of these as a whole word
 KEYS = ("rights copyright (c) licensed hereby terms privacy cookie cookies uses accept powered "
         "subscribe sign follow enable lorem click read").split()
 CASES = [c(k) for k in KEYS for c in (str.lower, str.capitalize, str.upper)]
@@ -69,7 +69,8 @@ def _menu(line: Column) -> Column:
 
 
 def _bad_line(marks: Column, phrases: Column, line: Column) -> Column:
-    """Whether a line fails; what no line of its text can hold isn't looked for."""
+    """Whether a line fails; what no line of its text can hold isn't looked for
+    (``marks``: the text has any mark, ``phrases``: any phrase)."""
     return (~line.rlike(r"[\p{L}\p{N}]") | _menu(line) | (marks & _marked(line))
             | (phrases & F.lower(line).rlike(PHRASES)))
 
@@ -88,8 +89,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     grams = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
                         lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     d = d.withColumn(sorted_, firm(grams))
-    d = d.withColumn(marks, F.col(t).rlike(ANY_MARK)).withColumn(
-        phrases, F.arrays_overlap(words, F.array(*map(F.lit, CASES))) | F.col(t).contains("©"))
+    d = d.withColumn(marks, F.col(t).rlike(ANY_MARK)).withColumn(phrases, firm(F.lower(t).rlike(PHRASES)))
     no_longs = F.array().cast("array<int>")
     repeated = F.size(F.array_distinct(sorted_)) < F.size(sorted_)
     d = d.withColumn(sorted_, firm(F.when(repeated, F.sort_array(F.transform(sorted_, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))

@@ -38,6 +38,20 @@ def test_quality_counters(spark, docs):
     assert quality.keep_good(docs([])).count() == 0
 
 
+def test_wrapped_phrases_are_found(spark, docs):
+    """Phrases beside brackets, quotes and marks, in any case; a line's verdict does not hang on others."""
+    wrapped = ["[Read more]", "(click here)", '"Privacy Policy"', "Home|Privacy Policy", "*Powered by X", "[Terms of Use]", "(ALL RIGHTS RESERVED)",
+               "aCCept cookies", "x-lorem ipsum", "©2020", "'Copyright (C)'", "(uses cookies)", "…sign up for", "[follow us on]", "enAble javascript"]
+    prose = "\n".join(f"Sentence a{k} has b{k} words c{k} of d{k} text e{k} here." for k in range(20))
+    rows = [(k, f"{prose}\n{line}") for k, line in enumerate(wrapped)] + [(100 + k, f"{prose}\n{line}\nThey read it.") for k, line in enumerate(wrapped)]
+    rows += [(200, "\n".join(f"[Read more] about a{k} b{k} c{k} d{k}" for k in range(20))), (201, prose)]
+    got = {r["doc_id"]: r for r in quality.judge(docs(rows), cleaned=True).collect()}
+    for k, line in enumerate(wrapped):
+        assert got[k]["cleaned"] == prose and got[100 + k]["cleaned"] == f"{prose}\nThey read it."
+        assert got[k]["lost_chars"] == got[100 + k]["lost_chars"] == len(line.replace(" ", ""))
+    assert not got[200]["kept"] and got[201]["kept"] and got[201]["lost_chars"] == 0
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{16,}") == {frozenset()}
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
