@@ -220,7 +220,9 @@ def file_starts(index: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     sums = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # by part number: as names, those of more than five digits would come in between
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
 

@@ -144,3 +144,10 @@ def test_damage_is_found():
     with pytest.raises(ValueError):
         list(records.frames(good[:-7]))
     assert struct.unpack("<Q", good[:8])[0] == 10
+
+
+def test_file_starts_go_by_part_number(spark):
+    numbers = [0, 9, 10000, 10001, 99999, 100000, 100001, 1000000]
+    index = spark.createDataFrame([(f"part-{n:05d}-0a1b-c000", 1) for n in numbers], "file string, n_tokens long")
+    first = {r["file"]: r["first"] for r in records.file_starts(index).collect()}
+    assert [first[f"part-{n:05d}-0a1b-c000"] for n in numbers] == list(range(len(numbers)))
