@@ -13,26 +13,24 @@ tokens, and tokens before it in the file.  ``read`` takes files back in, checks
 every frame, and ``lookup`` reads chosen records by their place.
 
 Null text is empty; an empty text is a record of the end id alone.  Repeated
-numbers are each a record.  A row without number stands first, as number
--2**63.  An empty table gives files without records.
+numbers are each a record.  Rows without number stand first, as number
+-2**63; they, and rows of one number, spread over files in table order.  A very
+long text is one record.  Columns other than number and text are not written.
+An empty table gives files without records.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import re
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import LATIN, letters
 from .common import ship
+from .pieces import encoder
 
 # Fixed values of the frame.
 MASK = 0xA282EAD8
@@ -41,14 +39,7 @@ HEAD, TAIL = 12, 4        # bytes before and after the payload
 NO_ID = -(1 << 63)
 
 FILE_TEXT = 12 << 20      # characters of text a file, so that a file fits a task
-MEMORY = 350_000          # pieces remembered by a worker, and as many older ones
-LONG_PIECE = 80
-TEXTS = 64                # texts cut before their pieces are looked up
-CALL = 500                # pieces, or whole texts, encoded by one call: their results are large
-
-
-# The byte-level splitter's pattern over Latin letters.
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters('L')}]+| ?[{letters('N')}]+| ?[^\\s{letters('L')}{letters('N')}]+|\\s+(?!\\S)|\\s+")
+TEXTS = 512               # texts encoded together
 
 
 def masked_crc(data: bytes) -> int:
@@ -80,85 +71,6 @@ def frames(data: bytes, name: str = "file"):
         at = start + length + TAIL + len(CLOSE)
 
 
-class PieceEncoder:
-    """The tokenizers library over whole texts, with pieces remembered.
-
-    A Latin text without special tokens is cut as the file's own splitter cuts
-    it, and the library encodes each distinct piece once; any other text, and
-    any text for another splitter, it encodes whole."""
-
-    def __init__(self, spec: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # the task has one core
-        from tokenizers import Tokenizer
-
-        conf = json.loads(spec)
-        self.lib = Tokenizer.from_str(spec)
-        self.lib.no_padding()
-        self.lib.no_truncation()
-        self.width = "<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.kind = "H" if self.width == "<u2" else "I"
-        before = conf.get("pre_tokenizer") or {}
-        self.cut = (conf.get("normalizer") is None and before.get("type") == "ByteLevel"
-                    and before.get("use_regex", True) and not before.get("add_prefix_space"))
-        self.special = [t["content"] for t in conf.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), CALL):
-            found = self.lib.encode_batch_fast(texts[k:k + CALL], add_special_tokens=False)
-            out += [array(self.kind, f.ids).tobytes() for f in found]
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Afterwards ``known`` holds all of ``pieces``."""
-        if len(self.known) >= MEMORY:
-            self.older, self.known = self.known, {}
-        new = []
-        for p in pieces.difference(self.known):
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append(p)
-        self.known.update(zip(new, self._ids(new), strict=True))
-
-    def encode_some(self, texts: list[str | None], end: int | None) -> list[bytes]:
-        """The ids of each text, packed, with ``end`` behind them."""
-        pieces, whole, all_pieces = [], [], set()
-        for t in texts:
-            own = None
-            if t and self.cut and LATIN.fullmatch(t) and not any(s in t for s in self.special):
-                own = PIECES.findall(t)
-                all_pieces.update(own)
-            elif t:
-                whole.append(t)
-            pieces.append(own)
-        self._learn(all_pieces)
-        rest, known = iter(self._ids(whole)), self.known.__getitem__
-        last = b"" if end is None else np.array([end], self.width).tobytes()
-        out = []
-        for t, own in zip(texts, pieces, strict=True):
-            out.append((b"".join(map(known, own)) if own is not None else next(rest) if t else b"") + last)
-        for p in all_pieces:
-            if len(p) > LONG_PIECE:
-                del self.known[p]
-        return out
-
-    def encode(self, text: str | None, end: int | None) -> bytes:
-        return self.encode_some([text], end)[0]
-
-
-_ENCODERS: dict[int, PieceEncoder] = {}
-
-
-def _encoder(spec: str) -> PieceEncoder:
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(spec)
-    return _ENCODERS[key]
-
-
 def write(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id", text: str = "text",
           end: int | None = 0, file_text: int = FILE_TEXT) -> None:
     """Encode every text and write the records, ascending by id over the files."""
@@ -168,7 +80,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_
         spec = spark.sparkContext.broadcast(f.read())
 
     def encode(batches):
-        enc = _encoder(spec.value)
+        enc = encoder(spec.value)
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for k in range(0, len(ids), TEXTS):
@@ -179,8 +91,10 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_
 
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     size = d.agg(F.sum(F.length("text"))).first()[0] or 0
-    # texts are dealt before they are encoded: a range exchange reads its input twice
-    (d.repartitionByRange(max(1, -(-size // file_text)), "id").sortWithinPartitions("id")
+    # texts are dealt before they are encoded: a range exchange reads its input twice;
+    # by row number too, so that rows without id, or of one id, go to many files
+    (d.withColumn("row", F.monotonically_increasing_id())
+     .repartitionByRange(max(1, -(-size // file_text)), "id", "row").sortWithinPartitions("id", "row")
      .mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", CLOSE.decode()).text(f"{folder}/records"))
 

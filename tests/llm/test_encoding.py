@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from siftwork.llm import bpe, records
+from siftwork.llm import bpe, pieces, records
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", None, "  ", "Hello, World's  tests don't 123 ½", "ŁÓDŹ straße Æon ÿİx", "a<|endoftext|>B <|startoftext|> c",
@@ -95,16 +95,31 @@ def test_encode_decode_rows(spark, docs):
 
 
 def test_pieces_equal_library():
-    enc, lib = _encoder(records.PieceEncoder, BYTE), _library(BYTE)
+    enc, lib = _encoder(pieces.PieceEncoder, BYTE), _library(BYTE)
     for t in TEXTS:
         want = lib.encode(t or "", add_special_tokens=False).ids + [0]
         assert np.frombuffer(enc.encode(t, 0), enc.width).tolist() == want
 
 
+def test_pieces_of_many_texts_equal_library():
+    """Texts cut together, also when the worker forgets in between."""
+    import itertools
+
+    enc, lib = _encoder(pieces.PieceEncoder, BYTE), _library(BYTE)
+    texts = ["".join(t) for n in range(5) for t in itertools.product("s' \n1é", repeat=n)] + TEXTS
+    got = enc.encode_some(texts, None)
+    enc.known, enc.older = {}, {}
+    assert enc.encode_some(texts[:50], None) + enc.encode_some(texts[50:], None) == got
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, enc.width).tolist() == lib.encode(t or "", add_special_tokens=False).ids
+    period = "it's re-read,  twice\n"
+    assert enc.encode(period * 250_000, None) == enc.encode(period, None) * 250_000      # 5 MB
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'sé \n\t \x1c1.<|endoftext|>"), max_size=40))
 def test_pieces_equal_library_on_any_text(text):
-    got = _encoder(records.PieceEncoder, BYTE).encode(text, None)
+    got = _encoder(pieces.PieceEncoder, BYTE).encode(text, None)
     assert np.frombuffer(got, "<u2").tolist() == _library(BYTE).encode(text, add_special_tokens=False).ids
 
 
