@@ -1,7 +1,7 @@
-r"""DuckDB twins of the queries that SQL can express: 4, 6, 8 and 10.
+r"""DuckDB twins of the queries that SQL can express: 4, 6, 8, 10, 12 and 13.
 
 The others are held against brute force in tests/llm: merging by an automaton,
-record files, components, page alignment, byte-exact borders between hashes and
+record files, packing by cost, components, page alignment, byte-exact borders between hashes and
 smoothed models are beyond one SQL statement."""
 
 from __future__ import annotations
@@ -106,4 +106,77 @@ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secrets.BASE)}
        coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op4_decontaminate": _OP4, "op6_substring": _OP6, "op8_quality": _OP8, "op10_secrets": _OP10}
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE concat(strlen(CAST({value} AS VARCHAR)), ':', {value}) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256(concat({', '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))}))"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Every node of the trees over ``leaves`` (g, idx, h), and each tree's top."""
+    return f"""
+{name} AS (SELECT g, 0 AS level, idx, h FROM {leaves}
+           UNION ALL
+           SELECT g, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx))
+           FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY g, level, idx // 2),
+{name}_top AS (SELECT g, max(level) AS depth, arg_max(h, level) AS top FROM {name} GROUP BY g)"""
+
+
+def _steps(leaves: str, tree: str) -> str:
+    """(g, idx, level, sibling, step) of every leaf on every level below the top."""
+    return f"""SELECT v.g, v.idx, v.level, s.h AS sibling,
+       CASE WHEN s.h IS NULL THEN '-' WHEN (v.idx >> v.level) & 1 = 1 THEN concat('L', s.h) ELSE concat('R', s.h) END AS step
+FROM (SELECT x.g, x.idx, unnest(range(t.depth)) AS level FROM {leaves} x JOIN {tree}_top t USING (g)) v
+LEFT JOIN {tree} s ON s.g = v.g AND s.level = v.level AND s.idx = xor(v.idx >> v.level, 1::BIGINT)"""
+
+
+# crc32 of the digits: a byte is mixed in (a number from 0 on), then eight shifts (-1)
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+
+_OP12 = f"""
+WITH RECURSIVE langs AS (SELECT lang AS of_lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+d AS (SELECT g, doc_id, {_leaf('n_chars')} AS h, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS claim
+      FROM documents JOIN langs ON lang IS NOT DISTINCT FROM of_lang),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM d),
+{_tree('node', 'leaves')},
+tops AS (SELECT 0 AS g, g AS idx, top AS h FROM node_top),
+{_tree('upper', 'tops')},
+steps AS ({_steps('leaves', 'node')}
+          UNION ALL
+          SELECT l.g, l.idx, 100 + u.level, u.sibling, u.step FROM leaves l JOIN ({_steps('tops', 'upper')}) u ON u.idx = l.g),
+ways AS (SELECT g, idx, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256, list(step ORDER BY level) AS way
+         FROM steps GROUP BY g, idx),
+folded AS (SELECT doc_id, h AS leaf, g, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+             list_reduce(list_prepend(coalesce(claim, h), coalesce(way, [])), lambda x, s:
+               CASE s[1] WHEN 'L' THEN sha256(concat(s[2:], x)) WHEN 'R' THEN sha256(concat(x, s[2:])) ELSE sha256(x) END) AS folded_root
+           FROM leaves LEFT JOIN ways USING (g, idx))
+SELECT doc_id, leaf, node_top.top AS subroot, upper_top.top AS root, proof_sha256, folded_root, folded_root = upper_top.top AS verified
+FROM folded JOIN node_top USING (g), upper_top
+"""
+
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_low('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+t AS (SELECT lang, {_words('piece', r'[\x20\x09]+')} AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM t GROUP BY lang),
+f AS (SELECT lang, w[s:s + m - 1] AS w, m, count(*) AS f
+      FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM t, (SELECT unnest([1, 2, 3, 4, 5]) AS m))
+      GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, w, m, f, unnest(generate_series(1, m - 1)) AS k FROM f WHERE m > 1),
+scored AS (SELECT c.lang, c.w, c.f AS a, c.k, x.f AS l, y.f AS r, n,
+                  CAST((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:c.k] JOIN f y ON y.lang = c.lang AND y.w = c.w[c.k + 1:]
+           JOIN total ON total.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+inner_phrases AS (SELECT lang, w[1:m - 1] AS w, f FROM f WHERE m > 2 UNION SELECT lang, w[2:], f FROM f WHERE m > 2),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i WHERE i.lang = b.lang AND i.w = b.w AND 100 * i.f >= 100 * b.a)),
+named AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op4_decontaminate": _OP4, "op6_substring": _OP6, "op8_quality": _OP8, "op10_secrets": _OP10,
+                           "op12_merkle": _OP12, "op13_collocations": _OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, quality, records, secrets, sharding, simhash, substring, urls
+from . import bpe, collocation, decontam, html, merkle, packing, quality, records, secrets, sharding, simhash, substring, urls
 from .common import fresh, shared_path, table
 
 
@@ -78,6 +78,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined(F.col("secrets")).alias("spans"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), ids=False)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    row = {c: F.col(c) for c in fields}
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    claim = F.when(tampered, merkle.leaf(list({**row, "n_chars": F.col("n_chars") + 1}.values())))
+    out = merkle.manifest(docs, merkle.leaf(list(row.values())), "lang", "doc_id", claim, keep=["doc_id"])
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,5 +137,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urls": op9_urls,
     "op10_secrets": op10_secrets,
+    "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }

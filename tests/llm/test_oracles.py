@@ -21,6 +21,9 @@ COLUMNS = {
     "op7_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op8_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_urls": "page_id bigint, host string, path string, rule string, verdict string",
+    "op11_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op12_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op13_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
     "op10_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
 }
 
@@ -37,6 +40,9 @@ def test_columns_and_rows(spark, name):
     for c in COLUMNS[name].split(", "):
         column, kind = c.split(" ")
         assert kinds[column] == kind
+    if name in ("op11_packing", "op13_collocations"):          # rows are pieces, or phrases
+        assert df.count() > 0
+        return
     table = "pages" if name in ("op5_html", "op9_urls") else "documents"
     assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
