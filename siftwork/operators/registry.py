@@ -25,10 +25,19 @@ def new_rows_null_safe(df: DataFrame, existing: DataFrame, cols: Sequence[str])
     return df.join(e, on=cond, how="left_anti")
 
 
+def whole_row(df: DataFrame, without: Sequence[str] = ()) -> Column:
+    """A row as one value that orders rows: its columns by name; a map as its
+    sorted entries, as maps have no order."""
+    cols = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name)
+            for f in sorted(df.schema.fields, key=lambda f: f.name) if f.name not in without]
+    return F.struct(*[c.alias(f"_{i}") for i, c in enumerate(cols)])
+
+
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str],
            version_col: str | None = None) -> DataFrame:
-    """Base rows replaced by updates with the same key (newest version wins;
-    without a version column an update beats the base row).  Top-1 per key
+    """Base rows replaced by updates with the same key (null equals null): the
+    newest version wins, an update before a base row, and of several the greatest
+    whole row, so that one input gives one answer in any order.  Top-1 per key
     is a WindowGroupLimit, so a key with many versions is cut map-side."""
     b = base.withColumn("_src", F.lit(0))
     u = updates.withColumn("_src", F.lit(1))
@@ -36,7 +45,7 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str],
     order: list[Column] = []
     if version_col:
         order.append(F.col(version_col).desc_nulls_last())
-    order.append(F.col("_src").desc())
+    order += [F.col("_src").desc(), whole_row(allrows, [*keys, "_src"]).desc()]
     return top_k(allrows, keys, order, 1, name="_rn").drop("_rn", "_src")
 
 

@@ -56,6 +56,29 @@ def assign_window(df: DataFrame, date_col: str, start: str = DATE_WINDOW_DEFAULT
         .withColumn("window_end", F.when(inside, we))
 
 
+def join_windows(df: DataFrame, date_col: str, windows: DataFrame, start_col: str = "window_start",
+                 end_col: str = "window_end") -> DataFrame:
+    """Rows of ``df`` with every window that holds their date; windows may be of
+    any length, overlap and repeat.
+
+    A window of n days lies in two bins at most of the power of two at or above n,
+    so windows and dates meet by equality on (bin size, bin) and the exact test is
+    left to the rows that meet.  A window is there twice at most, a row once for
+    each bin size that occurs (17 cover 300 years).  Rows without date, windows
+    without a start or end, or that end before they start, match nothing."""
+    days = F.datediff(F.col(end_col), F.col(start_col)) + 1
+    w = windows.where(days > 0).withColumn("_level", F.ceil(F.log2(days)).cast("int"))
+    number = {c: F.unix_date(F.to_date(F.col(c))) for c in (start_col, end_col)}
+    w = w.withColumn("_bin", F.explode(F.sequence(*[F.floor(number[c] / F.pow(F.lit(2), F.col("_level"))).cast("long")
+                                                    for c in (start_col, end_col)])))
+    sizes = sorted(r[0] for r in w.select("_level").distinct().collect())        # a few numbers
+    d = df.where(F.col(date_col).isNotNull()).withColumn("_day", F.unix_date(F.to_date(F.col(date_col))))
+    d = d.withColumn("_l", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
+    d = d.withColumn("_b", F.floor(F.col("_day") / F.pow(F.lit(2), F.col("_l"))).cast("long"))
+    met = d.join(w, (d["_l"] == w["_level"]) & (d["_b"] == w["_bin"]))
+    return met.where(F.col("_day").between(number[start_col], number[end_col])).drop("_day", "_l", "_b", "_level", "_bin")
+
+
 def check_windows(windows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Violations: a next window that does not start the day after this one
     ends (gaps or overlaps).  Windows per bounds row are few."""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.matching import search_metrics
 from ..operators.report import (guideline_totals, mean_change, median_iqr, nnr_change,
                                 workflow_pivot, zero_counts)
-from ..operators.stats import (bh_adjust, log_ratio_contrast, paired, ratio_effects,
+from ..operators.stats import (bh_adjust, log_ratio_contrast, p_text, paired, ratio_effects,
                                significance_code, wilcoxon)
+from ..session import stored_once
 from .common import (SQL_ARTICLES, SQL_TRUTH, SQL_TRUTH_LONG, round_doubles, sql_clean_id,
                      sql_round)
 from .eval_plans import broad_results, long_truth, topic_metrics_df
@@ -66,16 +67,19 @@ def wilcoxon_q(spark, sf):
     return round_doubles(wilcoxon(_recall_pairs(spark, sf), ["database"]))
 
 
-def _tests(spark, sf):
-    """One signed-rank test per (database, metric): the metrics are stacked
-    first, so the metric table is built once and ranked in one pass."""
+def _stacked_pairs(spark, sf):
+    """Broad against topic search per (database, review, metric): the metrics are
+    stacked, so the metric table is built once."""
     wm = workflow_metrics(spark, sf).select(
         "workflow", "database", "review_id",
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
                             for m in ("recall", "precision")])).alias("_m"))
     wm = wm.select("workflow", "database", "review_id", "_m.metric", "_m.value")
-    p = paired(wm, ["database", "review_id", "metric"], "workflow", "T", "O", "value")
-    return wilcoxon(p, ["database", "metric"])
+    return paired(wm, ["database", "review_id", "metric"], "workflow", "T", "O", "value")
+
+
+def _tests(spark, sf):
+    return wilcoxon(_stacked_pairs(spark, sf), ["database", "metric"])
 
 
 def bh_adjust_q(spark, sf):
@@ -86,6 +90,19 @@ def bh_adjust_q(spark, sf):
     return round_doubles(out)
 
 
+def workflow_stats_q(spark, sf):
+    """The published contrasts: per database and metric, the broad search against
+    the topic search as a ratio with its interval, percent and direction, and the
+    adjusted p as a number, as text and as a code."""
+    key = ["database", "metric"]
+    pairs = stored_once(_stacked_pairs(spark, sf))
+    effects = ratio_effects(log_ratio_contrast(pairs, key)).drop("sd", "se").withColumnRenamed("n", "n_pairs")
+    tests = bh_adjust(wilcoxon(pairs, key).where(F.col("p_value").isNotNull()), "p_value", order_key=key)
+    out = effects.join(tests.select(*key, "p_value", "p_adjusted"), key, "left")
+    out = round_doubles(out.withColumn("contrast", F.lit("O vs T")), 9)
+    return out.withColumn("p_text", p_text("p_adjusted")).withColumn("signif", significance_code("p_adjusted"))
+
+
 def log_ratio_contrast_q(spark, sf):
     c = log_ratio_contrast(_recall_pairs(spark, sf), ["database"])
     return round_doubles(ratio_effects(c))
@@ -100,13 +117,13 @@ QUERIES = {
     "paired_diff": paired_diff_q,
     "wilcoxon": wilcoxon_q,
     "bh_adjust": bh_adjust_q,
-    "workflow_stats": bh_adjust_q,
+    "workflow_stats": workflow_stats_q,
     "log_ratio_contrast": log_ratio_contrast_q,
 }
 
 # ------------------------------------------------------------- oracle SQL --
 
-_WM = f"""WITH {SQL_ARTICLES},
+_WM = f"""WITH RECURSIVE {SQL_ARTICLES},
 {SQL_TRUTH},
 {SQL_TRUTH_LONG},
 res_t AS (SELECT database, review_id, {sql_clean_id('original_id')} AS clean_id FROM articles),
@@ -181,14 +198,23 @@ s_{out} AS (
 v_{out} AS (
   SELECT s.database, s.n, s.w_plus, s.w_minus, least(s.w_plus, s.w_minus) AS w,
     CAST(s.n AS DOUBLE) * (CAST(s.n AS DOUBLE) + 1) / 4.0 AS mu,
-    CAST(s.n AS DOUBLE) * (CAST(s.n AS DOUBLE) + 1) * (2 * CAST(s.n AS DOUBLE) + 1) / 24.0 - t.tc / 48.0 AS var
+    CAST(s.n AS DOUBLE) * (CAST(s.n AS DOUBLE) + 1) * (2 * CAST(s.n AS DOUBLE) + 1) / 24.0 - t.tc / 48.0 AS var,
+    s.n <= 50 AND t.tc = 0 AND s.database NOT IN (SELECT database FROM {pairs} WHERE diff = 0) AS exact
   FROM s_{out} s LEFT JOIN ties_{out} t USING (database)
 ),
 z_{out} AS (SELECT *, CASE WHEN var > 0 THEN (w - mu) / sqrt(var) END AS z FROM v_{out}),
+patterns_{out} AS (
+  SELECT 0 AS m, 0 AS s, 1.0::DOUBLE AS c
+  UNION ALL
+  SELECT m + 1, s + (m + 1) * up, sum(c) FROM patterns_{out}, (SELECT unnest([0, 1]) AS up) WHERE m < 50 GROUP BY ALL
+),
+exact_{out} AS (SELECT database, least(1.0, 2 * sum(c) / pow(2.0, any_value(n))) AS p
+                FROM z_{out} JOIN patterns_{out} ON m = n AND s <= w WHERE exact GROUP BY database),
 {out} AS (
-  SELECT database, CAST(n AS BIGINT) AS n, w_plus, w_minus, w, z,
-    least(1.0, 2.0 * {_sf('abs(z)')}) AS p_value
-  FROM z_{out}
+  SELECT z_{out}.database, CAST(n AS BIGINT) AS n, w_plus, w_minus, w, z,
+    CASE WHEN exact THEN p ELSE least(1.0, 2.0 * {_sf('abs(z)')}) END AS p_value,
+    CASE WHEN exact THEN 'exact' ELSE 'normal' END AS p_method
+  FROM z_{out} LEFT JOIN exact_{out} USING (database)
 )"""
 
 
@@ -243,7 +269,7 @@ SELECT database, round(avg(change), 9) AS mean_change, round(avg(change_pct), 9)
        count(*) AS n_pairs FROM c GROUP BY database""",
     "paired_diff": _WM + ",\n" + _pairs("recall") + "\n" + _median_sql("database", "diff", "pr"),
     "wilcoxon": _WM + ",\n" + _pairs("recall") + ",\n" + _wilcoxon("pr", "wx") + """
-SELECT database, n, """ + sql_round(["w_plus", "w_minus", "w", "z", "p_value"]) + " FROM wx",
+SELECT database, n, """ + sql_round(["w_plus", "w_minus", "w", "z", "p_value"]) + ", p_method FROM wx",
     "bh_adjust": None,  # filled below
     "log_ratio_contrast": _WM + ",\n" + _pairs("recall") + """,
 l AS (SELECT database, ln(value_b + 1e-6) - ln(value_a + 1e-6) AS lr FROM pr),
@@ -270,4 +296,18 @@ SELECT database, metric, round(p_value, 9) AS p_value, round(p_adjusted, 9) AS p
        WHEN p_adjusted < 0.1 THEN '.' ELSE '' END AS signif
 FROM a"""
 ORACLES["bh_adjust"] = _BH
-ORACLES["workflow_stats"] = _BH
+ORACLES["workflow_stats"] = _BH[:_BH.rindex("SELECT database, metric, round")].rstrip() + """,
+pairs AS (SELECT 'recall' AS metric, * FROM pr_r UNION ALL SELECT 'precision', * FROM pr_p),
+l AS (SELECT database, metric, ln(value_b + 1e-6) - ln(value_a + 1e-6) AS lr FROM pairs),
+s AS (SELECT database, metric, avg(lr) AS estimate, count(*) AS n_pairs, stddev_samp(lr) / sqrt(CAST(count(*) AS DOUBLE)) AS se FROM l GROUP BY ALL),
+e AS (SELECT *, estimate - 1.959963984540054 * se AS lower, estimate + 1.959963984540054 * se AS upper FROM s),
+j AS (SELECT database, metric, n_pairs, """ + sql_round(["estimate", "lower", "upper"]) + """,
+        round(exp(estimate), 9) AS ratio, round(exp(lower), 9) AS ratio_lower, round(exp(upper), 9) AS ratio_upper,
+        round((exp(estimate) - 1.0) * 100.0, 9) AS pct_change,
+        CASE WHEN estimate > 0 THEN 'higher' WHEN estimate < 0 THEN 'lower' ELSE 'no change' END AS direction,
+        round(p_value, 9) AS p_value, round(p_adjusted, 9) AS p_adjusted, 'O vs T' AS contrast
+      FROM e LEFT JOIN a USING (database, metric))
+SELECT *, CASE WHEN p_adjusted <= 0.01 THEN '<0.01' ELSE printf('%.6f', p_adjusted) END AS p_text,
+  CASE WHEN p_adjusted < 0.001 THEN '***' WHEN p_adjusted < 0.01 THEN '**' WHEN p_adjusted < 0.05 THEN '*'
+       WHEN p_adjusted < 0.1 THEN '.' ELSE '' END AS signif
+FROM j"""

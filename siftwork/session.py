@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,8 +77,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local_dir
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, the same for every
+    application (``ensure_checkpoint_dir`` gives a folder of this application)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or ensure_checkpoint_dir(spark)
+
+
 def stored_once(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there: for small
     tables that several parts of a plan read.  Nothing stays in executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the checkpoint folder and read from
+    there.  For loops: a checkpoint keeps the size that was estimated for its plan,
+    which joins multiply from round to round; a table has its own size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordinal import top_k
+from ..operators.registry import upsert
+from ..session import stored_once
 
 # what a read of a table that was never written fails with
 _ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
@@ -75,16 +77,55 @@ def first_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return top_k(df, keys, [whole.asc()], 1, name="_rn").drop("_rn")
 
 
+def not_stored(df: DataFrame, existing: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key ``existing`` does not hold; null keys are equal to each other."""
+    if existing is None:
+        return df
+    e = existing.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(e[f"_e{i}"])
+    return df.join(e, same, "left_anti")
+
+
 def append_new(df: DataFrame, path: str, keys: Sequence[str], spark: SparkSession) -> int:
     """Append one row per key that is not stored yet (idempotent re-runs; null
-    keys are equal to each other).  Returns the number of appended rows."""
-    new, existing = first_per_key(df, keys), stored(spark, path)
-    if existing is not None:
-        e = existing.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)])
-        same = F.lit(True)
-        for i, k in enumerate(keys):
-            same = same & new[k].eqNullSafe(e[f"_e{i}"])
-        new = new.join(e, same, "left_anti")
-    before = existing.count() if existing is not None else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    keys are equal to each other).  Returns the number of appended rows, which the
+    write itself counts."""
+    new = not_stored(first_per_key(df, keys), stored(spark, path), keys)
+    written = Observation()
+    new.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
+
+
+BUCKET = "_bucket"
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int"))
+
+
+def _write_buckets(df: DataFrame, path: str) -> None:
+    (df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(BUCKET).parquet(path))
+
+
+def upsert_bucketed(updates: DataFrame, path: str, keys: Sequence[str], buckets: int,
+                    version_col: str | None = None) -> list[int]:
+    """Upsert into a Parquet table whose rows lie in ``buckets`` folders by the hash
+    of their key: only folders that hold a key of ``updates`` are read and written
+    again, all others keep their files.  Returns the folders written.
+
+    Of the rows of a key (null is a key) one stays, as ``registry.upsert`` chooses.
+    A table that is not there yet is begun.  The new rows are stored before any
+    folder is replaced, so a lost executor never reads what is being replaced, and
+    running the same updates again changes nothing."""
+    spark = updates.sparkSession
+    new = stored_once(_bucketed(updates, keys, buckets))
+    touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())        # at most ``buckets`` numbers
+    base = stored(spark, path)
+    if not touched:
+        return []
+    old = new.limit(0) if base is None else base.where(F.col(BUCKET).isin(touched))
+    _write_buckets(stored_once(upsert(old, new, keys, version_col)), path)
+    return touched

@@ -3,9 +3,10 @@ new search exports over time).
 
 A Structured Streaming file source picks up new files; each micro-batch is
 deduplicated on the key and appended only where the key is new, so a
-restarted query (or a re-landed file) never duplicates rows.  The
-checkpoint lives under the session's ``spark.checkpoint.dir`` unless one
-is given.
+restarted query (or a re-landed file) never duplicates rows; null keys are
+equal to each other.  The checkpoint lies in the folder that
+``spark.checkpoint.dir`` names, under the target's hash, where another
+application finds it again, unless one is given.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ordinal import top_k
-from ..session import ensure_checkpoint_dir
-from ..sources.sinks import stored
+from ..operators.registry import whole_row
+from ..session import shared_folder
+from ..sources.sinks import not_stored, stored
 
 
 def ingest_new_keys(spark: SparkSession, source_dir: str, schema: T.StructType, target: str,
@@ -30,15 +32,14 @@ def ingest_new_keys(spark: SparkSession, source_dir: str, schema: T.StructType,
     """Stream ``source_dir`` into the Parquet table ``target``, new keys only."""
     # one checkpoint for each full target path
     name = "ingest-" + hashlib.sha256(target.rstrip("/").encode()).hexdigest()
-    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), name)
+    ckpt = checkpoint or os.path.join(shared_folder(spark), name)
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        order = [F.col(order_col).asc()] if order_col else [F.col(k).asc() for k in keys]
+        order = [F.col(order_col).asc()] if order_col else []
+        order.append(whole_row(batch).asc())
         first = top_k(batch, keys, order, 1, name="_rn").drop("_rn")
-        existing = stored(batch.sparkSession, target)
-        if existing is not None:
-            first = first.join(existing.select(*keys), list(keys), "left_anti")
+        first = not_stored(first, stored(batch.sparkSession, target), keys)
         first.write.mode("append").parquet(target)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
