@@ -1,16 +1,20 @@
 """Boolean keyword queries compiled to one Spark predicate.
 
-A search strategy is given as a small expression tree instead of a text
-grammar (no parser):
+A search strategy is an expression tree,
 
     Or(Term("insulin resist*"), And(Term("metformin"), Not(Term("mice"))))
 
+or the text that panels write, which ``read_query`` turns into one:
+
+    "insulin resist*"[tiab] OR (metformin AND Animals[mh] NOT mice)
+
 `Term` matches a word or phrase at a word boundary, case-insensitively
 (text is lower-cased, terms are lower-case); a trailing `*` is a prefix
 wildcard.  Word characters are Unicode letters, digits and `_`, spelled
 out as classes so the pattern means the same in every regex engine.  `fields` chooses the searched columns
 (title + abstract by default, the `[tiab]` tag); `MeshTerm` tests exact
-membership in an array column (the `[mh]` tag).
+membership in an array column (the `[mh]` tag).  ``operators.postings`` evaluates
+many queries in one scan.
 """
 
 from __future__ import annotations
@@ -91,3 +95,102 @@ def compile_query(node) -> Column:
     if isinstance(node, Not):
         return ~compile_query(node.item)
     raise TypeError(f"unknown query node {node!r}")
+
+
+# The tags of a query text and the columns that they search.
+TAGS = {"tiab": ("title", "abstract"), "ti": ("title",), "ab": ("abstract",), "mh": None}
+_TOKEN = re.compile(r'\s*(?:"(?P<quoted>[^"]*)"|\[(?P<tag>[^\]\s]*)\]|(?P<mark>[()"\[\]])|(?P<word>[^\s()\[\]"]+))')
+
+
+class QueryTextError(ValueError):
+    """A query text that cannot be read; ``at`` is the place of the fault."""
+
+    def __init__(self, what: str, at: int):
+        super().__init__(f"{what} at {at}")
+        self.at = at
+
+
+def read_query(text: str, fields: tuple[str, ...] = ("title", "abstract")):
+    """The expression tree of a query text.
+
+    AND and NOT (``a NOT b``: a without b) bind tighter than OR and go from left to
+    right; operators are upper case.  Words in a row are one phrase, as is what
+    stands in quotes; a tag holds for the word or phrase before it, ``fields``
+    where there is none."""
+    text = text.rstrip()
+    tokens, at = [], 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        start = m.end() - len(m[0].lstrip())
+        if m.lastgroup == "mark" and m["mark"] not in "()":
+            raise QueryTextError(f"unclosed {m['mark']}", start)
+        tokens.append((m.lastgroup, m[m.lastgroup], start))
+        at = m.end()
+    tokens.append(("end", "", len(text)))
+    place = 0
+
+    def here():
+        return tokens[place]
+
+    def is_operator(*names):
+        return here()[0] == "word" and here()[1] in names
+
+    def phrase():
+        """Words up to an operator, or a quoted phrase, and the tag behind."""
+        nonlocal place
+        kind, value, start = here()
+        words = [value]
+        place += 1
+        while kind == "word" and here()[0] == "word" and not is_operator("AND", "OR", "NOT"):
+            words.append(here()[1])
+            place += 1
+        said = " ".join(words).strip().lower()
+        if not said.strip("* "):
+            raise QueryTextError("empty term", start)
+        searched = fields
+        if here()[0] == "tag":
+            if here()[1].lower() not in TAGS:
+                raise QueryTextError(f"unknown tag {here()[1]}", here()[2])
+            searched = TAGS[here()[1].lower()]
+            place += 1
+        return MeshTerm(said) if searched is None else Term(said, searched)
+
+    def item():
+        nonlocal place
+        kind, value, start = here()
+        if kind == "mark" and value == "(":
+            place += 1
+            inner = either()
+            if here()[:2] != ("mark", ")"):
+                raise QueryTextError("unclosed (", start)
+            place += 1
+            return inner
+        if is_operator("NOT"):
+            place += 1
+            return Not(item())
+        if kind in ("quoted", "word") and not is_operator("AND", "OR"):
+            return phrase()
+        raise QueryTextError("term expected", start)
+
+    def both():
+        nonlocal place
+        left = item()
+        while is_operator("AND", "NOT"):
+            negative = here()[1] == "NOT"
+            place += 1
+            right = item()
+            left = And(left, Not(right) if negative else right)
+        return left
+
+    def either():
+        nonlocal place
+        parts = [both()]
+        while is_operator("OR"):
+            place += 1
+            parts.append(both())
+        return parts[0] if len(parts) == 1 else Or(*parts)
+
+    tree = either()
+    if here()[0] != "end":
+        raise QueryTextError("operator expected", here()[2])
+    return tree

@@ -21,6 +21,7 @@ c = rank of the last relevant match):
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import clean_id
 from ..functions.metrics import f_beta, ratio
 from ..schemas import RANKED_METRIC_COLUMNS, RECALL_AT_K
+from .counting import count_ranks
+from .retrieval import QueryMatrix, rank_and_fuse
 
 
 def scope_truth(truth: DataFrame, review_col: str = "review_id") -> DataFrame:
@@ -128,6 +131,33 @@ def ranked_metrics(fused: DataFrame, truth: DataFrame, queries: DataFrame,
                     *[F.when(~empty, cols[c]).alias(c) for c in names])
 
 
+def counted_ranking(matrix: QueryMatrix, space: DataFrame, truth: DataFrame, space_col: str = "database",
+                    review_col: str = "review_id") -> DataFrame:
+    """The rows of the fused ranking that hold an included article, of strategies
+    with one query: the rank of a document is its place for that query, found by
+    counting, so the other documents are never ranked."""
+    included = truth.where(F.col("clean_id").isNotNull()).select(review_col, space_col, "clean_id").distinct()
+    ids = space.select(space_col, "original_id", clean_id("original_id").alias("clean_id"))
+    names = matrix.queries.select("_q", *matrix.query_cols, space_col)
+    wanted = (included.join(ids, [space_col, "clean_id"]).select(review_col, space_col, "original_id")
+              .join(names.select("_q", review_col, space_col), [review_col, space_col]).select("_q", "original_id").distinct())
+    return count_ranks(matrix, space, wanted).join(names, "_q").select(
+        *matrix.query_cols, space_col, "original_id", F.col("rank").alias("combined_rank"), "cosine_similarity")
+
+
+def search_metrics_ranked(matrix: QueryMatrix, space: DataFrame, truth: DataFrame, queries: DataFrame, keys: Sequence[str],
+                          n_docs: DataFrame, space_col: str = "database", method: str = "range") -> DataFrame:
+    """``ranked_metrics`` of all strategies of ``matrix``: those with one query by
+    counting, those with more by ranking and fusing every document."""
+    columns = [*matrix.query_cols, space_col, "original_id", "combined_rank", "cosine_similarity"]
+    one, many = matrix.split()
+    parts = [] if one.queries.isEmpty() else [counted_ranking(one, space, truth, space_col)]
+    if not parts or not many.queries.isEmpty():
+        parts.append(rank_and_fuse(many.queries, space, space_col, matrix.query_cols, method=method, matrix=many)[1])
+    fused = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+    return ranked_metrics(fused, truth, queries, keys=keys, space_col=space_col, n_docs=n_docs)
+
+
 def cutoff_prefix(fused: DataFrame, metrics: DataFrame, keys: Sequence[str],
                   truth_kind: str = "raw") -> DataFrame:
     """Ranked documents up to the last relevant hit of each strategy (the

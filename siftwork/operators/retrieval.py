@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..schemas import RRF_K
 from ..session import stored_once
-from .ordinal import ordinal
+from .ordinal import ordinal, top_k
 
 # declared length of a vector, and bytes of query vectors sent in one block
 EMBEDDING_DIM = 64
@@ -192,6 +192,20 @@ def valid_vector(col: str, dim: int):
             & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)))
 
 
+def _first(sim: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``top`` greatest of every column, equals by least id."""
+    if len(sim) <= top:
+        return np.repeat(np.arange(len(sim)), sim.shape[1]), np.tile(np.arange(sim.shape[1]), len(sim))
+    least = np.partition(sim, len(sim) - top, axis=0)[len(sim) - top]
+    rows, cols = [], []
+    for c in range(sim.shape[1]):
+        near = np.flatnonzero(sim[:, c] >= least[c])               # those that equal the last one, too
+        order = sorted(near, key=lambda i: (-sim[i, c], ids[i]))[:top] if len(near) > top else near
+        rows.append(np.asarray(order, np.int64))
+        cols.append(np.full(len(order), c))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 class QueryMatrix:
     """The query vectors, written once and sent to the tasks block by block.
 
@@ -224,11 +238,27 @@ class QueryMatrix:
         """The scorable query rows, without their vectors."""
         return self.queries.drop(self.vec_col, "_q", "_s")
 
+    def split(self) -> tuple["QueryMatrix", "QueryMatrix"]:
+        """The strategies that have one query, and those that have more."""
+        counts = self.queries.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+        parts = []
+        for one in (True, False):
+            mine = counts.where((F.col("_n") == 1) == one).select("_s")
+            parts.append(QueryMatrix(stored_once(self.queries.join(mine, "_s", "left_semi")), self.strategies.join(mine, "_s", "left_semi"),
+                                     self.blocks, self.dim, self.space_col, self.query_cols, self.vec_col))
+        return parts[0], parts[1]
+
+    def block(self, k: int) -> DataFrame:
+        """Query rows of one block, with their vectors; at most ``BLOCK_BYTES``."""
+        return self.queries.where(F.pmod(F.xxhash64("_q"), F.lit(self.blocks)) == k).select(self.space_col, "_s", "_q", self.vec_col)
+
     def pairs(self, space: DataFrame, doc_cols: Sequence[str] = ("article_id", "original_id"),
-              vec_col: str = "embedding") -> DataFrame:
+              vec_col: str = "embedding", top: int | None = None, id_col: str = "original_id", decimals: int = 9) -> DataFrame:
         """(_s, _q, doc_cols, cosine_similarity): documents stream through
         ``mapInPandas``; each Arrow batch is one matrix product per search
-        space present in it."""
+        space present in it.  With ``top``, a batch gives only the first ``top``
+        documents of each query (by rounded similarity, then ``id_col``): whatever
+        is among the first of all is among the first of its batch."""
         spark, space_col, doc_cols = space.sparkSession, self.space_col, list(doc_cols)
         schema = T.StructType(
             [T.StructField("_s", T.LongType()), T.StructField("_q", T.LongType())] + [space.schema[c] for c in doc_cols]
@@ -236,17 +266,16 @@ class QueryMatrix:
         docs_in = space.select(space_col, *doc_cols, vec_col)
         out = None
         for k in range(self.blocks):
-            block = F.pmod(F.xxhash64("_q"), F.lit(self.blocks)) == k
-            meta = self.queries.where(block).select(space_col, "_s", "_q", self.vec_col).toPandas()   # at most a block
+            meta = self.block(k).toPandas()
             mat, keep = _unit_rows(meta[self.vec_col].tolist(), self.dim)
             meta = meta.drop(columns=[self.vec_col]).iloc[keep].reset_index(drop=True)
             groups = {g: np.asarray(v) for g, v in meta.groupby(space_col).indices.items()} if len(meta) else {}
             sent = spark.sparkContext.broadcast((meta["_s"].to_numpy(np.int64), meta["_q"].to_numpy(np.int64), mat, groups))
-            part = docs_in.mapInPandas(self._scorer(sent, doc_cols, vec_col, schema.names), schema)
+            part = docs_in.mapInPandas(self._scorer(sent, doc_cols, vec_col, schema.names, top, id_col, decimals), schema)
             out = part if out is None else out.unionByName(part)
         return out
 
-    def _scorer(self, sent, doc_cols, vec_col, names):
+    def _scorer(self, sent, doc_cols, vec_col, names, top, id_col, decimals):
         space_col, dim = self.space_col, self.dim
 
         def run(batches):
@@ -262,11 +291,15 @@ class QueryMatrix:
                     docs, qm = sub.iloc[dkeep], mat[qi]
                     step = max(1, CELLS_PER_FRAME // len(qi))
                     for s in range(0, len(dkeep), step):
-                        sim = dmat[s:s + step] @ qm.T            # (docs, queries)
-                        frame = {"_s": np.tile(strategy[qi], sim.shape[0]), "_q": np.tile(query[qi], sim.shape[0])}
+                        sim = np.clip(dmat[s:s + step] @ qm.T, -1.0, 1.0)            # (docs, queries)
+                        if top is None:
+                            d, q = np.repeat(np.arange(len(sim)), len(qi)), np.tile(np.arange(len(qi)), len(sim))
+                        else:
+                            d, q = _first(np.round(sim, decimals), docs[id_col].to_numpy()[s:s + step], top)
+                        frame = {"_s": strategy[qi][q], "_q": query[qi][q]}
                         for c in doc_cols:
-                            frame[c] = np.repeat(docs[c].to_numpy()[s:s + step], len(qi))
-                        frame["cosine_similarity"] = np.clip(sim.ravel(), -1.0, 1.0)
+                            frame[c] = docs[c].to_numpy()[s:s + step][d]
+                        frame["cosine_similarity"] = sim[d, q]
                         yield pd.DataFrame(frame)[names]
 
         return run
@@ -363,6 +396,18 @@ def cosine_rank(queries: DataFrame, space: DataFrame, space_col: str = "database
                          cos_decimals=decimals, dim=dim)[0]
 
 
+def top_search(queries: DataFrame, space: DataFrame, k: int, space_col: str = "database",
+               query_cols: Sequence[str] = ("scope", "shot", "review_id"), decimals: int = 9,
+               dim: int = EMBEDDING_DIM, matrix: QueryMatrix | None = None) -> DataFrame:
+    """The first ``k`` documents of each query, as ``cosine_rank`` ranks them, without
+    ranking the rest: tasks keep ``k`` a query and batch, and the window that
+    merges them keeps ``k`` a query and task before the shuffle."""
+    qm = matrix or QueryMatrix.collect(queries, space_col, query_cols, dim=dim)
+    near = qm.pairs(space, top=k, decimals=decimals).withColumn("cosine_similarity", F.round("cosine_similarity", decimals))
+    order = [F.col("cosine_similarity").desc(), F.col("original_id").asc()]
+    return qm.with_query(top_k(near, ["_q"], order, k))
+
+
 def rrf_fuse(ranked: DataFrame, k: int = RRF_K, space_col: str = "database",
              query_cols: Sequence[str] = ("scope", "shot", "review_id"),
              decimals: int = 12, method: str = "range") -> DataFrame:

@@ -3,17 +3,19 @@ compose): the year-filtered, deduplicated broad results of each database
 are the search space; their embeddings are looked up by article id in one
 embeddings table (missing vectors drop out, as null vectors do); gold
 articles of the evaluation reviews are the queries; the evaluation set is
-the truth."""
+the truth.  A review whose gold articles have no vector finds nothing: it is
+reported with no documents and every article missed."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import truth_by_database
-from ..operators.ranked import ranked_metrics, scope_truth
-from ..operators.retrieval import (QueryMatrix, all_scenarios, on_spaces,
-                                   rank_and_fuse, space_sizes)
+from ..operators.ranked import scope_truth, search_metrics_ranked
+from ..operators.retrieval import QueryMatrix, all_scenarios, on_spaces, space_sizes
 from ..operators.truth import build_evaluation_set, build_gold_set
 from ..schemas import SCOPES
 from ..session import stored_once
@@ -43,14 +45,22 @@ class SearchThenRank:
         self.matrix = QueryMatrix.collect(queries, "database", ["scope", "shot", "review_id"],
                                           extra_cols=["query_kind"])
         self.query_rows = self.matrix.rows()
-        self.ranked, self.fused, self.method = rank_and_fuse(queries, self.space, method=method,
-                                                             matrix=self.matrix)
+        self.scopes, self.shots, self.method = scopes, shots, method
+
+    def strategies(self) -> DataFrame:
+        """Every evaluation review and the whole, with every shot, in every database,
+        also where no gold article has a vector."""
+        reviews = self.eval_set.select(F.col("review_id").cast("string").alias("review_id")).distinct()
+        by_scope = {"topic": reviews, "overall": reviews.sparkSession.range(1).select(F.lit("overall").alias("review_id"))}
+        out = reduce(DataFrame.unionByName, [by_scope[s].withColumn("scope", F.lit(s)) for s in self.scopes])
+        return on_spaces(out.withColumn("shot", F.explode(F.array(*map(F.lit, self.shots)))), DATABASES4)
 
     def metrics(self) -> DataFrame:
         truth = scope_truth(truth_by_database(self.eval_set, DATABASES4,
                                               keep=["ground_truth_article_id", "review_id"]))
-        n_docs = space_sizes(self.space, self.query_rows.select(*KEYS).distinct(), self.matrix.dim)
-        return ranked_metrics(self.fused, truth, self.query_rows, keys=KEYS, n_docs=n_docs)
+        sized = space_sizes(self.space, self.query_rows.select(*KEYS).distinct(), self.matrix.dim)
+        n_docs = self.strategies().join(sized, KEYS, "left").select(*KEYS, F.coalesce("_n", F.lit(0)).alias("_n"))
+        return search_metrics_ranked(self.matrix, self.space, truth, self.query_rows, KEYS, n_docs, method=self.method)
 
 
 def search_then_rank_q(spark, sf_dir):
@@ -87,7 +97,11 @@ space AS (SELECT * FROM space0 WHERE embedding IS NOT NULL AND len(embedding) =
 {_SQL_RANK_FUSE},
 {sql_truth_long('ev', 'tl1')},
 tl AS (SELECT * FROM tl1 UNION ALL SELECT ground_truth_article_id, 'overall', database, clean_id, truth_kind FROM tl1),
-{metrics_core_sql()}
+strategies AS (
+  SELECT s.scope, shots.shot, dbs.database, s.review_id
+  FROM (SELECT DISTINCT 'topic' AS scope, review_id FROM ev UNION ALL SELECT 'overall', 'overall') s,
+       (SELECT unnest(['one-shot', 'few-shot']) AS shot) shots, dbs),
+{metrics_core_sql('strategies')}
 SELECT scope, shot, database, review_id, truth_kind, n_retrieved, n_missed,
   overall_screening_workload, overall_screening_workload_cutoff,
   {sql_round(_DOUBLE_METRICS, 9, {"similarity_threshold_cutoff": 6})}

@@ -9,7 +9,7 @@ from ..operators.quality import (check_conservation, check_expected_counts, chec
                                  check_metric_bounds, check_subset, check_unique, duplicate_rows,
                                  embedding_coverage, last_non_null)
 from . import driver
-from .common import SQL_ARTICLES, SQL_TRUTH, SQL_VECTORS, sql_clean_id
+from .common import DATABASES4, SQL_ARTICLES, SQL_TRUTH, SQL_VECTORS, sql_clean_id
 from .eval_plans import _SQL_TOPIC_COUNTS, broad_results, long_truth, topic_metrics_df
 
 
@@ -42,10 +42,11 @@ def dq_expected_counts_q(spark, sf):
         .withColumn("results", F.when(F.col("lang") != "fr", F.col("results")))
     expected = last_non_null(lines, ["source"], "results", "lang") \
         .select(F.col("source").alias("review_id"), F.col("results").alias("expected"))
-    actual = broad_results(spark, sf).where(F.col("database") == "openalex") \
+    expected = expected.withColumn("database", F.explode(F.array(*map(F.lit, DATABASES4))))
+    actual = broad_results(spark, sf) \
         .join(driver.articles(spark, sf).select("article_id", "review_id"), "article_id") \
-        .groupBy("review_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    return check_expected_counts(actual, expected, ["review_id"])
+        .groupBy("review_id", "database").agg(F.count(F.lit(1)).alias("n_rows"))
+    return check_expected_counts(actual, expected, ["review_id", "database"])
 
 
 def dq_conservation_q(spark, sf):
@@ -99,11 +100,12 @@ SELECT review_id, 'missing_in_first' FROM b WHERE review_id NOT IN (SELECT revie
 lines AS (SELECT source, lang, CASE WHEN lang <> 'fr' THEN n END AS results
            FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang)),
 ex AS (SELECT source AS review_id, arg_max(results, lang) AS expected FROM lines WHERE results IS NOT NULL GROUP BY source),
-br AS (SELECT * FROM articles WHERE publication_year BETWEEN 1990 AND 2022 AND database = 'openalex'
+br AS (SELECT * FROM articles WHERE publication_year BETWEEN 1990 AND 2022
        QUALIFY row_number() OVER (PARTITION BY database, original_id ORDER BY article_id) = 1),
-ac AS (SELECT review_id, count(*) AS n_rows FROM br GROUP BY review_id)
-SELECT coalesce(ac.review_id, ex.review_id) AS review_id, ac.n_rows, ex.expected
-FROM ac FULL OUTER JOIN ex ON ac.review_id = ex.review_id
+ac AS (SELECT review_id, database, count(*) AS n_rows FROM br GROUP BY ALL),
+e4 AS (SELECT ex.*, unnest(['pubmed', 'medline', 'embase', 'openalex']) AS database FROM ex)
+SELECT coalesce(ac.review_id, ex.review_id) AS review_id, coalesce(ac.database, ex.database) AS database, ac.n_rows, ex.expected
+FROM ac FULL OUTER JOIN e4 ex ON ac.review_id = ex.review_id AND ac.database = ex.database
 WHERE ac.n_rows IS DISTINCT FROM ex.expected""",
     "dq_conservation": _SQL_TOPIC_COUNTS + """,
 tc AS (SELECT database, review_id, truth_kind, count(*) AS n_truth FROM truth_long GROUP BY ALL)

@@ -1,14 +1,17 @@
 """Operators whose groups may hold any share of the rows, over the driver tables:
 exact tests, running minima, selection of quantiles, interval joins, chains of
-landed pages, bucketed upserts; and their oracle SQL."""
+landed pages, bucketed upserts, many query texts at once; and their oracle SQL."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.keyword import And, MeshTerm, Not, Term, read_query
 from ..operators.ordinal import ordinal
+from ..operators.postings import evaluate
 from ..operators.quantiles import exact_quantiles
 from ..operators.stats import bh_adjust, wilcoxon
 from ..operators.windows import join_windows
@@ -187,3 +190,52 @@ best AS (SELECT o_orderkey, o_custkey, max(o_totalprice) AS o_totalprice, 2 AS v
 SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice, version FROM best
 UNION ALL SELECT o_orderkey, o_custkey, round(o_totalprice, 2), 1 FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM best)""",
 }
+
+
+# ------------------------------------------------- many query texts at once --
+
+QUERY_TEXTS = {
+    "phrase": '"in the" OR "of the"[ab]',
+    "prefix": "th*[ab] AND NOT (que OR der)",
+    "left to right": "the AND of NOT and OR les",
+    "bare phrase": "of the[ab] AND src3",
+    "title": "src1*[ti] NOT src1[ti]",
+    "tag": "fr[mh] OR (es[mh] AND src4[mh])",
+    "nested": "((the OR la) AND (of OR de)) NOT (en[mh] NOT src2[mh])",
+    "not alone": "NOT (the OR la OR der OR que)",
+    "long phrase": '"of the in" OR "de la le" OR "en el de"',
+    "punctuated": '"the, and" OR "|" OR "the."',
+    "upper case": "THE AND Und*",
+    "inner": "on* AND th* AND in*",
+}
+
+
+def _searched(spark, sf):
+    return driver.table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"), F.array("lang", "source").alias("mesh"))
+
+
+def query_texts_q(spark, sf):
+    """Query texts read and evaluated over all documents in one scan."""
+    return evaluate(_searched(spark, sf), "doc_id", {name: read_query(text) for name, text in QUERY_TEXTS.items()})
+
+
+def _sql_query(node) -> str:
+    """SQL twin of ``keyword.compile_query`` for an expression tree."""
+    if isinstance(node, MeshTerm):
+        return f"list_contains(list_transform(mesh, lambda h: lower(h)), '{node.heading}')"
+    if isinstance(node, Term):
+        words = node.text.split()
+        parts = [re.escape(w[:-1]) + r"[\p{L}\p{N}_]*" if w.endswith("*") else re.escape(w) for w in words]
+        tail = "" if words[-1].endswith("*") else r"([^\p{L}\p{N}_]|$)"
+        pattern = (r"(^|[^\p{L}\p{N}_])" + r"\s+".join(parts) + tail).replace("'", "''")
+        return "(" + " OR ".join(f"coalesce(regexp_matches(lower({f}), '{pattern}'), false)" for f in node.fields) + ")"
+    if isinstance(node, Not):
+        return f"(NOT {_sql_query(node.item)})"
+    return "(" + (" AND " if isinstance(node, And) else " OR ").join(map(_sql_query, node.items)) + ")"
+
+
+QUERIES["query_texts"] = query_texts_q
+ORACLES["query_texts"] = ("WITH d AS (SELECT doc_id, source AS title, text AS abstract, [lang, source] AS mesh FROM documents)\n"
+                          + "\nUNION ALL ".join(f"SELECT '{name}' AS query, doc_id FROM d WHERE {_sql_query(read_query(text))}"
+                                                for name, text in QUERY_TEXTS.items()))

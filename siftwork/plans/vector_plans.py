@@ -3,13 +3,15 @@ over the ``embeddings`` driver table, and their oracle SQL."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matching import truth_by_database
-from ..operators.ranked import cutoff_prefix, ranked_metrics, scope_truth
+from ..operators.ranked import cutoff_prefix, scope_truth, search_metrics_ranked
 from ..operators.retrieval import (QueryMatrix, all_scenarios, dedupe_space, on_spaces, pick_one,
-                                   rank_and_fuse, select_queries, space_sizes, topic_vectors)
+                                   rank_and_fuse, select_queries, space_sizes, top_search, topic_vectors)
 from ..session import stored_once
 from ..schemas import RANKED_METRIC_COLUMNS, SCOPES, SHOTS
 from . import driver
@@ -32,8 +34,19 @@ class VectorRun:
         self.matrix = QueryMatrix.collect(self.queries, "database", ["scope", "shot", "review_id"],
                                           extra_cols=["query_kind"])
         self.query_rows = self.matrix.rows()
-        self.ranked, self.fused, self.method = rank_and_fuse(self.queries, self.space, method=method,
-                                                             matrix=self.matrix)
+        self.method = method
+
+    @functools.cached_property
+    def _ranking(self):
+        return rank_and_fuse(self.queries, self.space, method=self.method, matrix=self.matrix)
+
+    @property
+    def ranked(self) -> DataFrame:
+        return self._ranking[0]
+
+    @property
+    def fused(self) -> DataFrame:
+        return self._ranking[1]
 
     def truth(self) -> DataFrame:
         long = truth_by_database(driver.vector_truth(self.vecs), DATABASES4,
@@ -42,7 +55,7 @@ class VectorRun:
 
     def metrics(self) -> DataFrame:
         n_docs = space_sizes(self.space, self.query_rows.select(*KEYS).distinct(), self.matrix.dim)
-        return ranked_metrics(self.fused, self.truth(), self.query_rows, keys=KEYS, n_docs=n_docs)
+        return search_metrics_ranked(self.matrix, self.space, self.truth(), self.query_rows, KEYS, n_docs, method=self.method)
 
 
 # ------------------------------------------------------------------ plans --
@@ -98,6 +111,13 @@ def recall_at_k_q(spark, sf_dir):
     return round_doubles(m, 9)
 
 
+def top_search_q(spark, sf_dir):
+    """The first 100 documents of every topic few-shot query, by bounded selection."""
+    run = VectorRun(spark, sf_dir, scopes=("topic",), shots=("few-shot",))
+    top = top_search(run.queries, run.space, 100, matrix=run.matrix)
+    return top.select("review_id", "database", "query_id", "original_id", "cosine_similarity", "rank")
+
+
 def few_shot_queries_q(spark, sf_dir):
     vecs = driver.vectors(spark, sf_dir)
     q = select_queries(driver.vector_gold(vecs), None, "topic", "few-shot")
@@ -125,6 +145,7 @@ QUERIES = {
     "distributed_rank": distributed_rank_q,
     "cutoff_prefix": cutoff_prefix_q,
     "recall_at_k": recall_at_k_q,
+    "top_search": top_search_q,
     "few_shot_queries": few_shot_queries_q,
     "one_shot_pick": one_shot_pick_q,
     "topic_vectors": topic_vector_q,
@@ -314,9 +335,18 @@ _DOUBLE_METRICS = [c for c in RANKED_METRIC_COLUMNS if c not in (
     "n_retrieved", "n_missed", "overall_screening_workload", "overall_screening_workload_cutoff")]
 
 
-def metrics_core_sql() -> str:
-    """CTEs m .. z: ranked metrics from ``fused``, truth ``tl`` and queries ``q0``."""
-    return (_SQL_METRICS_CORE.replace("{metric_list}", _metrics_select(RANKED_METRIC_COLUMNS))
+_SQL_ND = "nd AS (SELECT scope, shot, database, review_id, count(*) AS nn FROM fused GROUP BY ALL)"
+
+
+def metrics_core_sql(strategies: str | None = None) -> str:
+    """CTEs m .. z: ranked metrics from ``fused``, truth ``tl`` and queries ``q0``;
+    of all of ``strategies`` (scope, shot, database, review_id), if given."""
+    core = _SQL_METRICS_CORE
+    if strategies:
+        core = core.replace(_SQL_ND, _SQL_ND.replace("nd AS", "nd0 AS") + f""",
+nd AS (SELECT st.scope, st.shot, st.database, st.review_id, coalesce(nd0.nn, 0) AS nn
+       FROM {strategies} st LEFT JOIN nd0 USING (scope, shot, database, review_id))""")
+    return (core.replace("{metric_list}", _metrics_select(RANKED_METRIC_COLUMNS))
             .replace("{clean_f}", sql_clean_id("f.original_id")))
 
 
@@ -336,6 +366,8 @@ ORACLES = {
       "round(cosine_similarity, 6) AS cosine_similarity, combined_rank, n_queries FROM fused",
     "cosine_rank": _sql_rank_stages("q0.scope = 'topic' AND q0.shot = 'few-shot'")
     + "\nSELECT review_id, database, query_id, original_id, cosine_similarity, rank FROM ranked",
+    "top_search": _sql_rank_stages("q0.scope = 'topic' AND q0.shot = 'few-shot'")
+    + "\nSELECT review_id, database, query_id, original_id, cosine_similarity, rank FROM ranked WHERE rank <= 100",
     "rrf_fuse": _sql_rank_stages("q0.scope = 'overall' AND q0.shot = 'few-shot'")
     + "\nSELECT database, original_id, round(rrf_score, 12) AS rrf_score, "
       "round(cosine_similarity, 6) AS cosine_similarity, combined_rank, n_queries FROM fused",
