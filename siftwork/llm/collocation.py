@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,11 @@ NO_LANG = "und"
 SHARD_CHARS = 12_000_000
 FILTER_BITS = 25
 CHUNK_BITS = 16
-RANGE_WINDOWS = 1_500_000     # windows a range, before shards have summed equal ones
+RANGE_WINDOWS = 3_000_000     # windows a range, before shards have summed equal ones
 MOST_RANGES = 1 << 18
 SAMPLE_A_RANGE = 40
 SALTS = 8
+MANY = 255                    # a weight from here on is sent apart, as eight bytes
 
 END = b"\xff"                 # stands between pieces; no UTF-8 text holds it
 _TO_END = bytearray(LOWER_BYTES)
@@ -129,34 +131,44 @@ class CountAutomaton:
             yield first[real], depth, weight[real]
 
     def pack(self, a: int, b: int) -> dict:
-        """Rows a to b as new states only, with the words that they name."""
+        """Rows a to b as new states only, with the words that they name, compressed."""
         part = CountAutomaton(self.words, self.rows[a:b], self.weight[a:b])
         shared = part.shared()
         new = (np.arange(part.rows.shape[1]) >= shared[:, None]) & (part.rows > 0)
-        labels = part.rows[new]
-        used = np.unique(labels)
-        return {"words": [self.words[i - 1] for i in used.tolist()], "labels": np.searchsorted(used, labels).astype("<u4").tobytes(),
-                "shared": shared.tobytes(), "length": (part.rows > 0).sum(axis=1).astype(np.uint8).tobytes(),
-                "weight": part.weight.astype("<u8").tobytes()}
+        used, which, often = np.unique(part.rows[new], return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")             # frequent words get small numbers
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        few = np.minimum(part.weight, MANY).astype(np.uint8)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return {"words": squeeze(b" ".join([self.words[i - 1] for i in used[order].tolist()])),
+                "labels": squeeze(rank[which].view(np.uint8).reshape(-1, 4).T.tobytes()),       # byte by byte: most high ones are 0
+                "shared": squeeze(shared.tobytes()), "length": squeeze((part.rows > 0).sum(axis=1).astype(np.uint8).tobytes()),
+                "weight": squeeze(few.tobytes()), "more": squeeze(part.weight[few == MANY].astype("<u8").tobytes())}
 
     @classmethod
     def union(cls, packed: list[dict], width: int) -> CountAutomaton:
         """One automaton of all, weights summed."""
-        words = sorted(set().union(*(p["words"] for p in packed)))
+        loose = zstandard.ZstdDecompressor().decompress
+        packed = [{c: loose(p[c]) for c in _PARTS} for p in packed]
+        spelled = [p["words"].split(b" ") for p in packed]
+        words = sorted(set().union(*spelled))
         number = {w: i for i, w in enumerate(words, 1)}
         rows, weights = [], []
-        for p in packed:
+        for p, used in zip(packed, spelled, strict=True):
             shared, length = np.frombuffer(p["shared"], np.uint8), np.frombuffer(p["length"], np.uint8)
             column = np.arange(width)
             new = (column >= shared[:, None]) & (column < length[:, None])
-            own = np.array([number[w] for w in p["words"]], np.uint32)
+            own = np.array([number[w] for w in used], np.uint32)
             part = np.zeros(new.shape, np.uint32)
-            part[new] = own[np.frombuffer(p["labels"], "<u4")]
+            part[new] = own[np.frombuffer(p["labels"], np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()]
             # a shared word stands in the last row that has made a state there
             made = np.maximum.accumulate(np.where(new, np.arange(len(new))[:, None], 0), axis=0)
             part = np.where(column < length[:, None], part[made, column], 0)
             rows.append(part)
-            weights.append(np.frombuffer(p["weight"], "<u8").astype(np.int64))
+            weight = np.frombuffer(p["weight"], np.uint8).astype(np.int64)
+            weight[weight == MANY] = np.frombuffer(p["more"], "<u8")
+            weights.append(weight)
         return cls.of(words, np.vstack(rows).astype(np.uint32), np.concatenate(weights))
 
     def phrase(self, row: int, depth: int) -> str:
@@ -304,13 +316,13 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int, width: int) ->
             langs += [lang] * (len(phrases) - len(langs))
         return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(counts, pa.int64())})
 
-    sent = docs.mapInArrow(send, "range long, lang string, words array<binary>, labels binary, shared binary, length binary, weight binary")
+    sent = docs.mapInArrow(send, "range long, lang string, " + ", ".join(f"{c} binary" for c in _PARTS))
     parts = sent.groupBy("range").applyInArrow(unite, "lang string, phrase string, f long")
     return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-_PACKED = [("range", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("labels", pa.binary()),
-           ("shared", pa.binary()), ("length", pa.binary()), ("weight", pa.binary())]
+_PARTS = ["words", "labels", "shared", "length", "weight", "more"]
+_PACKED = [("range", pa.int64()), ("lang", pa.string()), *((c, pa.binary()) for c in _PARTS)]
 
 
 def _place(a: CountAutomaton, border: tuple[bytes, ...]) -> int:
