@@ -59,19 +59,17 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN stay USING (doc_id)"""
 _LINE_WORDS = _words("x", _GAP)
 _BARE = f"regexp_replace(x, {_q(_GAP)}, '', 'g')"
 _MARKS = quality.MARKS.replace("\\\\", "\\")
-_MENU = quality.MENU.replace("^(?i)", "(?i)^")
 _BAD = rf"""(NOT regexp_matches(x, '[\p{{L}}\p{{N}}]')
-  OR (regexp_matches(x, {_q(_MENU)}) AND NOT regexp_matches(x, '[.!?]\s*$') AND len({_LINE_WORDS}) <= 8)
+  OR trim(regexp_replace(' ' || regexp_replace(lower(x), {_q(quality.GAP)}, '  ', 'g') || ' ', {_q(quality.MENU_ITEM)}, '', 'g')) = ''
   OR length({_BARE}) - length(translate({_BARE}, {_q(_MARKS)}, '')) > length({_BARE}) * {quality.SYMBOL_SHARE}
   OR (len({_LINE_WORDS}) >= 4 AND len(list_filter({_LINE_WORDS}, lambda y: regexp_matches(y, '[!?.,*#%$&]{{2,}}$'))) * 2 > len({_LINE_WORDS}))
   OR (len({_LINE_WORDS}) >= 4 AND len(list_filter({_LINE_WORDS}, lambda y: regexp_matches(y, '^[|»›·•>/-]+$'))) * 4 > len({_LINE_WORDS}))
-  OR (phrases AND regexp_matches(lower(x), {_q(quality.PHRASES)})))"""
+  OR regexp_matches(lower(x), {_q(quality.PHRASES)}))"""
 
 _OP8 = rf"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t, {_words("coalesce(text, '')", _GAP)} AS w FROM documents),
-d AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE_CLASS}]')) AS l,
-             list_has_any(w, [{', '.join(map(_q, quality.CASES))}]) OR contains(t, '©') AS phrases FROM a),
-bad AS (SELECT doc_id, sum(length({_BARE})) AS lost FROM (SELECT doc_id, phrases, unnest(l) AS x FROM d) WHERE {_BAD} GROUP BY doc_id),
+d AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE_CLASS}]')) AS l FROM a),
+bad AS (SELECT doc_id, sum(length({_BARE})) AS lost FROM (SELECT doc_id, unnest(l) AS x FROM d) WHERE {_BAD} GROUP BY doc_id),
 g AS (SELECT doc_id, s, w[s:s + 2] AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS s FROM d)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_rep FROM (
   SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1) GROUP BY doc_id),

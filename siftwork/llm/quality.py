@@ -8,8 +8,9 @@ characters is rejected.
   that prose hardly has, over half of its words (four or more) end in doubled
   marks, or it has no letter and no digit at all;
 * navigation: over a quarter of its words (four or more) are separators, or
-  it is a short line that opens with a menu word and does not end a sentence;
-* boilerplate: it holds a fixed phrase of licences, cookie notices and the like.
+  it holds menu words and separators only;
+* boilerplate: it holds a fixed phrase of licences, cookie notices and the like,
+  in English, French, German or Spanish.
 
 Beside the verdict stand the base counters of the whole text.  Words that recur
 in three-word windows are found inside the row: windows are hashed, sorted with
@@ -18,8 +19,9 @@ n log n in the length of a text and needs no shuffle.
 
 Null and empty texts have no words: all counters are zero and the base rule
 fails.  A text without failing lines loses nothing.  Repeated rows are judged
-each on its own.  Extra columns pass through; a clashing name gets an
-underscore.
+each on its own.  A very long text is judged in its row, n log n in its words.
+Extra columns pass through; a clashing name gets an underscore.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -38,22 +40,49 @@ SYMBOL_SHARE = 0.2
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>~^=_{}\\\\@+"
 ANY_MARK = r"[#*$%&|<>~^=_{}\\@+»›·•/-]|[!?.,][!?.,]"
-MENU = r"^(?i)\s*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to|skip to|share|tweet|follow us|subscribe|sitemap|contact|about us|categories|tags|archives)\b"
-PHRASES = (r"all rights reserved|copyright \(c\)|©|this work is licensed|licensed under the|permission is hereby granted"
-           r"|terms of (use|service)|privacy policy|cookie policy|uses cookies|accept (all )?cookies|powered by"
-           r"|subscribe to our|sign up for|follow us on|enable javascript|lorem ipsum|click here|read more")
+MENU_WORDS = (
+    # English
+    "home", "main menu", "menu", "log in", "login", "sign in", "sign up", "register", "search", "next", "previous", "back to top",
+    "skip to content", "skip to main content", "share", "share this", "tweet", "follow us", "subscribe", "site map", "sitemap", "contact",
+    "contact us", "about", "about us", "categories", "tags", "archives", "news", "more", "help", "faq",
+    # French
+    "accueil", "connexion", "se connecter", "s'inscrire", "rechercher", "recherche", "suivant", "précédent", "retour en haut", "partager",
+    "plan du site", "à propos", "actualités", "aide",
+    # German
+    "startseite", "anmelden", "registrieren", "suche", "weiter", "zurück", "nach oben", "teilen", "inhalt", "kontakt", "impressum",
+    "über uns", "hilfe",
+    # Spanish
+    "inicio", "iniciar sesión", "registrarse", "buscar", "siguiente", "anterior", "volver arriba", "compartir", "mapa del sitio",
+    "contacto", "acerca de", "noticias", "ayuda",
+)
+PHRASE_PATTERNS = (
+    # English
+    "all rights reserved", r"copyright \(c\)", "©", "this work is licensed", "licen[cs]ed under (the|a|an|cc|creative|mit|apache|gnu|gpl|bsd) ",
+    "(released|published|distributed) under (the |a |an )?[a-z0-9 .-]*licen[cs]e", "permission is hereby granted", "terms of (use|service)",
+    "privacy policy", "cookie policy", "uses cookies", "accept (all )?cookies", "powered by", "subscribe to our", "sign up for",
+    "follow us on", "enable javascript", "lorem ipsum", "click here", "read more",
+    # French
+    "tous droits réservés", "sous (la )?licence", "conditions (générales )?d.utilisation", "politique de confidentialité", "utilise des cookies",
+    "accepter (tous )?les cookies", "propulsé par", "abonnez-vous", "inscrivez-vous", "suivez-nous", "cliquez ici", "lire la suite", "mentions légales",
+    # German
+    "alle rechte vorbehalten", "lizenziert unter", "unter (der|einer) [a-z0-9 .-]*lizenz", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies",
+    "cookies akzeptieren", "folgen sie uns", "klicken sie hier", "hier klicken", "weiterlesen", "mehr erfahren",
+    # Spanish
+    "todos los derechos reservados", "bajo (la )?licencia", "(términos|condiciones) de uso", "política de (privacidad|cookies)", "utiliza cookies",
+    "aceptar (todas las )?cookies", "suscríbete", "suscríbase", "síguenos", "ha(ga|z) clic aquí", "leer más",
+)
+GAP = rf"[{SPACE_CLASS}|>»›·•/:,-]+"
+# the longest first, and two blanks between words: see _menu
+_MENU_ITEMS = "|".join(w.replace(" ", "  ") for w in sorted(MENU_WORDS, key=lambda w: (-len(w), w)))
+MENU_START = rf"^({GAP})?({'|'.join(w.replace(' ', GAP) for w in MENU_WORDS)})({GAP}|$)"
+MENU_ITEM = f" ({_MENU_ITEMS}) "
+PHRASES = "|".join(PHRASE_PATTERNS)
 
 
 def _words(col: Column) -> Column:
     return F.filter(F.split(col, f"[{SPACE_CLASS}]+"), lambda w: w != "")
 
 
-# one word of each phrase: the SQL twin searches only texts with one of these as a whole word
-KEYS = ("rights copyright (c) licensed hereby terms privacy cookie cookies uses accept powered "
-        "subscribe sign follow enable lorem click read").split()
-CASES = [c(k) for k in KEYS for c in (str.lower, str.capitalize, str.upper)]
-
-
 def _marked(line: Column) -> Column:
     """Fails for its marks, doubled marks or separators."""
     bare = F.regexp_replace(line, f"[{SPACE_CLASS}]+", "")
@@ -65,7 +94,10 @@ def _marked(line: Column) -> Column:
 
 
 def _menu(line: Column) -> Column:
-    return line.rlike(MENU) & ~line.rlike(r"[.!?]\s*$") & (F.size(_words(line)) <= 8)
+    """Whether nothing is left when menu words go, each with a blank on either side."""
+    low = F.lower(line)
+    spaced = F.concat(F.lit(" "), F.regexp_replace(low, GAP, "  "), F.lit(" "))
+    return low.rlike(MENU_START) & (F.trim(F.regexp_replace(spaced, MENU_ITEM, "")) == "")
 
 
 def _bad_line(marks: Column, phrases: Column, line: Column) -> Column:
@@ -81,8 +113,8 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     n_dup_lines, n_repeat_words, base_failed, lost_chars (word characters in
     failing lines) and kept; with ``cleaned``, the text without those lines."""
     keep = docs.columns if keep is None else keep
-    t, words, lines, sorted_, places, marks, phrases = (
-        fresh(docs.columns, c) for c in ("_t", "_words", "_lines", "_grams", "_places", "_marks", "_phrases"))
+    t, words, lines, sorted_, places, marks, phrases, bad = (
+        fresh(docs.columns, c) for c in ("_t", "_words", "_lines", "_grams", "_places", "_marks", "_phrases", "_bad"))
     d = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     d = d.withColumn(words, firm(_words(F.col(t))))
     # hash of each window with its place, sorted: equal windows stand together
@@ -107,7 +139,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     def fails(line):
         return _bad_line(F.col(marks), F.col(phrases), line)
 
-    bad = F.filter(lines, fails)
+    d = d.withColumn(bad, firm(F.filter(lines, fails)))
     n_words = F.size(words).cast("long")
     new = {
         "n_words": firm(n_words),
@@ -118,7 +150,9 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
         "lost_chars": F.length(F.regexp_replace(F.array_join(bad, ""), flat, "")).cast("long"),
     }
     if cleaned:
-        new["cleaned"] = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(WORD) & fails(x))), "\n")
+        # equal lines fare alike, so those that fail need not be judged again
+        new["cleaned"] = F.when(F.size(bad) == 0, F.col(t)).otherwise(
+            F.array_join(F.filter(F.split(t, "\n"), lambda x: ~F.array_contains(bad, x)), "\n"))
     taken = [*keep]
     names = {}
     for c in [*new, "base_failed", "kept"]:
@@ -131,7 +165,14 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     return inner.withColumn(names["kept"], ~F.col(names["base_failed"]) & ~lost)
 
 
-def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """The documents that are kept, unchanged."""
-    judged = judge(docs, text, max_lost=max_lost)
-    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
+def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, length: str | None = None) -> DataFrame:
+    """The documents that are kept, without their failing lines; the column
+    ``length``, if there is one, follows where lines went.  Other columns stay."""
+    judged = judge(docs, text, max_lost=max_lost, cleaned=True)
+    added = judged.columns[len(docs.columns):]
+    cleaned, kept = F.col(added[6]), F.col(added[-1])
+    shorter = F.length(cleaned) < F.length(F.col(text))
+    new = {text: F.when(shorter, cleaned).otherwise(F.col(text))}
+    if length in docs.columns:
+        new[length] = F.when(shorter, F.length(cleaned)).otherwise(F.col(length)).cast(docs.schema[length].dataType)
+    return judged.where(kept).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

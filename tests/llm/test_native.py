@@ -1,5 +1,6 @@
 """Operators 5, 7, 8, 9 and 10 against brute force."""
 import collections
+import os
 import random
 import re
 import zlib
@@ -52,6 +53,38 @@ def test_wrapped_phrases_are_found(spark, docs):
     assert not got[200]["kept"] and got[201]["kept"] and got[201]["lost_chars"] == 0
 
 
+def test_lines_of_four_languages(spark, docs):
+    """Licence, notice and menu lines fail; prose with the same words does not."""
+    bad = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Tous droits réservés.", "ALLE RECHTE VORBEHALTEN", "Todos los derechos reservados.",
+           "Publié sous licence MIT.", "Lizenziert unter der MIT-Lizenz.", "Publicado bajo la licencia MIT.", "Ce site utilise des cookies.",
+           "Diese Seite verwendet Cookies.", "Este sitio utiliza cookies.", "Lire la suite", "» Weiterlesen", "Leer más...", "Accueil | Recherche | Aide",
+           "Startseite > Über uns > Kontakt", "Inicio / Contacto", "Skip to main content", "Home", "Log in · Register", "Datenschutzerklärung und Impressum"]
+    good = ["Search results were mixed", "Home prices rose again", "About half of them agreed", "He was licensed to drive buses", "They released under pressure",
+            "The next day it rained", "Contact with the soil was lost", "Die Suche nach dem Kind", "La recherche avance", "El contacto fue breve"]
+    prose = "\n".join(f"Sentence a{k} has b{k} words c{k} of d{k} text e{k} here." for k in range(20))
+    got = quality.judge(docs([(0, "\n".join([prose, *bad, *good]))]), cleaned=True).first()
+    assert got["cleaned"].split("\n") == [*prose.split("\n"), *good]
+    long = "home | about us / " * 100_000                              # one line
+    assert quality.judge(docs([(0, long), (1, long + "x")])).select("lost_chars").orderBy("doc_id").collect()[0][0] == len(long.replace(" ", ""))
+    kept = quality.keep_good(docs([(0, "\n".join([prose, *bad[:2]])), (1, prose)]).withColumn("n_chars", F.length("text")), length="n_chars").collect()
+    assert [(r["text"], r["n_chars"]) for r in kept] == [(prose, len(prose))] * 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables absent")
+def test_licence_lines_of_the_table(spark):
+    """All licence lines fail, and hardly any line of plain words."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = d.select(F.explode(F.split("text", "\n")).alias("text")).where(F.col("text").rlike(r"\w"))
+    kind = (F.when(F.lower("text").rlike(r"^(this work is |released |licen[cs]ed )?.*(licen[cs]e(,| )|licen[cs]e\.$|cc by)|^all rights reserved"), "licence")
+            .when(F.col("text").rlike(r"^[\p{L} ]+[.,]?$"), "plain"))
+    judged = quality.judge(lines.select(kind.alias("doc_id"), "text").where("doc_id is not null"), keep=["doc_id"])
+    share = {r["doc_id"]: (r["n"], r["bad"]) for r in judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("lost_chars") > 0).alias("bad")).collect()}
+    n, bad = share["licence"]
+    assert n >= 328 and bad == n
+    n, bad = share["plain"]
+    assert n > 3000 and bad < n * 0.001
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{16,}") == {frozenset()}
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
