@@ -7,9 +7,13 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# every named character reference of HTML 5, from the standard library
-_NAMED = {k: v for k, v in html5.items()}
-_REFERENCE = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+# every named character reference of HTML 5, from the standard library, by first letter
+_NAMED: dict[str, dict[str, str]] = {}
+for _name, _value in html5.items():
+    _NAMED.setdefault(_name[0], {})[_name] = _value
+# those that need no semicolon, the longest first
+_OPEN = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"</?[A-Za-z][^<>]*>|<[!?][^<>]*>"
 
@@ -18,21 +22,52 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _windows(code: int) -> str:
+    """What numbers 128 to 159 stand for: Windows-1252 where it has a character."""
+    return bytes([code]).decode("cp1252", "ignore") or chr(code)
+
+
+def _names(names: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of a reference by number, with any number of digits: none for
+    what is no character, U+FFFD for what no text may hold."""
+    hexed = F.regexp_extract(ref, r"^&#[xX]0*([0-9a-fA-F]*)", 1)
+    digits = F.regexp_extract(ref, r"^&#0*([0-9]*)", 1)
+    beyond = F.lit(0x110000).cast("long")
+    point = F.when(ref.rlike("^&#[xX]"), F.when(F.length(hexed) > 6, beyond).otherwise(F.conv(F.concat(F.lit("0"), hexed), 16, 10).cast("long"))) \
+        .otherwise(F.when(F.length(digits) > 7, beyond).otherwise(F.concat(F.lit("0"), digits).cast("long")))
+    none = (point.between(1, 8) | (point == 0x0B) | point.between(0x0E, 0x1F) | (point == 0x7F)
+            | point.between(0xFDD0, 0xFDEF) | (point.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    return (F.when((point == 0) | point.between(0xD800, 0xDFFF) | (point >= 0x110000), F.lit("\ufffd"))
+            .when(point.between(0x80, 0x9F), F.try_element_at(F.array(*[F.lit(_windows(c)) for c in range(0x80, 0xA0)]), (point - 0x7F).cast("int")))
+            .when(none, F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")))
+
+
+def _named(ref: Column) -> Column:
+    """The characters of a reference by name: the whole name, or the longest one
+    that needs no semicolon with what follows it, or the text as it stands."""
+    name = F.substring(ref, 2, 40)
+    first, whole = F.substring(ref, 2, 1), F.lit(None).cast("string")
+    for letter, names in sorted(_NAMED.items()):
+        whole = F.when(first == letter, F.try_element_at(_names(names), name)).otherwise(whole)
+    start = F.regexp_extract(name, f"^({_OPEN})", 1)
+    part = F.try_element_at(_names({n: html5[n] for n in _OPEN.split("|")}), start)
+    return F.coalesce(whole, F.concat(part, F.substr(name, F.length(start) + 1)), ref)
+
+
 def _decode(ref: Column) -> Column:
-    """One reference with its ``&``: the character, or the text as it stands."""
-    names = F.map_from_arrays(F.array(*map(F.lit, _NAMED)), F.array(*map(F.lit, _NAMED.values())))
-    hexed = F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]+)", 1)
-    point = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(ref, r"^&#([0-9]+)", 1)).try_cast("long")
-    valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    return F.when(valid, char).otherwise(F.coalesce(F.try_element_at(names, F.substring(ref, 2, 40)), ref))
+    """One reference with its ``&``."""
+    return F.when(ref.startswith("&#"), _numbered(ref)).otherwise(_named(ref))
 
 
 def unescape_entities(col) -> Column:
-    """HTML character references decoded, named (with or, where HTML allows it,
-    without a semicolon) and numeric, in one pass over the text: parts and
-    references are taken apart, decoded and laid together again.  A text
-    without ``&`` is left alone."""
+    """HTML character references decoded as ``html.unescape`` does, in one pass
+    over the text: parts and references are taken apart, decoded and laid together
+    again.  A text without ``&`` is left alone."""
     c = _c(col)
     refs = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
     parts = F.split(c, _REFERENCE, -1)

@@ -128,12 +128,21 @@ def file_questions_q(spark, sf):
     return d.select("doc_id", q.alias("question_id"), path_safe(q).alias("question_key"))
 
 
+# References in titles and abstracts, and what they are to read as.
+REFERENCES = [
+    ("5&#150;10", "5–10"), ("it&#146;s", "it’s"), ("&#128;", "€"), ("&#0;", "\ufffd"), ("&notit;", "¬it;"), ("&ampx", "&x"), ("AT&ampT", "AT&T"),
+    ("&copy2020", "©2020"), ("&#00000150;z", "–z"), ("&#129;", "\x81"), ("&#55296;", "\ufffd"), ("&#1114112;", "\ufffd"), ("&#99999999999;", "\ufffd"),
+    ("a&#8;b", "ab"), ("&#xFDD0;", ""), ("&CounterClockwiseContourIntegral;", "∳"), ("&nGt;", "≫⃒"), ("&Amp;", "&Amp;"), ("a&b", "a&b"), ("&;", "&;"),
+    ("&#;", "&#;"), ("x &lt; 5", "x < 5"), ("&lt;b&gt;bold&lt;/b&gt;", "<b>bold</b>"), ("&amp;lt;", "&lt;"), ("&#X3b1", "α"), ("&#x1F600;", "😀"),
+    ("&eacutes", "és"), ("caf&eacute;", "café"), ("&&amp;", "&&"), ("&nosuch;", "&nosuch;"), ("&hearts;", "♥"), ("10&micro;g", "10µg"),
+]
+
+
 def clean_html_q(spark, sf):
-    """Title clean-up (NRM-7) over strings whose clean form is known."""
-    d = driver.table(spark, sf, "documents")
-    n, w = F.col("doc_id").cast("string"), F.col("source")
-    dirty = F.concat(F.lit("  p &lt; 0."), n, F.lit(" in 40 arms, n &gt; "), n, F.lit(" &lt;i&gt;"), w, F.lit("&lt;/i&gt;<br/>a < b &amp; c &#62; d<!-- x > "),
-                     n, F.lit(" --> caf&eacute; &#x3B1;\n&nosuch; <a href='q'>end</a>"))
+    """Clean-up (NRM-7) of whole texts whose commas have become references and tags."""
+    d = driver.table(spark, sf, "documents").select("doc_id", "text")
+    ref = F.element_at(F.array(*[F.lit(r) for r, _ in REFERENCES]), (F.col("doc_id") % len(REFERENCES) + 1).cast("int"))
+    dirty = F.replace("text", F.lit(","), F.concat(F.lit(" <i class='a'>"), ref, F.lit(" </i><!-- x > y -->")))
     return d.select("doc_id", clean_html(dirty).alias("clean"))
 
 
@@ -257,8 +266,12 @@ WHERE EXISTS (SELECT 1 FROM truth WHERE review_id = 'src1')""",
     "file_questions": f"""WITH q AS (SELECT doc_id, CAST(doc_id % 5 + 1 AS VARCHAR) || '.' || CAST(doc_id % 13 AS VARCHAR) AS q FROM documents),
 m AS (SELECT doc_id, CASE q {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in QUESTION_ID_REMAP)} ELSE q END AS question_id FROM q)
 SELECT doc_id, question_id, replace(replace(question_id, '.', '_'), '/', '_') AS question_key FROM m""",
-    "clean_html": """SELECT doc_id, 'p < 0.' || doc_id || ' in 40 arms, n > ' || doc_id || ' ' || source ||
-  ' a < b & c > d café α &nosuch; end' AS clean FROM documents""",
+    "clean_html": "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{read.replace(chr(39), chr(39) * 2)}')" for i, (_, read) in enumerate(REFERENCES))
+    + f""") v(i, read)),
+t AS (SELECT doc_id, replace(text, ',', ' <i class=''a''>' || read || ' </i><!-- x > y -->') AS x FROM documents JOIN r ON i = doc_id % {len(REFERENCES)}),
+c AS (SELECT doc_id, regexp_replace(x, '<!--.*?-->', ' ', 'gs') AS x FROM t)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '</?[A-Za-z][^<>]*>|<[!?][^<>]*>', ' ', 'g'), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), '^ | $', '', 'g') AS clean
+FROM c""",
     "register_strategies": f"""WITH {SQL_ARTICLES}, {SQL_TRUTH},
 s AS (SELECT DISTINCT database FROM articles), r AS (SELECT DISTINCT review_id FROM truth),
 f AS (SELECT database, review_id, shot AS vector_search FROM s, r, (SELECT unnest([{', '.join(f"'{x}'" for x in SHOTS)}]) AS shot)),

@@ -103,3 +103,19 @@ def test_p_text(spark):
 
     assert one(spark, p_text(F.col("x").cast("double")), "0.01") == "<0.01"
     assert one(spark, p_text(F.col("x").cast("double")), "0.014") == "0.014000"
+
+
+def test_references_equal_the_standard_library(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    from siftwork.functions.text import unescape_entities
+
+    r = random.Random(1)
+    cases = ["5&#150;10 mg", "&notit;", "AT&ampT", "&copy2020", "&#00000150;z", "&#0;", "&#x0D;", "&#55296;", "&#1114112;", "&#99999999999999;", "&#8;", "&#xFDD0;",
+             "&Amp;", "&", "&;", "&#;", "&#x;", "&amp;lt;", "&#65534;", "&&amp;", "&é;", "&" + "a" * 40 + ";", "", None]
+    cases += [r.choice(["", "x"]) + "&" + r.choice(list(html5)) + r.choice(["", ";", "a", "2", " "]) for _ in range(500)]
+    cases += ["&#" + r.choice(["", "x", "X"]) + "".join(r.choice("0123456789abcF") for _ in range(r.randrange(1, 8))) + r.choice(["", ";", "z"]) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, x string").select("x", unescape_entities("x").alias("y")).collect()
+    assert [(x["x"], x["y"]) for x in rows if x["y"] != (None if x["x"] is None else html.unescape(x["x"]))] == []
