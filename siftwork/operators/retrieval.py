@@ -96,6 +96,16 @@ def hash_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return each.groupBy(key).agg(F.array(*sums).alias("counts"))
 
 
+def hash_embed(df: DataFrame, key: str, text_col: str, out_col: str = "embedding") -> DataFrame:
+    """(key, embedding): the default encoder in JVM expressions, ``hash_counts`` scaled
+    to length one; a text without words, or null, has the zero vector.  Rows of one
+    key are one text."""
+    counts = hash_counts(df, key, text_col)
+    norm = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
+    return counts.withColumn("_norm", norm).select(
+        key, F.transform("counts", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0)).alias(out_col))
+
+
 # ---------------------------------------------------------- query vectors --
 
 def topic_vectors(vectors: DataFrame, by: str = "review_id", vec_col: str = "embedding",

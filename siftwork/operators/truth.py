@@ -12,6 +12,7 @@ from ..functions.text import clean_html
 from ..schemas import (GOLD_SAMPLE_SEED, GOLD_SAMPLE_SIZE, MIN_INCLUDED_FOR_EVAL,
                        REVIEW_TYPE_BY_SR_UPDATE, REVIEW_TYPE_FOR_NULL)
 from .ordinal import top_k
+from .registry import whole_row
 
 # fixed values: reviews left out of the evaluation set
 EXCLUDED_EVAL_REVIEWS = ("5.7.5", "5.7.1")
@@ -117,7 +118,7 @@ def build_ground_truth(articles: DataFrame, reviews: DataFrame, sources: dict[st
             else F.col("title")
         a = F.coalesce(F.col("abstract"), F.col("abstract_2ndsearch")) \
             if "abstract_2ndsearch" in s.columns else F.col("abstract")
-        s = first_per_group(s, [key], [F.col(key).asc()]).select(
+        s = first_per_group(s, [key], [whole_row(s).asc()]).select(
             key, t.alias(f"_t_{db}"), a.alias(f"_a_{db}"),
             clean_id("api_id_retrieved").alias(f"retrieved_{'oa' if db == 'openalex' else db}_id"))
         gt = gt.join(s, key, "left")
@@ -141,11 +142,11 @@ def topic_lookup(ids: DataFrame, topics: DataFrame, retry: DataFrame | None = No
     """Attach a topic to every id: first lookup, then the retry lookup for the
     ids the first missed (coalesce, a retry never erases a hit).  Returns
     (ids with topic, ids still unmatched)."""
-    first = first_per_group(topics, [id_col], [F.col(topic_col).asc()]) \
+    first = first_per_group(topics, [id_col], [F.col(topic_col).asc_nulls_last()]) \
         .select(id_col, F.col(topic_col).alias("_t1"))
     out = ids.join(first, id_col, "left")
     if retry is not None:
-        second = first_per_group(retry, [id_col], [F.col(topic_col).asc()]) \
+        second = first_per_group(retry, [id_col], [F.col(topic_col).asc_nulls_last()]) \
             .select(id_col, F.col(topic_col).alias("_t2"))
         out = out.join(second, id_col, "left").withColumn(topic_col, F.coalesce("_t1", "_t2")) \
             .drop("_t1", "_t2")
@@ -161,7 +162,7 @@ def merge_sources(base: DataFrame, sources: Sequence[tuple[str, DataFrame]], key
     one row per key first, so the left joins never fan out."""
     out = base
     for name, src in sources:
-        one = first_per_group(src, [key], [F.col(key).asc()])
+        one = first_per_group(src, [key], [whole_row(src).asc()])
         out = out.join(one.select(key, *[F.col(c).alias(f"_{name}_{c}") for c in cols]), key, "left")
     for c in cols:
         out = out.withColumn(c, F.coalesce(*[F.col(f"_{n}_{c}") for n, _ in sources]))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import audit_plans, eval_plans, extra_plans, hybrid_plans, norm_plans, quality_plans, report_plans, scale_plans, vector_plans
+from . import (audit_plans, eval_plans, extra_plans, hybrid_plans, norm_plans, quality_plans, report_plans,
+               scale_plans, vector_plans, workflow_plans)
 
 _MODULES = [vector_plans, hybrid_plans, eval_plans, norm_plans, report_plans, quality_plans,
-            extra_plans, audit_plans, scale_plans]
+            extra_plans, audit_plans, scale_plans, workflow_plans]
 
 
 def queries() -> dict:

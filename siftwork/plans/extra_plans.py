@@ -8,11 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id, fix_question_id, year_strict
-from ..functions.text import embedding_text
 from ..operators.registry import assign_ids, fan_out, load_results, with_overall_row
 from ..operators.report import (combined_table, fill_nnr, label_workflow, median_iqr, null_report,
                                 order_key, percent_columns, prefer_cutoff, zero_fill)
-from ..operators.retrieval import embed
 from ..operators.stats import log_ratio_contrast, paired, wilcoxon
 from ..operators.truth import eligible_reviews
 from ..schemas import DATABASE_ORDER, DATABASES, SEARCH_TYPES, SHOTS
@@ -132,15 +130,6 @@ def distinct_counts_q(spark, sf):
                                      F.countDistinct("review_id").alias("n_reviews"))
 
 
-def embed_documents_q(spark, sf):
-    """Encoder plug-in over whole documents (no SQL twin: rows-only check)."""
-    d = driver.table(spark, sf, "documents").select(
-        "doc_id", embedding_text(F.col("source"), F.col("text"), sep=". ").alias("t"))
-    e = embed(d, "t")
-    return e.select("doc_id", F.size("embedding").alias("dim"),
-                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
-
-
 QUERIES = {
     "question_remap": question_remap_q,
     "year_strict": year_strict_q,
@@ -152,7 +141,6 @@ QUERIES = {
     "combined_table": combined_table_q,
     "null_report": null_report_q,
     "distinct_counts": distinct_counts_q,
-    "embed_documents": embed_documents_q,
 }
 
 # ------------------------------------------------------------- oracle SQL --
