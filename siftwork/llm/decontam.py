@@ -6,12 +6,15 @@ of ``window`` item words (an item with fewer: all of them) becomes a pattern of
 whole words.  A text is scanned once; the space before a word numbers the word,
 and the word's place in the original text gives the offsets.
 
-The patterns travel to the workers in blocks of at most ``block_bytes``; more
-patterns mean more passes over the texts, so nothing sent grows without bound.
+The patterns travel to the workers in blocks of at most ``block_bytes``, one at a
+time: more patterns mean more passes over the texts, each stored before the next
+block is built, so neither the driver nor a task holds more than one block.
 
 Null and empty texts have no words and no hits.  Repeated rows are judged each
 on its own.  An empty benchmark hits nothing.  An item without an id marks
-words but is in no list.  Columns of the input that are asked for pass through.
+words but is in no list.  A very long text is scanned in its row, in one go.
+Columns of the input that are asked for pass through; a clashing name gets an
+underscore.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -166,13 +169,17 @@ def scan(docs: DataFrame, bench: DataFrame, keep: list[str] | None = None, text:
                     [batch.column(c) for c in keep] + [pa.array(col, arrow[hits])], names=[*keep, name])
         return run
 
-    blocks = [_Sent(spark, b) for b in _blocks(bench, bench_text, item, window, block_bytes)] or [None]
     none = F.struct(F.array().cast(runs).alias("runs"), F.array().cast("array<string>").alias("items"))
     sent = docs.select(*[docs[c] for c in keep], docs[text].alias(at), none.alias(so_far))
     field = T.StructField(at, T.StringType())
-    for b in blocks[:-1]:
-        sent = sent.mapInArrow(one_pass(b), T.StructType([*kept, field, T.StructField(so_far, partial)]))
-    return sent.mapInArrow(last_pass(blocks[-1]), T.StructType([*kept, T.StructField(name, hits)]))
+    block = None
+    for patterns in _blocks(bench, bench_text, item, window, block_bytes):
+        if block is not None:
+            # the pass before is done and stored, and its block gone, before the next one is sent
+            sent = cut(sent.mapInArrow(one_pass(block), T.StructType([*kept, field, T.StructField(so_far, partial)])))
+            block.var.unpersist()
+        block = _Sent(spark, patterns)
+    return sent.mapInArrow(last_pass(block), T.StructType([*kept, T.StructField(name, hits)]))
 
 
 def _arrow_type(t):

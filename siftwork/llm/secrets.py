@@ -12,8 +12,9 @@ Places come from splitting the text at the matches: the parts and the matches
 add up to the offsets, in code points.
 
 Null and empty texts have no secrets.  Repeated rows and rows that share an id
-are judged each on its own text.  Extra columns pass through; a clashing name
-gets an underscore.
+are judged each on its own text.  A very long text is scanned in its row; the
+work grows with its matches and its length.  Extra columns pass through; a
+clashing name gets an underscore.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ RULES = {
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
 }
 BASE = ("assign", "access", "hex")
+RUN = 256                 # matches taken together, see _before
+BLOCK = 4096              # characters of a block of text, see mask
 MOST_STRINGS = 64
 MOST_CLASS = 6
 
@@ -186,14 +189,27 @@ def _places(text: Column, kind: str, order: int, names: tuple[str, str, str]) ->
                       lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("n")))
     both = F.zip_with(both, counted, lambda b, v: F.struct(b["gap"].alias("gap"), b["n"].alias("n"), (F.length(v) >= least).alias("on")))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    before = _before(both, lambda x: x["gap"] + x["n"], lambda a, b: a + b)
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind"))
-        return F.struct((start + x["n"]).alias("at"), F.when(x["on"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(x, at):
+        start = at + x["gap"]
+        return F.when(x["on"], F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind")))
 
-    return steps, F.when(some, F.aggregate(both, state, step, lambda acc: acc["out"])).otherwise(none)
+    return steps, F.when(some, F.array_compact(F.zip_with(both, before, span))).otherwise(none)
+
+
+def _before(array: Column, value, combine) -> Column:
+    """For each element, what ``combine`` makes of 0 and the values of all before
+    it.  Growing an array copies it, so elements are taken in runs of ``RUN``, and
+    each run begins with what the runs before it come to."""
+    def scan(items, first, of):
+        grown = F.aggregate(items, F.array(first), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), of(x)))))
+        return F.slice(grown, 1, F.size(items))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / RUN).cast("int")), lambda k: F.slice(array, k * RUN + 1, F.lit(RUN)))
+    whole = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda acc, x: combine(acc, value(x))))
+    firsts = scan(whole, F.lit(0), lambda x: x)
+    return F.flatten(F.zip_with(runs, firsts, lambda run, first: scan(run, first, value)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -233,27 +249,30 @@ def of_kind(spans: Column, *kinds: str) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
-def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones as one) replaced."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def mask(df: DataFrame, text: str, spans: str, with_: str = "[SECRET]") -> DataFrame:
+    """``df`` with every span of ``text`` replaced, overlapping ones as one.  Parts of
+    the text are taken from blocks of it, as a part of a long string is only found
+    by reading the string up to it."""
+    blocks, ends, cut_at = (fresh(df.columns, c) for c in ("_blocks", "_ends", "_cut"))
+    some = F.size(spans) > 0
+    d = df.withColumn(blocks, firm(F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))))
+    d = d.withColumn(ends, firm(F.when(some, _before(F.col(spans), lambda x: x["end"], F.greatest))))
 
-    def step(acc, s):
-        new = s["start"] >= acc["at"]
-        head = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(new, F.concat(acc["out"], head, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def part(start, end):
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, F.greatest(end - start, F.lit(0)))
 
-    rest = F.aggregate(spans, state, step)
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.concat(rest["out"], F.substring(text, rest["at"] + 1, F.length(text))))
+    pieces = F.zip_with(spans, ends, lambda x, before: F.when(x["start"] >= before, F.concat(part(before, x["start"]), F.lit(with_))).otherwise(""))
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    d = d.withColumn(cut_at, firm(F.when(some, F.concat(F.array_join(pieces, ""), part(last, F.length(text))))))
+    return d.withColumn(text, F.when(some, F.col(cut_at)).otherwise(F.col(text))).drop(blocks, ends, cut_at)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """All rows and columns, secrets masked; ``length`` names a column of text lengths to renew."""
     found = scan(docs, id_col, text)
     spans = found.columns[-1]
-    new = {text: masked(found[text], found[spans])}
+    out = mask(found, text, spans)
     if length in docs.columns:
-        new[length] = F.when(F.size(spans) == 0, found[length]).otherwise(
-            F.length(new[text]).cast(docs.schema[length].dataType))
-    return found.select(*[new.get(c, found[c]).alias(c) for c in docs.columns])
+        out = out.withColumn(length, F.when(F.size(spans) == 0, F.col(length)).otherwise(F.length(text)).cast(docs.schema[length].dataType))
+    return out.select(*docs.columns)
