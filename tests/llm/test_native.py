@@ -331,3 +331,36 @@ def test_many_secrets_in_one_long_text(spark, docs):
             at = max(at, x["end"])
         assert got[i] == "".join([*out, t[at:]])
     assert got[1] == " ".join(["[SECRET]"] * 32_000) and got[2].endswith("[SECRET]")
+
+
+def _kept(page):
+    got = html.lines(page)
+    return [x for x, marked, inside in got if inside and not marked] or [x for x, marked, _ in got if not marked]
+
+
+def test_parts_of_an_article_that_are_no_content():
+    body = "".join(f"<p>Body line {k} of the article.</p>" for k in range(3))
+    want = [f"Body line {k} of the article." for k in range(3)]
+    for part in ('class="comment-list"', 'class="ad-slot"', 'class="cookie-notice"', 'class="share-buttons"', 'id="comment-12"', 'class="x sponsored_box"',
+                 'class="related-articles"', 'class="newsletter-signup-form"', 'class="comments"'):
+        assert _kept(f"<body><article>{body}<div {part}>Junk <b>here</b><p>and here</p></div></article></body>") == want
+    for part in ('class="article-header"', 'class="has-sidebar"', 'id="related-work"', 'class="search-results"', 'class="header"', 'class="commentary"',
+                 'class="ad-hoc"', 'class="no-ads"', 'class="social-history"'):
+        assert _kept(f"<body><article><div {part}><h1>Kept</h1></div>{body}</article></body>") == ["Kept", *want]
+        assert _kept(f"<body><div {part}><article>{body}</article></div></body>") == want
+
+
+def test_articles_in_holders_and_marked_parts_of_lines():
+    want = ["One.", "Two."]
+    article = "<article><p>One.</p><p>Two.</p><div class='share'>Share</div></article>"
+    for a, b in (('<form id="aspnetForm"><nav>Menu</nav>', "</form>"), ('<div class="widget">', "</div>"), ("<aside><div>", "</div></aside>"),
+                 ('<form><div class="modal">', "</div></form>")):
+        assert _kept(f"<body>{a}{article}<p>Around</p>{b}<p>After</p></body>") == want
+    # a teaser beside a real article, and a holder in an article, stay out
+    assert _kept(f"<body>{article}<aside><article><p>Teaser</p></article></aside></body>") == want
+    assert _kept("<body><article><p>One.</p><aside><article><p>Inner</p></article></aside><p>Two.</p></article></body>") == want
+    assert _kept('<article><p>x <span class="ad">AD <span>inner</span> more</span> y</p><p>z</p></article>') == ["x y", "z"]
+    assert _kept('<article><p>x <span class="ad">AD</p><p>z</p></article>') == ["x", "z"]
+    assert _kept('<article><p>x <span class="ad">AD <b>more') == ["x"]
+    assert _kept('<article><p>x</p><span class="ad"><p>AD</p><p>AD</p></span><p>z</p></article>') == ["x", "z"]
+    assert _kept('<article><p>a <span>plain</span> b</p></article>') == ["a plain b"]
