@@ -64,7 +64,7 @@ _BAD = rf"""(NOT regexp_matches(x, '[\p{{L}}\p{{N}}]')
   OR length({_BARE}) - length(translate({_BARE}, {_q(_MARKS)}, '')) > length({_BARE}) * {quality.SYMBOL_SHARE}
   OR (len({_LINE_WORDS}) >= 4 AND len(list_filter({_LINE_WORDS}, lambda y: regexp_matches(y, '[!?.,*#%$&]{{2,}}$'))) * 2 > len({_LINE_WORDS}))
   OR (len({_LINE_WORDS}) >= 4 AND len(list_filter({_LINE_WORDS}, lambda y: regexp_matches(y, '^[|»›·•>/-]+$'))) * 4 > len({_LINE_WORDS}))
-  OR regexp_matches(lower(x), {_q(quality.PHRASES)}))"""
+  OR contains(x, '{quality.SIGN}') OR regexp_matches(lower(x), {_q(quality.PHRASES)}))"""
 
 _OP8 = rf"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t, {_words("coalesce(text, '')", _GAP)} AS w FROM documents),

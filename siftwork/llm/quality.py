@@ -57,7 +57,7 @@ MENU_WORDS = (
 )
 PHRASE_PATTERNS = (
     # English
-    "all rights reserved", r"copyright \(c\)", "©", "this work is licensed", "licen[cs]ed under (the|a|an|cc|creative|mit|apache|gnu|gpl|bsd) ",
+    "all rights reserved", r"copyright \(c\)", "this work is licensed", "licen[cs]ed under (the|a|an|cc|creative|mit|apache|gnu|gpl|bsd) ",
     "(released|published|distributed) under (the |a |an )?[a-z0-9 .-]*licen[cs]e", "permission is hereby granted", "terms of (use|service)",
     "privacy policy", "cookie policy", "uses cookies", "accept (all )?cookies", "powered by", "subscribe to our", "sign up for",
     "follow us on", "enable javascript", "lorem ipsum", "click here", "read more",
@@ -76,7 +76,9 @@ GAP = rf"[{SPACE_CLASS}|>»›·•/:,-]+"
 _MENU_ITEMS = "|".join(w.replace(" ", "  ") for w in sorted(MENU_WORDS, key=lambda w: (-len(w), w)))
 MENU_START = rf"^({GAP})?({'|'.join(w.replace(' ', GAP) for w in MENU_WORDS)})({GAP}|$)"
 MENU_ITEM = f" ({_MENU_ITEMS}) "
-PHRASES = "|".join(PHRASE_PATTERNS)
+# a phrase begins where no letter stands before it, so most places are passed at once
+PHRASES = rf"(^|[^\p{{L}}])({'|'.join(PHRASE_PATTERNS)})"
+SIGN = "©"
 
 
 def _words(col: Column) -> Column:
@@ -100,11 +102,15 @@ def _menu(line: Column) -> Column:
     return low.rlike(MENU_START) & (F.trim(F.regexp_replace(spaced, MENU_ITEM, "")) == "")
 
 
+def _phrase(text: Column) -> Column:
+    return text.contains(SIGN) | F.lower(text).rlike(PHRASES)
+
+
 def _bad_line(marks: Column, phrases: Column, line: Column) -> Column:
     """Whether a line fails; what no line of its text can hold isn't looked for
     (``marks``: the text has any mark, ``phrases``: any phrase)."""
     return (~line.rlike(r"[\p{L}\p{N}]") | _menu(line) | (marks & _marked(line))
-            | (phrases & F.lower(line).rlike(PHRASES)))
+            | (phrases & _phrase(line)))
 
 
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
@@ -121,7 +127,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     grams = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
                         lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     d = d.withColumn(sorted_, firm(grams))
-    d = d.withColumn(marks, F.col(t).rlike(ANY_MARK)).withColumn(phrases, firm(F.lower(t).rlike(PHRASES)))
+    d = d.withColumn(marks, F.col(t).rlike(ANY_MARK)).withColumn(phrases, firm(_phrase(F.col(t))))
     no_longs = F.array().cast("array<int>")
     repeated = F.size(F.array_distinct(sorted_)) < F.size(sorted_)
     d = d.withColumn(sorted_, firm(F.when(repeated, F.sort_array(F.transform(sorted_, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
