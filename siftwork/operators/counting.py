@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored_once
+from ..session import stored_once, written_once
 from .retrieval import BLOCK_BYTES, CELLS_PER_FRAME, QueryMatrix, _unit_rows
 from .scan import Placed
 
@@ -52,6 +52,9 @@ def count_ranks(matrix: QueryMatrix, space: DataFrame, wanted: DataFrame, vec_co
             per_space[sp] = (unit, [queries[i] for i in keep], set(own[id_col]))
         sent = spark.sparkContext.broadcast(per_space)
         got = docs.mapInPandas(_counter(sent, space_col, id_col, vec_col, matrix.dim, decimals), schema)
+        if blocks > 1:                      # one block at a time is held
+            got = written_once(got)
+            sent.unpersist()
         counts = got if counts is None else counts.unionByName(got)
     # a count at a mark holds for all marks of its block at or below it: blocks are told apart by their marks
     block = F.pmod(F.xxhash64("_q", id_col), F.lit(blocks)).alias("_block")

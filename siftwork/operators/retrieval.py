@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RRF_K
-from ..session import stored_once
+from ..session import stored_once, written_once
 from .ordinal import ordinal, top_k
 
 # declared length of a vector, and bytes of query vectors sent in one block
@@ -282,6 +282,9 @@ class QueryMatrix:
             groups = {g: np.asarray(v) for g, v in meta.groupby(space_col).indices.items()} if len(meta) else {}
             sent = spark.sparkContext.broadcast((meta["_s"].to_numpy(np.int64), meta["_q"].to_numpy(np.int64), mat, groups))
             part = docs_in.mapInPandas(self._scorer(sent, doc_cols, vec_col, schema.names, top, id_col, decimals), schema)
+            if self.blocks > 1:             # one block at a time is held, by the driver and by tasks
+                part = written_once(part)
+                sent.unpersist()
             out = part if out is None else out.unionByName(part)
         return out
 
