@@ -62,9 +62,9 @@ def _strategies(spark, sf):
 
 
 def load_results_q(spark, sf):
-    a = driver.articles(spark, sf).select("database", "review_id", "original_id", "article_id")
+    a = driver.articles(spark, sf).select("database", "review_id", "original_id", "article_id", "publication_year")
     strategies = _strategies(spark, sf)
-    earlier = load_results(a.where(F.col("article_id") < 100), strategies, None, ["database", "review_id"],
+    earlier = load_results(a.where(F.col("publication_year") < 2000), strategies, None, ["database", "review_id"],
                            order=["original_id", "article_id"])
     new = load_results(a, strategies, earlier, ["database", "review_id"], order=["original_id", "article_id"])
     return new.select("search_strategy_id", "article_id", "original_id", "search_result_article_id")
@@ -169,9 +169,9 @@ FROM articles""",
     "load_results": f"""WITH {SQL_ARTICLES},
 st AS (SELECT database, review_id, row_number() OVER (ORDER BY database, review_id) AS search_strategy_id
        FROM (SELECT DISTINCT database, review_id FROM articles)),
-r AS (SELECT s.search_strategy_id, a.article_id, a.original_id FROM articles a JOIN st s USING (database, review_id)),
+r AS (SELECT s.search_strategy_id, a.article_id, a.original_id, a.publication_year FROM articles a JOIN st s USING (database, review_id)),
 earlier AS (SELECT *, row_number() OVER (ORDER BY search_strategy_id, original_id, article_id) AS search_result_article_id
-            FROM r WHERE article_id < 100),
+            FROM r WHERE publication_year < 2000),
 new AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM earlier e WHERE e.search_strategy_id = r.search_strategy_id
                                           AND e.original_id = r.original_id))
 SELECT search_strategy_id, article_id, original_id,

@@ -17,7 +17,7 @@ from ..operators.truth import first_per_group, merge_sources, recode_review_type
 from ..operators.windows import assign_window, check_windows, date_windows
 from ..schemas import SHOTS
 from . import driver
-from .common import SQL_ARTICLES, SQL_TRUTH, round_doubles, sql_clean_id
+from .common import SQL_ARTICLES, SQL_TRUTH, outcome, round_doubles, sql_clean_id, sql_outcome
 
 # ------------------------------------------------------------ Spark side --
 
@@ -190,7 +190,8 @@ def date_windows_q(spark, sf):
 
 
 def dq_windows_q(spark, sf):
-    return check_windows(date_windows(_order_bounds(spark, sf), years=1))
+    w = date_windows(_order_bounds(spark, sf), years=1)
+    return outcome(check_windows(w), w)
 
 
 def window_assign_q(spark, sf):
@@ -340,10 +341,10 @@ FROM s, r, v""",
 SELECT article_id, (SELECT coalesce(max(doc_id), 0) FROM labels)
   + row_number() OVER (ORDER BY database, original_id, article_id) AS new_id FROM articles""",
     "date_windows": "WITH " + _sql_windows(2)[1:] + "\nSELECT window_id, window_start, window_end FROM w",
-    "dq_windows": "WITH " + _sql_windows(1)[1:] + """,
+    "dq_windows": sql_outcome("WITH " + _sql_windows(1)[1:] + """,
 n AS (SELECT *, lead(window_start) OVER (ORDER BY window_start) AS next_start FROM w)
 SELECT window_id, window_start, window_end, next_start FROM n
-WHERE next_start IS NOT NULL AND datediff('day', window_end, next_start) <> 1""",
+WHERE next_start IS NOT NULL AND datediff('day', window_end, next_start) <> 1""", "WITH " + _sql_windows(1)[1:] + " SELECT * FROM w"),
     "window_assign": """WITH st AS (
   SELECT CAST(g.t AS DATE) AS window_start, CAST(row_number() OVER (ORDER BY g.t) - 1 AS INTEGER) AS window_id
   FROM generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2022-12-31', INTERVAL 2 YEAR) g(t)),

@@ -9,7 +9,7 @@ from ..operators.quality import (check_conservation, check_expected_counts, chec
                                  check_metric_bounds, check_subset, check_unique, duplicate_rows,
                                  embedding_coverage, last_non_null)
 from . import driver
-from .common import DATABASES4, SQL_ARTICLES, SQL_TRUTH, SQL_VECTORS, sql_clean_id
+from .common import DATABASES4, SQL_ARTICLES, SQL_TRUTH, SQL_VECTORS, outcome, sql_clean_id, sql_outcome
 from .eval_plans import _SQL_TOPIC_COUNTS, broad_results, long_truth, topic_metrics_df
 
 
@@ -26,14 +26,14 @@ def dq_duplicates_q(spark, sf):
 
 
 def dq_foreign_key_q(spark, sf):
-    return check_foreign_key(driver.table(spark, sf, "labels"), driver.table(spark, sf, "documents"),
-                             ["doc_id"])
+    labels = driver.table(spark, sf, "labels")
+    return outcome(check_foreign_key(labels, driver.table(spark, sf, "documents"), ["doc_id"]), labels)
 
 
 def dq_subset_q(spark, sf):
-    return check_subset(driver.truth(spark, sf).select("review_id"),
-                        driver.articles(spark, sf).where(F.col("database") == "embase").select("review_id"),
-                        ["review_id"])
+    reviews = driver.truth(spark, sf).select("review_id")
+    return outcome(check_subset(reviews, driver.articles(spark, sf).where(F.col("database") == "embase").select("review_id"),
+                                ["review_id"]), reviews.distinct())
 
 
 def dq_expected_counts_q(spark, sf):
@@ -53,13 +53,12 @@ def dq_conservation_q(spark, sf):
     m = topic_metrics_df(spark, sf)
     t = long_truth(spark, sf).groupBy("database", "review_id", "truth_kind") \
         .agg(F.count(F.lit(1)).alias("n_truth"))
-    return check_conservation(m, t, ["database", "review_id", "truth_kind"]) \
-        .select("database", "review_id", "truth_kind", "n_retrieved", "n_missed", "n_truth")
+    return outcome(check_conservation(m, t, ["database", "review_id", "truth_kind"]), t)
 
 
 def dq_metrics_q(spark, sf):
-    return check_metric_bounds(topic_metrics_df(spark, sf)) \
-        .select("database", "review_id", "truth_kind", "recall", "precision")
+    m = topic_metrics_df(spark, sf)
+    return outcome(check_metric_bounds(m), m)
 
 
 def embedding_coverage_q(spark, sf):
@@ -126,3 +125,12 @@ j AS (SELECT coalesce(c.database, e.database) AS database, coalesce(c.n_rows, 0)
 SELECT database, n_rows, n_vectors, expected,
        (n_rows < coalesce(expected, 0)) OR (n_vectors < n_rows) AS needs_rebuild FROM j""",
 }
+
+# those that find nothing in these tables also say how much they have looked at
+for _name, _checked in {
+    "dq_foreign_key": "SELECT * FROM labels",
+    "dq_subset": f"WITH {SQL_TRUTH} SELECT DISTINCT review_id FROM truth",
+    "dq_conservation": _SQL_TOPIC_COUNTS + " SELECT DISTINCT database, review_id, truth_kind FROM truth_long",
+    "dq_metrics": _SQL_TOPIC_COUNTS + " SELECT * FROM per",
+}.items():
+    ORACLES[_name] = sql_outcome(ORACLES[_name], _checked)
