@@ -261,11 +261,13 @@ def near_duplicates(docs: DataFrame, keep: list[str], id_col: str = "doc_id", te
 def survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each component, whole: that with the smallest id (then the
     smallest hash of the text); rows that are equal in both count once."""
-    h, flag = fresh(docs.columns, "_hash"), fresh(docs.columns, "_first")
-    marked = docs.withColumn(h, F.xxhash64(text))
+    h, flag, number, none = (fresh(docs.columns, c) for c in ("_hash", "_first", "_number", "_none"))
+    # keys without nulls: the join's exchange of the texts then serves the last step, too
+    marked = docs.withColumn(h, F.xxhash64(text)).withColumn(none, F.isnull(id_col)) \
+        .withColumn(number, F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     narrow = marked.select(F.col(id_col).alias("id"), F.col(h).alias("hash"), F.col(text).alias("text"))
     found = near_duplicates(narrow, ["id", "hash"], "id", "text", **how)
     best = found.groupBy("component").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "hash")).alias(flag))
-    best = best.select(F.col(flag)["id"].alias("_best_id"), F.col(flag)["hash"].alias("_best_hash")).distinct()
-    on = marked[id_col].eqNullSafe(best["_best_id"]) & (marked[h] == best["_best_hash"])
-    return marked.join(best, on, "left_semi").dropDuplicates([id_col, h]).select(*docs.columns)
+    best = best.select(F.col(flag)["none"].alias(none), F.coalesce(F.col(flag)["id"].cast("long"), F.lit(0)).alias(number), F.col(flag)["hash"].alias(h)).distinct()
+    keys = [number, none, h]
+    return marked.join(best, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
