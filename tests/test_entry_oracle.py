@@ -45,21 +45,14 @@ def test_entry_runs(spark):
     assert "recall" in df.columns and "nnr_cutoff" in df.columns
 
 
-# plans with no SQL twin (the encoder is Python inside Arrow batches)
-NO_ORACLE = {"embed_documents"}
-
-
 def test_every_query_has_an_oracle():
-    assert set(catalog.queries()) - NO_ORACLE == set(catalog.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
     assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
-    if name in NO_ORACLE:
-        assert df.count() > 0
-        return
     got = [tuple(r) for r in df.collect()]
     cur = con.execute(entry.oracle_sql()[name])
     ocols = [d[0] for d in cur.description]
