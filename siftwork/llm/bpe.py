@@ -18,8 +18,9 @@ arc.  Each prefix has one accepted reading, so no position is entered twice.
 Decoding emits the labels of the arcs.
 
 Null text is empty; an empty text has no tokens and decodes to the empty
-string; repeated rows are encoded each on its own; other columns pass through
-under their names (a clash gets an underscore).
+string; repeated rows are encoded each on its own; a very long text is encoded
+word by word in its row; other columns pass through under their names (a clash
+gets an underscore).  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ a row's slot is its place in its task plus the rows of the shard before it.
 
 Null text weighs 1 byte and has the checksum of the empty text; rows that are
 equal in text and id are neighbours and keep their own slots; a null id stands
-before all others; an empty table has no rows.  Extra columns pass through; a
+before all others; a very long text weighs what it weighs and is not split; an
+empty table has no rows.  Extra columns pass through; a
 clashing name gets an underscore.
 """
 

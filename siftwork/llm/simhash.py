@@ -15,7 +15,9 @@ jumping over tables, cut by checkpoints.
 
 Null text is empty; a text without words has fingerprint zero and links like
 any other.  Repeated rows and repeated ids stay as they are.  A row without id
-gets the component's smallest id; null if the component has none.
+gets the component's smallest id; null if the component has none.  A very long
+text is hashed in runs of shingles.  Of other columns those asked for pass
+through.  An empty table gives no rows.
 """
 
 from __future__ import annotations

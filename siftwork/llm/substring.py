@@ -16,7 +16,8 @@ and no pairs of documents are made.  Entries travel packed, five bytes each.
 
 Null text has no words.  A row without id removes nothing and loses nothing;
 rows with one id are one document's and do not remove each other.  Texts
-shorter than a window stay whole.  An empty table gives no rows.
+shorter than a window stay whole.  A very long text is windowed in its row.
+Extra columns pass through.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ A null URL, or one without "://", has an empty host and path, no rule and score
 zero, and is allowed if the border is not above zero; without labelled URLs of
 both kinds the border is zero and scores are zero.  Repeated rows are judged
 each on its own; extra columns pass through, a clashing name gets an underscore.
+A very long URL is one string with as many grams.  An empty table gives no rows.
 """
 
 from __future__ import annotations
