@@ -2,10 +2,11 @@
 decontamination, secret scan, BPE encoding.
 
 Each stage reads what the one before it has written.  Documents that the
-quality rules reject go; one document of each near-duplicate group stays;
-contaminated documents go; secrets are masked in the text (``n_chars`` follows);
-the last stage returns the token ids.  Stages keep extra columns, and treat
-null and empty texts and repeated rows as their operators define."""
+quality rules reject go, and the others lose their failing lines; one document of
+each near-duplicate group stays; contaminated documents go; secrets are masked in
+the text (``n_chars`` follows whatever shortens it); the last stage returns the
+token ids.  Stages keep extra columns, and treat null, empty and very long texts,
+ties and repeated rows as their operators define; an empty table gives no rows."""
 
 from __future__ import annotations
 
