@@ -62,10 +62,11 @@ class Placed:
         return self._with(name, F.lit(0), F.sum(v), F.sum("_whole").over(Window.partitionBy(*self._groups())), F.col("_rest"))
 
     def suffix_min(self, value: str | Column, name: str) -> Placed:
-        """Least over this row and all behind it (nulls take no part)."""
+        """Least over this row and all behind it (nulls take no part): a running
+        minimum from the end, since a frame without end is read anew for every row."""
         v = F.col(value) if isinstance(value, str) else value
-        inside = Window.partitionBy("_slice", *self.by).orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
-        behind = Window.partitionBy(*self._groups()).orderBy("_s").rowsBetween(1, Window.unboundedFollowing)
+        inside = Window.partitionBy("_slice", *self.by).orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        behind = Window.partitionBy(*self._groups()).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
         return self._with(name, F.min(v).over(inside), F.min(v), F.min("_whole").over(behind), F.least("_own", "_rest"))
 
     def rows(self) -> DataFrame:

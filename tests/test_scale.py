@@ -231,3 +231,12 @@ def test_ingest_goes_on_after_a_restart_and_keeps_null_keys_once(spark, tmp_dir)
     # the checkpoint's place holds nothing of this application
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert glob.glob(f"{shared_folder(spark)}/ingest-*/offsets")
+
+
+def test_least_from_the_end_is_a_running_one(spark):
+    df = spark.range(200000).select("id", (F.col("id") * 7919 % 200003).alias("v"))
+    least = Placed(df, [], [F.col("id").asc()], parts=1).suffix_min("v", "least")
+    assert "unboundedfollowing" not in least.df._jdf.queryExecution().toString().lower()
+    got = {r["id"]: r["least"] for r in least.rows().where("id % 20011 = 0").collect()}
+    v = [i * 7919 % 200003 for i in range(200000)]
+    assert got == {i: min(v[i:]) for i in range(0, 200000, 20011)}
