@@ -240,3 +240,22 @@ def test_least_from_the_end_is_a_running_one(spark):
     got = {r["id"]: r["least"] for r in least.rows().where("id % 20011 = 0").collect()}
     v = [i * 7919 % 200003 for i in range(200000)]
     assert got == {i: min(v[i:]) for i in range(0, 200000, 20011)}
+
+
+def test_orders_meet_windows_by_the_day(spark, tmp_dir, monkeypatch):
+    from siftwork.plans import scale_plans
+
+    orders = [(i, dt.datetime(1996, 1 + i % 3, 5, i % 24)) for i in range(300)] + [(300, None), (None, dt.datetime(1996, 2, 5))]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_dir}/orders.parquet")
+    spark.createDataFrame([(k,) for k in range(40)] + [(7,)], "s_suppkey long").write.parquet(f"{tmp_dir}/supplier.parquet")
+    met = []
+    monkeypatch.setattr(scale_plans, "join_windows", lambda df, *rest: met.append(df.count()) or join_windows(df, *rest))
+    got = sorted(tuple(r) for r in scale_plans.QUERIES["window_join"](spark, tmp_dir).collect())
+    want = []
+    for k in range(40):
+        start = dt.date(1994, 6, 1) + dt.timedelta(k * 37 % 2600)
+        end = start + dt.timedelta(k % 3 if k % 5 == 0 else k * k % 1900)
+        held = [i for i, t in orders if t and start <= t.date() <= end]
+        if held:
+            want.append((k, start, end, len(held) * (1 + (k == 7)), sum(i or 0 for i in held) * (1 + (k == 7))))
+    assert got == want and met == [4]            # three days and the orders without one
