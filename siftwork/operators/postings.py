@@ -1,10 +1,10 @@
 """Many Boolean queries over one table in one scan.
 
 ``keyword.compile_query`` searches every text once for each term of each query.
-Here texts are cut into words once; a word is looked up, whole and by the prefix
-lengths that occur, among the words of all queries, which gives postings
-(row, field, place) of terms only.  A phrase is found where the places of its words,
-less their number in it, agree.  A row's terms then decide all queries.
+Here texts are cut into words once; those that are, or begin with, a word of any
+query are a row's postings (place, word, what stands before it).  A phrase is found
+where the places of its words, less their number in it, agree.  A row's terms then
+decide all queries.  Postings stay in their row, so that nothing is shuffled.
 
 Words are runs of word characters, and what stands between two words is kept: a
 phrase ``poly-cystic ovar*`` asks for a hyphen and for white space, as the
@@ -60,7 +60,6 @@ def _decide(node, has) -> Column:
 def evaluate(docs: DataFrame, key: str, queries: Mapping[str, And | Or | Not | Term | MeshTerm]) -> DataFrame:
     """(query, key) of every row that a query finds; ``key`` tells rows apart
     (null is a key).  Null texts hold no term, so ``Not`` finds their rows."""
-    spark = docs.sparkSession
     terms: dict[tuple, int] = {}                 # (field, steps) -> number
     plain: dict[object, str] = {}                # leaves that are searched where they stand -> column
     for leaf in (x for q in queries.values() for x in _leaves(q)):
@@ -70,19 +69,12 @@ def evaluate(docs: DataFrame, key: str, queries: Mapping[str, And | Or | Not | T
         else:
             for f in leaf.fields:
                 terms.setdefault((f, tuple(steps)), len(terms))
-    asked = [(f, n, i, w, p, gap, len(steps)) for (f, steps), n in terms.items() for i, (w, p, gap) in enumerate(steps)]
     fields = sorted({f for f, _ in terms})
     rows = docs.select(F.col(key).alias("_key"), *[compile_query(x).alias(c) for x, c in plain.items()],
-                       *[F.lower(F.col(f)).alias(f"_f{k}") for k, f in enumerate(fields)])
-    if asked:
-        table = spark.createDataFrame([(fields.index(f), *rest) for f, *rest in asked],
-                                      "_field int, _term int, _i int, _atom string, _prefix boolean, _gap string, _m int")
-        lengths = sorted({len(a[3]) for a in asked if a[4]})
-        found = _phrases(_words(rows, len(fields), lengths), table)
-        held = found.groupBy("_key").agg(F.collect_set("_term").alias("_held"))
-        held = held.withColumnRenamed("_key", "_k")
-        rows = rows.join(held, rows["_key"].eqNullSafe(held["_k"]), "left")
-        rows = rows.withColumn("_held", F.coalesce("_held", F.array().cast("array<int>")))
+                       *[_postings(F.lower(F.col(f)), [step for g, steps in terms for step in steps if g == f]).alias(f"_f{k}")
+                         for k, f in enumerate(fields)])
+    held = [F.when(_stands(F.col(f"_f{fields.index(f)}"), steps), n) for (f, steps), n in terms.items()]
+    rows = rows.select("_key", *plain.values(), (F.array_compact(F.array(*held)) if held else F.array().cast("array<int>")).alias("_held"))
 
     def has(leaf) -> Column:
         if leaf in plain:
@@ -94,26 +86,34 @@ def evaluate(docs: DataFrame, key: str, queries: Mapping[str, And | Or | Not | T
     return rows.select(F.explode(hits).alias("query"), F.col("_key").alias(key))
 
 
-def _words(rows: DataFrame, n_fields: int, lengths: list[int]) -> DataFrame:
-    """(key, field, place, gap, atom, is a prefix): each word, and its prefixes of
-    the lengths that queries ask for."""
-    cut = F.array(*[F.struct(F.lit(k).alias("field"), F.arrays_zip(
-        F.regexp_extract_all(f"_f{k}", F.lit(f"{WORD}+"), F.lit(0)).alias("w"), F.split(f"_f{k}", f"{WORD}+").alias("gap")).alias("words"))
-        for k in range(n_fields)])
-    each = rows.select("_key", F.explode(cut).alias("x")).select("_key", "x.field", F.posexplode("x.words").alias("place", "word"))
-    each = each.where(F.col("word.w").isNotNull()).select(
-        "_key", "field", "place", F.col("word.w").alias("w"),
-        F.when(F.col("word.gap").rlike(r"^[ \t\n\x0B\f\r]+$"), " ").otherwise(F.col("word.gap")).alias("gap"))
-    shapes = [F.struct(F.col("w").alias("atom"), F.lit(False).alias("prefix"))]
-    shapes += [F.struct(F.when(F.length("w") >= n, F.substring("w", 1, n)).alias("atom"), F.lit(True).alias("prefix")) for n in lengths]
-    return each.select("_key", "field", "place", "gap", F.explode(F.array(*shapes)).alias("s")).select("_key", "field", "place", "gap", "s.*")
-
-
-def _phrases(words: DataFrame, asked: DataFrame) -> DataFrame:
-    """(key, term) of terms whose words stand one behind the other."""
-    met = words.join(asked, (F.col("atom") == F.col("_atom")) & (F.col("prefix") == F.col("_prefix")) & (F.col("field") == F.col("_field")))
-    met = met.where(F.col("_gap").isNull() | (F.col("gap") == F.col("_gap")))
-    single = met.where("_m = 1").select("_key", "_term").distinct()
-    longer = met.where("_m > 1").groupBy("_key", "_term", (F.col("place") - F.col("_i")).alias("_start")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("_m").alias("m")).where("n = m").select("_key", "_term").distinct()
-    return single.unionByName(longer)
+def _postings(text: Column, steps: list[tuple]) -> Column:
+    """(place, word, gap) of the words of a text that ``steps`` ask for; white space
+    before a word is one space."""
+    words = F.arrays_zip(F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0)).alias("w"), F.split(text, f"{WORD}+").alias("gap"))
+    placed = F.transform(words, lambda x, i: F.struct(i.alias("place"), x["w"].alias("w"), x["gap"].alias("gap")))
+    whole, begins = (sorted({w for w, prefix, _ in steps if prefix == p}) for p in (False, True))
+
+    def asked(x) -> Column:
+        return reduce(Column.__or__, [x["w"].startswith(w) for w in begins], x["w"].isin(*whole) if whole else F.lit(False))
+
+    one = lambda gap: F.when(gap.rlike(r"^[ \t\n\x0B\f\r]+$"), " ").otherwise(gap)
+    return F.transform(F.filter(placed, asked), lambda x: F.struct(x["place"].alias("place"), x["w"].alias("w"), one(x["gap"]).alias("gap")))
+
+
+def _stands(postings: Column, steps: tuple) -> Column:
+    """Whether the words of a term stand one behind the other; a null text has none."""
+    def meets(step):
+        word, prefix, gap = step
+
+        def of(x) -> Column:
+            same = x["w"].startswith(word) if prefix else x["w"] == word
+            return same if gap is None else same & (x["gap"] == gap)
+        return of
+
+    if len(steps) == 1:
+        return F.exists(postings, meets(steps[0]))
+    def before(i):                               # a second parameter would be the element's number
+        return lambda x: x["place"] - i
+
+    starts = [F.transform(F.filter(postings, meets(step)), before(i)) for i, step in enumerate(steps)]
+    return F.size(reduce(F.array_intersect, starts)) > 0

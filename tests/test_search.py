@@ -64,6 +64,17 @@ def test_many_queries_equal_one_by_one(spark):
     assert evaluate(docs.limit(0), "id", queries).count() == 0
 
 
+def test_many_queries_shuffle_nothing(spark):
+    rows = [(1, "In the", "of the end"), (2, None, "the of"), (2, None, "the of"), (3, "th", None)]
+    docs = spark.createDataFrame(rows, "id int, title string, abstract string")
+    q = {"phrase": read_query('"in the" OR "of the"[ab]'), "prefix": read_query("th*[ab] AND NOT of"), "not": read_query("NOT the")}
+    got = evaluate(docs, "id", q)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("not", 3), ("phrase", 1)]
+    again = spark.createDataFrame(rows[:1] * 2, docs.schema)         # rows that come twice
+    assert sorted(map(tuple, evaluate(again, "id", {"phrase": q["phrase"]}).collect())) == [("phrase", 1)] * 2
+
+
 # ------------------------------------------------------- ranks and top-k --
 
 @pytest.fixture(scope="module")
