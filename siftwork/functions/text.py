@@ -103,7 +103,7 @@ def decode_inverted_index(col) -> Column:
         F.map_entries(_c(col)),
         lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("word"))),
     ))
-    ordered = F.array_sort(pairs)
+    ordered = F.sort_array(pairs)                # array_sort would call a lambda for every comparison
     return F.array_join(F.transform(ordered, lambda t: t["word"]), " ")
 
 
@@ -130,7 +130,7 @@ def with_inverted_index(df: DataFrame, text_col: str, out_col: str = "abstract_i
     for every element.
     """
     words = F.split(F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")), " ")
-    pairs = F.array_sort(F.arrays_zip(words.alias("w"),
+    pairs = F.sort_array(F.arrays_zip(words.alias("w"),
                                       F.sequence(F.lit(0), F.size(words) - 1).alias("p")))
     t = df.withColumn("_pairs", pairs)
     t = t.withColumn("_sw", F.col("_pairs.w")).withColumn("_sp", F.col("_pairs.p")) \

@@ -119,3 +119,17 @@ def test_references_equal_the_standard_library(spark):
     cases += ["&#" + r.choice(["", "x", "X"]) + "".join(r.choice("0123456789abcF") for _ in range(r.randrange(1, 8))) + r.choice(["", ";", "z"]) for _ in range(300)]
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, x string").select("x", unescape_entities("x").alias("y")).collect()
     assert [(x["x"], x["y"]) for x in rows if x["y"] != (None if x["x"] is None else html.unescape(x["x"]))] == []
+
+
+def test_words_and_positions_are_sorted_without_a_lambda(spark):
+    from siftwork.functions import with_inverted_index
+
+    texts = [(1, "b a  b\tc a b"), (2, ""), (3, None), (4, " é Z z é ")]
+    d = with_inverted_index(spark.createDataFrame(texts, "id int, text string"), "text")
+    out = d.select("id", "abstract_inverted_index", decode_inverted_index("abstract_inverted_index").alias("abstract"))
+    assert "array_sort" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert {i: r["abstract"] for i, r in got.items()} == {1: "b a b c a b", 2: "", 3: None, 4: "é Z z é"}
+    assert got[1]["abstract_inverted_index"] == {"a": [1, 4], "b": [0, 2, 5], "c": [3]}
+    gaps = spark.createDataFrame([({"x": [9, 2], "y": [5, 2]},)], "i map<string,array<int>>")
+    assert gaps.select(decode_inverted_index("i")).first()[0] == "x y y x"
