@@ -14,13 +14,17 @@ no differing one if one of the two has no unmarked line of its own (a copy or a
 part); the search then goes on.  Where shared lines hold over half of a page's
 unmarked text, it may be an edited copy: then only those go that a third
 differing page within reach has too, if there is one.  If a page has an article
-or main element with text, its text is those lines; else all lines that are
-neither marked as no content nor shared.
+or main element with text, its text is those lines, less the shared ones that frame
+it: articles share passages and headings, and an advert may quote one, so it is
+compared with what the two nearest differing pages on either side hold outside their
+articles, and lines go that all four have there, before the first or behind the last
+line that they have not all.  An article that would lose all stays whole.  Else the
+text is all lines that are neither marked as no content nor shared.
 
 Pages are numbered within their host by URL path with range exchanges, which
 split a host with a third of all pages; adjacent pages with the same unmarked
 lines count as one.  Blocks of consecutive numbers (with ``REACH`` neighbours on
-either side) are compared task by task, if a page without article is in them.
+either side) are compared task by task.
 Only line hashes and lengths travel for that, not pages.  Alignment is
 bit-parallel.
 
@@ -35,6 +39,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -247,13 +252,17 @@ def shared(a: list[int], b: list[int]) -> list[int]:
 
 
 class _Page:
-    """Line hashes of a page; ``places`` and ``sizes`` are those of its unmarked lines."""
+    """Line hashes of a page; ``own``, ``sizes`` and ``article`` (which of them stand in
+    an article) are those of its unmarked lines."""
 
     def __init__(self, number: int, hashes: list[int], sizes: list[int]):
         self.number, self.hashes = number, hashes
         self.own = [h for h, n in zip(hashes, sizes, strict=True) if n]
-        self.sizes = [n for n in sizes if n]
+        self.sizes = [abs(n) for n in sizes if n]
+        self.article = [k for k, n in enumerate(n for n in sizes if n) if n < 0]
         self.kinds, self.all = frozenset(self.own), frozenset(hashes)
+        # what surely is no article: marked lines, and those around an article
+        self.frame = [h for h, n in zip(hashes, sizes, strict=True) if not n or n > 0 and self.article]
 
     def differs(self, other: _Page) -> bool:
         """Whether both have unmarked lines that the other has not."""
@@ -263,13 +272,23 @@ class _Page:
 def _frame_of(pages: list[_Page], i: int) -> set[int]:
     """Unmarked lines of page ``i`` that it shares with the nearest differing pages."""
     page = pages[i]
-    differing = [k for k in range(len(pages)) if abs(pages[k].number - page.number) <= REACH and page.differs(pages[k])]
+    around = [k for k in range(len(pages)) if abs(pages[k].number - page.number) <= REACH]
+    # the differing ones before it and behind it, the nearest first
+    sides = [(k for k in side if page.differs(pages[k])) for side in ([k for k in around if k < i][::-1], [k for k in around if k > i])]
+    if page.article:
+        near = [k for side in sides for k in itertools.islice(side, 2)]
+        # most articles begin and end with lines of their own
+        if len(near) < 4 or not any(all(page.own[x] in pages[k].frame for k in near) for x in (page.article[0], page.article[-1])):
+            return set()
+        framed = set.intersection(*[set(shared(page.own, pages[k].frame)) for k in near])
+        own = [x for x in page.article if x not in framed]
+        return {x for x in page.article if x < own[0] or x > own[-1]} if own else set()
     gone: set[int] = set()
-    for k in ([k for k in differing if k < i][-1:] + [k for k in differing if k > i][:1]):
+    for k in (k for side in sides for k in itertools.islice(side, 1)):
         other = pages[k]
         found = shared(page.own, other.hashes)
         if sum(page.sizes[x] for x in found) > COPY_SHARE * sum(page.sizes):
-            third = [pages[x].all for x in differing if x != k and other.differs(pages[x])]
+            third = [pages[x].all for x in around if x != k and page.differs(pages[x]) and other.differs(pages[x])]
             found = [x for x in found if not third or any(page.own[x] in t for t in third)]
         gone.update(found)
     return gone
@@ -283,64 +302,62 @@ def _hash(line: str) -> int:
 
 def shared_lines(pages: DataFrame, url: str, page: str, block: int = BLOCK) -> DataFrame:
     """(k1, k2, gone): by hashes of page and URL, the numbers (among its unmarked
-    lines) of the lines that a page without article shares with the nearest
-    differing pages before and after it."""
+    lines) of the lines that a page shares with the nearest differing pages before
+    and after it; of a page with an article, those that frame the article."""
     def narrow(batches):
         for batch in batches:
-            hashes, sizes, content, asks = [], [], [], []
+            hashes, sizes, content = [], [], []
             for p in batch.column("page"):
                 found = lines(p.as_py())
                 hashes.append([_hash(x[0]) for x in found])
-                sizes.append([0 if x[1] else len(x[0]) for x in found])
-                # nothing is asked about the lines of an article: they never go
-                asks.append(not any(x[2] and not x[1] for x in found))
-                own = [h for h, n in zip(hashes[-1], sizes[-1], strict=True) if n]
-                content.append(_hash(" ".join(map(str, own))) if own else None)
+                # none of a marked line, less than none of a line in an article
+                sizes.append([0 if x[1] else -len(x[0]) if x[2] else len(x[0]) for x in found])
+                own = [f"{h}{'a' * (n < 0)}" for h, n in zip(hashes[-1], sizes[-1], strict=True) if n]
+                content.append(_hash(" ".join(own)) if own else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("k1", "k2", "host", "path")] +
-                [pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(content, pa.int64()), pa.array(asks, pa.bool_())],
-                names=["k1", "k2", "host", "path", "hashes", "sizes", "content", "asks"])
+                [pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(content, pa.int64())],
+                names=["k1", "k2", "host", "path", "hashes", "sizes", "content"])
 
     rest = F.when(F.instr("u", "://") > 0, F.expr("substring(u, instr(u, '://') + 3)")).otherwise("")
     rows = pages.select(F.xxhash64(page).alias("k1"), F.xxhash64(url).alias("k2"), F.coalesce(url, F.lit("")).alias("u"), F.col(page).alias("page"))
     rows = rows.select("k1", "k2", ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)).alias("host"),
                        F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), "page")
-    rows = rows.mapInArrow(narrow, "k1 long, k2 long, host string, path string, hashes array<long>, sizes array<int>, content long, asks boolean")
+    rows = rows.mapInArrow(narrow, "k1 long, k2 long, host string, path string, hashes array<long>, sizes array<int>, content long")
     # pages without unmarked lines have nothing to lose and nothing that differs
     rows = rows.where("content is not null").dropDuplicates(["k1", "k2"])
     placed = ordinal(rows, ["host"], ["path", "k2", "k1"], name="n").drop("path")
     # adjacent pages of equal content: their number less that among all of the content is the same
     placed = ordinal(placed, ["host", "content"], ["n"], name="r").withColumn("run", F.col("n") - F.col("r"))
     runs = placed.groupBy("host", "content", "run").agg(
-        F.min("n").alias("n"), F.max("asks").alias("asks"), F.min_by(F.struct("hashes", "sizes"), "n").alias("l"))
+        F.min("n").alias("n"), F.min_by(F.struct("hashes", "sizes"), "n").alias("l"))
     runs = ordinal(runs, ["host"], ["n"], name="m").select(
-        "host", "content", "run", "asks", (F.col("m") - 1).alias("m"), F.col("l")["hashes"].alias("hashes"), F.col("l")["sizes"].alias("sizes"))
+        "host", "content", "run", (F.col("m") - 1).alias("m"), F.col("l")["hashes"].alias("hashes"), F.col("l")["sizes"].alias("sizes"))
     # a run near the edge of a block is also a neighbour of the next blocks' runs
     near = [F.floor((F.col("m") + x) / block) for x in (-REACH, REACH)]
     dealt = runs.select("*", F.explode(F.sequence(*near)).alias("block"))
-    asked = runs.where("asks").select("host", F.floor(F.col("m") / block).alias("block")).distinct()
-    dealt = dealt.join(asked, ["host", "block"], "left_semi")
 
     def compare(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["m"])
         runs, out = [_Page(r["m"], r["hashes"], r["sizes"]) for r in rows], []
         for i, r in enumerate(rows):
-            if r["asks"] and r["m"] // block == r["block"] and (gone := _frame_of(runs, i)):
+            if r["m"] // block == r["block"] and (gone := _frame_of(runs, i)):
                 out.append({k: r[k] for k in ("host", "content", "run")} | {"gone": sorted(gone)})
         return pa.Table.from_pylist(out, pa.schema([
             ("host", pa.string()), ("content", pa.int64()), ("run", pa.int64()), ("gone", pa.list_(pa.int32()))]))
 
     gone = dealt.groupBy("host", "block").applyInArrow(compare, "host string, content long, run long, gone array<int>")
-    return placed.where("asks").select("k1", "k2", "host", "content", "run").join(
+    return placed.select("k1", "k2", "host", "content", "run").join(
         gone, ["host", "content", "run"]).select("k1", "k2", "gone")
 
 
 def main_text(page: str | None, gone) -> str:
-    own = lines(page)
-    if any(x[2] and not x[1] for x in own):
-        return "\n\n".join(x[0] for x in own if x[2] and not x[1])
+    """Lines of the article, or of the whole page if there is none, less marked ones
+    and those that differencing has found (``gone``, numbers of unmarked lines)."""
+    own = [(text, inside) for text, marked, inside in lines(page) if not marked]
+    article = any(inside for _, inside in own)
     gone = set(gone or ())
-    return "\n\n".join(x for k, x in enumerate(x[0] for x in own if not x[1]) if k not in gone)
+    return "\n\n".join(text for k, (text, inside) in enumerate(own) if (inside or not article) and k not in gone)
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", keep: list[str] | None = None) -> DataFrame:

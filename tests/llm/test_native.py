@@ -285,6 +285,20 @@ def test_pages_are_compared_with_article_pages(spark):
     assert got[0] == "Report 0 about thing 0." and got[1] == "" and got[5] == ""
 
 
+def test_frames_inside_articles_go(spark):
+    """Lines that frame an article and stand outside those of two neighbours on either side; what articles share stays."""
+    def art(k):
+        return f"<h1>Report {k}</h1><p>Sources</p><p>A passage that all of them quote.</p><p>Report {k} ends here.</p><p>Sources</p>"
+
+    head, foot = "<p>The Daily Site</p>", "<p>Write to us if you know more</p>"
+    inside, outside = (lambda k: f"<article>{head}{art(k)}{foot}</article>"), (lambda k: f"{head}<article>{art(k)}</article><footer>{foot}</footer>")
+    got = _texts(spark, [(f"a{k}", (inside if k == 2 else outside)(k)) for k in range(5)] + [(f"z{k}", inside(k)) for k in range(5, 10)])
+    text = [f"Report {k}\n\nSources\n\nA passage that all of them quote.\n\nReport {k} ends here.\n\nSources" for k in range(10)]
+    assert got[:5] == text[:5] and got[7] == f"The Daily Site\n\n{text[7]}\n\nWrite to us if you know more"
+    rows = [(f"a{k}", f"{head}<article>x{k}</article>" if k != 2 else f"<p>Outside</p><article>{head}</article>") for k in range(5)]
+    assert _texts(spark, rows)[2] == "The Daily Site"
+
+
 def test_frames_that_outweigh_the_body_go(spark):
     stubs = [(f"s{k:02d}", f"{MENU}<p>Note {k}.</p>{END}") for k in range(5)]
     assert _texts(spark, stubs) == [f"Note {k}." for k in range(5)]
